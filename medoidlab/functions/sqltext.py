@@ -77,8 +77,10 @@ positions AS (
   SELECT id, lon, lat FROM pickups WHERE id IS NOT NULL AND {bbox('lon', 'lat')})"""
 
 
-def with_positions(body: str) -> str:
-    return f"WITH {positions_cte()}\n{body}"
+def with_positions(body: str, *ctes: str) -> str:
+    """``WITH trips, pickups, positions[, extra ctes] body``."""
+    extra = "".join(f",\n{c}" for c in ctes)
+    return f"WITH {positions_cte()}{extra}\n{body}"
 
 
 def pixel_x(lon: str, box: Box = IMAGE_BOX, width: int = IMAGE_SIZE) -> str:

@@ -78,3 +78,212 @@ def q_cluster_summary(spark, sf_dir):
 def q_assign_nearest(spark, sf_dir):
     a = assign_nearest(positions(spark, sf_dir), FIXED_CENTERS)
     return a.select("id", "cluster", F.round("dist", 3).alias("dist"))
+
+
+# ---------------------------------------------------------------- S1-S3, P1-P6
+from medoidlab.operators.assign import distances_to_centers, objective, objective_many, best_set  # noqa: E402
+from medoidlab.operators.clean import filter_call_type, has_track, pickup_point  # noqa: E402
+from medoidlab.sources.trips import read_positions, write_positions  # noqa: E402
+from medoidlab.session import scratch_path  # noqa: E402
+
+
+@register(
+    "read_trips_calltype",
+    f"WITH {Q.trips_cte()}\nSELECT TRIP_ID, CALL_TYPE, POLYLINE FROM trips "
+    "WHERE contains(CALL_TYPE, 'C') AND length(POLYLINE) > 5",
+    "P1, P2: call type and track filters on the raw trips",
+)
+def q_read_trips_calltype(spark, sf_dir):
+    t = has_track(filter_call_type(trips_from_tables(spark, sf_dir)))
+    return t.select("TRIP_ID", "CALL_TYPE", "POLYLINE")
+
+
+@register(
+    "pickup_points",
+    f"WITH {Q.trips_cte()},\n{Q.pickup_cte()}\nSELECT id, lon, lat FROM pickups",
+    "P3, P5: first track pair and numeric id, before the box",
+)
+def q_pickup_points(spark, sf_dir):
+    return pickup_point(has_track(filter_call_type(trips_from_tables(spark, sf_dir))))
+
+
+@register("clean_positions", Q.with_positions("SELECT id, lon, lat FROM positions"), "P1-P5")
+def q_clean_positions(spark, sf_dir):
+    return positions(spark, sf_dir)
+
+
+@register(
+    "positions_json_roundtrip",
+    Q.with_positions("SELECT id, lon, lat FROM positions"),
+    "S3 then S2: write cleaned positions as JSON lines and read them back",
+)
+def q_positions_json_roundtrip(spark, sf_dir):
+    path = scratch_path(spark, "positions-json")
+    write_positions(positions(spark, sf_dir), path, fmt="json")
+    return read_positions(spark, path, fmt="json")
+
+
+_CENTERS_SQL = ", ".join(f"({i}, {Q.lit(lon)}, {Q.lit(lat)})" for i, (lon, lat) in enumerate(FIXED_CENTERS))
+
+
+@register(
+    "haversine_pairs",
+    Q.with_positions(
+        f"""SELECT p.id, c.center_id, round({Q.haversine('p.lon', 'p.lat', 'c.lon', 'c.lat')}, 3) AS dist
+FROM positions p, (VALUES {_CENTERS_SQL}) AS c(center_id, lon, lat)"""
+    ),
+    "P6: distance from every position to every fixed centre",
+)
+def q_haversine_pairs(spark, sf_dir):
+    d = distances_to_centers(positions(spark, sf_dir), FIXED_CENTERS)
+    return d.select("id", F.col("center_id").cast("int").alias("center_id"), F.round("dist", 3).alias("dist"))
+
+
+@register(
+    "objective",
+    Q.with_positions(f"SELECT round(sum({_D}), 1) AS phi FROM positions"),
+    "A1: sum of nearest-centre distances",
+)
+def q_objective(spark, sf_dir):
+    return objective(positions(spark, sf_dir), FIXED_CENTERS).select(F.round("phi", 1).alias("phi"))
+
+
+# ---------------------------------------------------------------- sampling
+from medoidlab.functions.geo import salt  # noqa: E402
+from medoidlab.operators import sampling as S  # noqa: E402
+from medoidlab.operators import kmedoids as KM  # noqa: E402
+
+K_DEMO = 4
+L_DEMO = 4
+
+
+def _full_buckets(n: int, k: int = K_DEMO) -> int:
+    import math
+
+    return max(1, math.isqrt(n // k))
+
+
+_L_SQL = f"(SELECT greatest(1, CAST(floor(sqrt(count(*) // {K_DEMO})) AS BIGINT)) FROM positions)"
+_KEYED_CTE = f"""keyed AS (
+  SELECT id, lon, lat, CAST({Q.hash32('id', salt(SEED, 'bucket'))} % {_L_SQL} AS INTEGER) AS bucket
+  FROM positions)"""
+
+
+@register(
+    "hash_bucket",
+    Q.with_positions("SELECT id, bucket FROM keyed", _KEYED_CTE),
+    "P9: seeded hash bucket in [0, floor(sqrt(n/k)))",
+)
+def q_hash_bucket(spark, sf_dir):
+    p = positions(spark, sf_dir)
+    return S.with_bucket(p, _full_buckets(p.count()), SEED).select("id", "bucket")
+
+
+@register(
+    "bernoulli_sample",
+    Q.with_positions(f"SELECT id, lon, lat FROM positions WHERE {Q.hash_unit('id', salt(SEED, 'keep'))} < 0.1"),
+    "N1: seeded 10% Bernoulli sample",
+)
+def q_bernoulli_sample(spark, sf_dir):
+    return S.bernoulli_sample(positions(spark, sf_dir), 0.1, SEED)
+
+
+@register(
+    "bucketed_sample",
+    Q.with_positions(
+        f"""SELECT id, CAST({Q.hash32('id', salt(SEED, 'bucket'))} % {L_DEMO} AS INTEGER) AS bucket FROM positions
+WHERE {Q.hash_unit('id', salt(SEED, 'keep'))} < least(1.0, {L_DEMO} / sqrt((SELECT count(*) FROM positions)))"""
+    ),
+    "N2 + P9: sample at l/sqrt(n) into l buckets (l = 4)",
+)
+def q_bucketed_sample(spark, sf_dir):
+    return S.bucketed_sample(positions(spark, sf_dir), L_DEMO, SEED).select("id", "bucket")
+
+
+_EXACT = 5 * (40 + 2 * K_DEMO)
+
+
+@register(
+    "exact_sample",
+    Q.with_positions(
+        f"""SELECT id, lon, lat, CAST(rn - 1 AS BIGINT) AS draw, CAST((rn - 1) % 5 AS INTEGER) AS bucket FROM (
+  SELECT id, lon, lat, row_number() OVER (ORDER BY h, id) AS rn FROM (
+    SELECT id, lon, lat, {Q.hash32('id', salt(SEED, 'order'))} AS h FROM positions))
+WHERE rn <= {_EXACT}"""
+    ),
+    "N4 + P10: exactly 5*(40+2k) rows without replacement, round-robin into 5 buckets",
+)
+def q_exact_sample(spark, sf_dir):
+    return S.exact_sample(positions(spark, sf_dir), _EXACT, SEED, buckets=5)
+
+
+_DRAWS = 100 * 4
+
+
+def _hash60_sql(expr: str, s: str) -> str:
+    return f"cast('0x' || substr(md5(concat(cast({expr} as varchar), '{s}')), 1, 15) as bigint)"
+
+
+@register(
+    "exact_sample_replace",
+    Q.with_positions(
+        """SELECT CAST(d.draw AS BIGINT) AS draw, CAST(d.draw % 4 AS INTEGER) AS bucket, i.id, i.lon, i.lat
+FROM draws d JOIN idx i ON d.idx = i.idx""",
+        f"""idx AS (
+  SELECT id, lon, lat, row_number() OVER (ORDER BY {Q.hash32('id', salt(SEED, 'order'))}, id) - 1 AS idx
+  FROM positions)""",
+        f"""draws AS (
+  SELECT range AS draw, {_hash60_sql('range', salt(SEED, 'draw'))} % (SELECT count(*) FROM positions) AS idx
+  FROM range({_DRAWS}))""",
+    ),
+    "N3 + P10: 4 x 100 draws with replacement by dense hash-order index",
+)
+def q_exact_sample_replace(spark, sf_dir):
+    out = S.exact_sample_replace(positions(spark, sf_dir), _DRAWS, SEED, buckets=4)
+    return out.select("draw", "bucket", "id", "lon", "lat")
+
+
+@register(
+    "uniform_points",
+    Q.with_positions(
+        f"""SELECT range AS id,
+       round({Q.lit(-8.7)} + {Q.hash_unit('range', salt(SEED, 'ulon'))} * {Q.lit(0.3000000000000007)}, 9) AS lon,
+       round({Q.lit(41.0)} + {Q.hash_unit('range', salt(SEED, 'ulat'))} * {Q.lit(1.0)}, 9) AS lat
+FROM range((SELECT count(*) FROM positions))"""
+    ),
+    "N6: as many hash-uniform points in the cleaning box as there are positions",
+)
+def q_uniform_points(spark, sf_dir):
+    from medoidlab.schema import CLEAN_BOX
+
+    n = positions(spark, sf_dir).count()
+    u = S.uniform_points(spark, n, CLEAN_BOX, SEED)
+    return u.select("id", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
+
+
+# ---------------------------------------------------------------- T1-T3
+@register(
+    "distinct_places",
+    Q.with_positions("SELECT lon, lat, CAST(count(*) AS BIGINT) AS n, min(id) AS id FROM positions GROUP BY lon, lat"),
+    "T2/T3: distinct places (id ignored) with their row counts",
+)
+def q_distinct_places(spark, sf_dir):
+    p = positions(spark, sf_dir)
+    return p.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+
+
+@register(
+    "not_in_cluster",
+    Q.with_positions(
+        f"""SELECT cluster, CAST((SELECT count(*) FROM positions) - count(*) AS BIGINT) AS n_not_in
+FROM (SELECT {_C} AS cluster FROM positions) GROUP BY cluster"""
+    ),
+    "T1: rows outside each cluster (difference by cluster, no shuffle of rows)",
+)
+def q_not_in_cluster(spark, sf_dir):
+    from pyspark.sql import Window
+
+    a = assign_nearest(positions(spark, sf_dir), FIXED_CENTERS)
+    c = a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    tot = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    return c.select("cluster", (tot - F.col("n")).cast("bigint").alias("n_not_in"))
