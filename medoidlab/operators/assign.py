@@ -37,11 +37,11 @@ def as_center_list(centers) -> list[tuple[int, float, float]]:
     if isinstance(centers, DataFrame):
         cols = centers.columns
         key = "center_id" if "center_id" in cols else None
-        n = centers.count()
-        if n > MAX_LITERAL_CENTERS:
-            raise ValueError(f"{n} centres exceed the literal limit {MAX_LITERAL_CENTERS}")
         sel = [F.col(key) if key else F.lit(None), "lon", "lat"]
-        rows = centers.select(*sel).collect()
+        # One job: fetch at most one row past the limit, so the size check is proven.
+        rows = centers.select(*sel).limit(MAX_LITERAL_CENTERS + 1).collect()
+        if len(rows) > MAX_LITERAL_CENTERS:
+            raise ValueError(f"more than {MAX_LITERAL_CENTERS} centres; pass fewer centres")
         if key:
             rows = sorted(rows, key=lambda r: r[0])
             return [(int(r[0]), float(r[1]), float(r[2])) for r in rows]
@@ -138,37 +138,61 @@ def objective_value(df: DataFrame, centers) -> float:
 
 def _sets_dict(sets) -> dict[int, list[tuple[int, float, float]]]:
     if isinstance(sets, DataFrame):
-        n = sets.count()
-        if n > MAX_LITERAL_CENTERS:
-            raise ValueError(f"{n} set centres exceed the literal limit {MAX_LITERAL_CENTERS}")
+        rows = sets.select("set_id", "center_id", "lon", "lat").limit(MAX_LITERAL_CENTERS + 1).collect()
+        if len(rows) > MAX_LITERAL_CENTERS:
+            raise ValueError(f"more than {MAX_LITERAL_CENTERS} set centres; score fewer sets per call")
         out: dict[int, list] = {}
-        for r in sets.select("set_id", "center_id", "lon", "lat").collect():
+        for r in rows:
             out.setdefault(int(r[0]), []).append((int(r[1]), float(r[2]), float(r[3])))
         return {s: sorted(v) for s, v in sorted(out.items())}
     return {int(s): as_center_list(c) for s, c in dict(sets).items()}
 
 
-def _set_min(cl: list[tuple[int, float, float]]) -> Column:
-    return nearest_struct(cl)["d"]
+def _sets_array(sd: dict[int, list[tuple[int, float, float]]], ids: list[int]) -> Column:
+    return F.array(
+        *[
+            F.struct(
+                F.lit(s).alias("set_id"),
+                F.array(*[F.struct(F.lit(lon).alias("lon"), F.lit(lat).alias("lat")) for _, lon, lat in sd[s]]).alias(
+                    "cs"
+                ),
+            )
+            for s in ids
+        ]
+    )
+
+
+def _set_nearest(cs: Column, kmax: int, lon: Column, lat: Column) -> Column:
+    """Nearest distance to the centres array ``cs`` of one set (nulls past its end)."""
+    if kmax <= UNROLL_MAX_K:
+        terms = [haversine(lon, lat, F.get(cs, i)["lon"], F.get(cs, i)["lat"]) for i in range(kmax)]
+        return terms[0] if kmax == 1 else F.least(*terms)
+    return F.array_min(F.transform(cs, lambda c: haversine(lon, lat, c["lon"], c["lat"])))
 
 
-def objective_many(df: DataFrame, sets) -> DataFrame:
+def objective_many(df: DataFrame, sets, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """A2: ``(set_id, phi)`` for many centre sets, scored in one pass per batch of sets.
 
     ``sets`` is a DataFrame ``(set_id, center_id, lon, lat)`` or a mapping
-    ``set_id -> centres``. The per-row work is an array with one nearest distance per
-    set, exploded in-stage; the aggregate is partial before the shuffle.
+    ``set_id -> centres``. The sets travel as one literal array; every row is expanded
+    to one row per set *inside the scan stage* (a generator, nothing is shuffled), the
+    nearest distance is unrolled over the k centres of that set, and the sum is
+    aggregated partially before the only shuffle (one row per set and partition).
+    Expression size depends on k, not on the number of sets.
     """
     sd = _sets_dict(sets)
     ids = sorted(sd)
     if not ids:
         raise ValueError("no centre sets")
+    kmax = max(len(v) for v in sd.values())
+    lon_c, lat_c = F.col(lon), F.col(lat)
     pieces = []
     for i in range(0, len(ids), SETS_PER_PASS):
         batch = ids[i : i + SETS_PER_PASS]
-        arr = F.array(*[F.struct(F.lit(s).alias("set_id"), _set_min(sd[s]).alias("d")) for s in batch])
+        rows = df.select(lon_c.alias("__lon"), lat_c.alias("__lat"), F.explode(_sets_array(sd, batch)).alias("__s"))
+        d = _set_nearest(F.col("__s.cs"), kmax, F.col("__lon"), F.col("__lat"))
         pieces.append(
-            df.select(F.inline(arr))
+            rows.select(F.col("__s.set_id").alias("set_id"), d.alias("d"))
             .groupBy("set_id")
             .agg(F.sum("d").alias("phi"))
             .select(F.col("set_id").cast("int").alias("set_id"), "phi")

@@ -287,3 +287,318 @@ def q_not_in_cluster(spark, sf_dir):
     c = a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
     tot = F.sum("n").over(Window.partitionBy(F.lit(1)))
     return c.select("cluster", (tot - F.col("n")).cast("bigint").alias("n_not_in"))
+
+
+# ---------------------------------------------------------------- C2, C22, C1, A2, A10
+def _keyed(spark, sf_dir) -> DataFrame:
+    p = positions(spark, sf_dir)
+    return S.with_bucket(p, _full_buckets(p.count()), SEED)
+
+
+_HAV_PI = Q.haversine("p.lon", "p.lat", "i.lon", "i.lat")
+_PAM_CTES = (
+    _KEYED_CTE,
+    """pl AS (SELECT bucket, lon, lat, CAST(count(*) AS BIGINT) AS w, min(id) AS id FROM keyed GROUP BY bucket, lon, lat)""",
+    f"""init AS (
+  SELECT bucket, CAST(rn - 1 AS INTEGER) AS center_id, id, lon, lat FROM (
+    SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY id) AS rn,
+           count(*) OVER (PARTITION BY bucket) AS np FROM pl)
+  WHERE rn <= {K_DEMO} AND np >= {K_DEMO})""",
+)
+_STEP_CTES = _PAM_CTES + (
+    f"""pm AS (SELECT p.bucket, p.id AS pid, p.w, i.center_id AS slot, {_HAV_PI} AS d
+  FROM pl p JOIN init i ON p.bucket = i.bucket)""",
+    """rk AS (SELECT *, row_number() OVER (PARTITION BY bucket, pid ORDER BY d, slot) AS r FROM pm)""",
+    """nn AS (SELECT bucket, pid, any_value(w) AS w, max(CASE WHEN r = 1 THEN d END) AS d1,
+  max(CASE WHEN r = 2 THEN d END) AS d2, max(CASE WHEN r = 1 THEN slot END) AS near FROM rk GROUP BY bucket, pid)""",
+    """cand AS (SELECT c.* FROM pl c WHERE c.bucket IN (SELECT bucket FROM init)
+  AND NOT EXISTS (SELECT 1 FROM init i WHERE i.bucket = c.bucket AND i.id = c.id))""",
+    f"""costs AS (
+  SELECT c.bucket, c.id AS cand_id, CAST(s.range AS INTEGER) AS slot,
+         sum(n.w * least({Q.haversine('pp.lon', 'pp.lat', 'c.lon', 'c.lat')},
+                         CASE WHEN n.near = s.range THEN n.d2 ELSE n.d1 END)) AS phi
+  FROM cand c JOIN pl pp ON pp.bucket = c.bucket JOIN nn n ON n.bucket = pp.bucket AND n.pid = pp.id
+  CROSS JOIN range({K_DEMO}) s
+  GROUP BY c.bucket, c.id, s.range)""",
+    """phi0 AS (SELECT bucket, sum(w * d1) AS phi_before FROM nn GROUP BY bucket)""",
+)
+
+
+@register(
+    "pam_init",
+    Q.with_positions("SELECT bucket, center_id, id, lon, lat FROM init", *_PAM_CTES),
+    "C2: first k distinct places per bucket in id order",
+)
+def q_pam_init(spark, sf_dir):
+    return KM.pam_init(_keyed(spark, sf_dir), K_DEMO)
+
+
+_SET_PHI = f"""setphi AS (
+  SELECT set_id, sum(d) AS phi FROM (
+    SELECT i.bucket AS set_id, p.id, min({_HAV_PI}) AS d FROM positions p CROSS JOIN init i GROUP BY i.bucket, p.id)
+  GROUP BY set_id)"""
+
+
+@register(
+    "objective_many",
+    Q.with_positions("SELECT set_id, round(phi, 1) AS phi FROM setphi", *_PAM_CTES, _SET_PHI),
+    "A2: phi on all positions of every bucket's initial medoid set, one pass",
+)
+def q_objective_many(spark, sf_dir):
+    init = KM.pam_init(_keyed(spark, sf_dir), K_DEMO).withColumnRenamed("bucket", "set_id")
+    out = objective_many(positions(spark, sf_dir), init)
+    return out.select("set_id", F.round("phi", 1).alias("phi"))
+
+
+@register(
+    "clara_select",
+    Q.with_positions(
+        "SELECT set_id, round(phi, 1) AS phi FROM setphi ORDER BY phi, set_id LIMIT 1", *_PAM_CTES, _SET_PHI
+    ),
+    "A10/C11: the centre set with the lowest phi on the whole data",
+)
+def q_clara_select(spark, sf_dir):
+    init = KM.pam_init(_keyed(spark, sf_dir), K_DEMO).withColumnRenamed("bucket", "set_id")
+    best = best_set(objective_many(positions(spark, sf_dir), init))
+    return best.select("set_id", F.round("phi", 1).alias("phi"))
+
+
+@register(
+    "swap_cost",
+    Q.with_positions("SELECT bucket, cand_id, slot, round(phi, 1) AS phi FROM costs", *_STEP_CTES),
+    "C22: phi after each (candidate, slot) swap from the initial medoids, per bucket",
+)
+def q_swap_cost(spark, sf_dir):
+    c = KM.swap_cost(_keyed(spark, sf_dir), K_DEMO)
+    return c.select("bucket", "cand_id", "slot", F.round("phi", 1).alias("phi"))
+
+
+@register(
+    "pam_swap_step",
+    Q.with_positions(
+        """SELECT b.bucket, round(p.phi_before, 1) AS phi_before, round(b.phi, 1) AS phi_after, b.cand_id, b.slot,
+       (b.phi < p.phi_before - 1e-6) AS improves
+FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY phi, cand_id, slot) AS r FROM costs) b
+JOIN phi0 p ON p.bucket = b.bucket WHERE b.r = 1""",
+        *_STEP_CTES,
+    ),
+    "C1: the best single PAM swap of every bucket from its initial medoids",
+)
+def q_pam_swap_step(spark, sf_dir):
+    s = KM.pam_swap_step(_keyed(spark, sf_dir), K_DEMO)
+    return s.select(
+        "bucket",
+        F.round("phi_before", 1).alias("phi_before"),
+        F.round("phi_after", 1).alias("phi_after"),
+        "cand_id",
+        "slot",
+        "improves",
+    )
+
+
+@register(
+    "pam_optimality",
+    "SELECT CAST(0 AS BIGINT) AS improvable_buckets",
+    "C4 check: buckets where one more swap still improves the PAM result (expect 0)",
+)
+def q_pam_optimality(spark, sf_dir):
+    p = positions(spark, sf_dir)
+    return KM.pam_optimality(p, K_DEMO, _full_buckets(p.count()), SEED)
+
+
+# ---------------------------------------------------------------- J4, E1-E3
+from medoidlab.operators import evaluate as EV  # noqa: E402
+from medoidlab.operators.neighbors import nearest_neighbor  # noqa: E402
+from medoidlab.operators import raster as RA  # noqa: E402
+
+_HAV_PQ = Q.haversine("p.lon", "p.lat", "q.lon", "q.lat")
+
+
+@register(
+    "nearest_neighbor",
+    Q.with_positions(
+        f"""SELECT p.id, round(min(CASE WHEN {_HAV_PQ} > 0 THEN {_HAV_PQ} END), 3) AS nn_dist
+FROM positions p, positions q GROUP BY p.id"""
+    ),
+    "J4: distance from every position to its nearest other place (distance > 0)",
+)
+def q_nearest_neighbor(spark, sf_dir):
+    p = positions(spark, sf_dir)
+    return nearest_neighbor(p, p).select("id", F.round("nn_dist", 3).alias("nn_dist"))
+
+
+_UNI_CTES = (
+    "box AS (SELECT min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM positions)",
+    f"""uni AS (SELECT range AS id,
+    box.a + {Q.hash_unit('range', salt(SEED, 'ulon'))} * (box.b - box.a) AS lon,
+    box.c + {Q.hash_unit('range', salt(SEED, 'ulat'))} * (box.d - box.c) AS lat
+  FROM range((SELECT count(*) FROM positions)), box)""",
+    f"""w AS (SELECT sum(nn) AS w FROM (SELECT p.id, min(CASE WHEN {_HAV_PQ} > 0 THEN {_HAV_PQ} END) AS nn
+  FROM positions p, positions q GROUP BY p.id))""",
+    f"""u AS (SELECT sum(nn) AS u FROM (SELECT p.id, min(CASE WHEN {_HAV_PQ} > 0 THEN {_HAV_PQ} END) AS nn
+  FROM uni p, positions q GROUP BY p.id))""",
+)
+
+
+@register(
+    "hopkins",
+    Q.with_positions("SELECT round(w, 1) AS w, round(u, 1) AS u, round(w / (w + u), 6) AS hopkins FROM w, u", *_UNI_CTES),
+    "E2: Hopkins statistic of all positions, uniform points in the data's own box",
+)
+def q_hopkins(spark, sf_dir):
+    h = EV.hopkins(positions(spark, sf_dir), seed=SEED)
+    return h.select(F.round("w", 1).alias("w"), F.round("u", 1).alias("u"), F.round("hopkins", 6).alias("hopkins"))
+
+
+def _silhouette_sql(mode: str) -> str:
+    ctes = (
+        f"asg AS (SELECT id, lon, lat, {_C} AS cluster FROM positions)",
+        "sz AS (SELECT cluster, count(*) AS size FROM asg GROUP BY cluster)",
+        f"""s AS (SELECT p.id AS pid, p.cluster AS own, q.cluster, sum({_HAV_PQ}) AS s
+  FROM asg p, asg q GROUP BY p.id, p.cluster, q.cluster)""",
+        f"""g AS (SELECT pid, own, max(CASE WHEN s.cluster = own THEN size END) AS size,
+  max(CASE WHEN s.cluster = own THEN s END) AS s_own,
+  min(CASE WHEN s.cluster <> own THEN {'s / size' if mode == 'standard' else 's'} END) AS b_raw
+  FROM s JOIN sz ON s.cluster = sz.cluster GROUP BY pid, own)""",
+        (
+            """ab AS (SELECT *, CASE WHEN size > 1 THEN s_own / (size - 1) ELSE 0.0 END AS a, b_raw AS b FROM g)"""
+            if mode == "standard"
+            else """ab AS (SELECT *, s_own / size AS a, b_raw / size AS b FROM g)"""
+        ),
+        f"""pt AS (SELECT CASE WHEN {'size <= 1 OR ' if mode == 'standard' else ''}b IS NULL OR greatest(a, b) = 0 THEN 0.0
+  ELSE (b - a) / greatest(a, b) END AS sil FROM ab)""",
+    )
+    return Q.with_positions("SELECT round(avg(sil), 6) AS silhouette FROM pt", *ctes)
+
+
+@register("silhouette", _silhouette_sql("standard"), "E1: mean silhouette of all positions, fixed centres")
+def q_silhouette(spark, sf_dir):
+    s = EV.silhouette(positions(spark, sf_dir), FIXED_CENTERS, mode="standard")
+    return s.select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@register(
+    "silhouette_own_size",
+    _silhouette_sql("own_size"),
+    "E1, as-written formula: sums divided by the own cluster size",
+)
+def q_silhouette_own_size(spark, sf_dir):
+    s = EV.silhouette(positions(spark, sf_dir), FIXED_CENTERS, mode="own_size")
+    return s.select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@register(
+    "radius_stats",
+    Q.with_positions(
+        f"""SELECT round(avg(r), 3) AS mean_radius, round(stddev_samp(r), 3) AS std_radius,
+       CAST(count(*) AS BIGINT) AS clusters
+FROM (SELECT cluster, max(d) AS r FROM (SELECT {_C} AS cluster, {_D} AS d FROM positions) GROUP BY cluster)"""
+    ),
+    "E3/A6/A7: mean and deviation of the largest cluster radius",
+)
+def q_radius_stats(spark, sf_dir):
+    r = EV.radius_stats(positions(spark, sf_dir), FIXED_CENTERS)
+    return r.select(
+        F.round("mean_radius", 3).alias("mean_radius"),
+        F.round("std_radius", 3).alias("std_radius"),
+        F.col("clusters").cast("bigint").alias("clusters"),
+    )
+
+
+# ---------------------------------------------------------------- R3-R6, P11-P13, A13, A14
+_PX = f"{Q.pixel_x('lon')} AS x, {Q.pixel_y('lat')} AS y"
+_INSIDE = "x >= 0 AND x < 2000 AND y >= 0 AND y < 2000"
+
+
+@register(
+    "raster",
+    Q.with_positions(
+        f"""SELECT x, y, CAST(0 AS INTEGER) AS cluster, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT {_PX} FROM positions) WHERE {_INSIDE} GROUP BY x, y"""
+    ),
+    "R3: whole-dataset picture as pixel counts (2000 x 2000, image box)",
+)
+def q_raster(spark, sf_dir):
+    return RA.raster(positions(spark, sf_dir))
+
+
+def _color_sql(cluster: str, k: int) -> tuple[str, str, str]:
+    from medoidlab.functions.geo import color_cube_side
+
+    side = color_cube_side(k)
+    if side == 1:
+        return "255", "255", "255"
+    step = side**3 // (k + 1)
+    pos = f"CAST(({cluster} + 1) * {step} AS DOUBLE)"
+    s = f"{float(side)!r}"
+    return (
+        f"CAST(floor(({pos} % {s}) / {s} * 255.0) AS INTEGER)",
+        f"CAST(floor((({pos} / {s}) % {s}) / {s} * 255.0) AS INTEGER)",
+        f"CAST(floor((({pos} / {s} / {s}) % {s}) / {s} * 255.0) AS INTEGER)",
+    )
+
+
+_R, _G, _B = _color_sql("cluster", len(FIXED_CENTERS))
+
+
+@register(
+    "raster_clusters",
+    Q.with_positions(
+        f"""SELECT x, y, cluster, CAST(count(*) AS BIGINT) AS n, {_R} AS r, {_G} AS g, {_B} AS b
+FROM (SELECT {_PX}, {_C} AS cluster FROM positions) WHERE {_INSIDE} GROUP BY x, y, cluster"""
+    ),
+    "R4 + P12: clustering picture, pixel counts per cluster with the cluster colour",
+)
+def q_raster_clusters(spark, sf_dir):
+    r = RA.raster(positions(spark, sf_dir), FIXED_CENTERS)
+    return RA.cluster_colors(r, len(FIXED_CENTERS))
+
+
+@register(
+    "cluster_color",
+    Q.with_positions(
+        f"""SELECT cluster, CAST(count(*) AS BIGINT) AS n, {_R} AS r, {_G} AS g, {_B} AS b
+FROM (SELECT {_C} AS cluster FROM positions) GROUP BY cluster"""
+    ),
+    "P12: colour of every cluster present in the assignment",
+)
+def q_cluster_color(spark, sf_dir):
+    a = assign_nearest(positions(spark, sf_dir), FIXED_CENTERS)
+    c = a.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return RA.cluster_colors(c, len(FIXED_CENTERS))
+
+
+@register(
+    "raster_dropped",
+    Q.with_positions(
+        f"""SELECT reason, n, n / (SELECT count(*) FROM positions) AS share FROM (
+  SELECT concat_ws(' ', CASE WHEN lon < -8.7 THEN 'longitude too low' END,
+                        CASE WHEN lon > -8.4 THEN 'longitude too high' END,
+                        CASE WHEN lat > 41.35 THEN 'latitude too high' END,
+                        CASE WHEN lat < 41.05 THEN 'latitude too low' END) AS reason,
+         CAST(count(*) AS BIGINT) AS n
+  FROM (SELECT lon, lat, {_PX} FROM positions) WHERE NOT ({_INSIDE}) GROUP BY reason)"""
+    ),
+    "A13: points outside the picture by reason and share",
+)
+def q_raster_dropped(spark, sf_dir):
+    return RA.raster_dropped(positions(spark, sf_dir))
+
+
+@register(
+    "raster_centers",
+    Q.with_positions(
+        f"""SELECT center_id, xc, yc, CAST(sum(CASE WHEN {_INSIDE} THEN 1 ELSE 0 END) AS BIGINT) AS drawn,
+       CAST(sum(CASE WHEN {_INSIDE} THEN 0 ELSE 1 END) AS BIGINT) AS dropped
+FROM (SELECT center_id, xc, yc, unnest(range(xc - 5, xc + 5)) AS x FROM (
+        SELECT bucket * {K_DEMO} + center_id AS center_id, {Q.pixel_x('lon')} AS xc, {Q.pixel_y('lat')} AS yc FROM init)) xs,
+     LATERAL (SELECT unnest(range(xs.yc - 5, xs.yc + 5)) AS y)
+GROUP BY center_id, xc, yc""",
+        *_PAM_CTES,
+    ),
+    "R5: square of every initial medoid (all buckets) on the picture: drawn/dropped pixels",
+)
+def q_raster_centers(spark, sf_dir):
+    init = KM.pam_init(_keyed(spark, sf_dir), K_DEMO)
+    cents = init.select((F.col("bucket") * K_DEMO + F.col("center_id")).cast("int").alias("center_id"), "lon", "lat")
+    return RA.raster_centers(cents, spark).drop("status")
