@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from medoidlab.functions.geo import hash32, salt
 from medoidlab.operators.assign import assign_nearest
 from medoidlab.operators.kernels import haversine_np
-from medoidlab.operators.neighbors import nearest_neighbor
+from medoidlab.operators.neighbors import build_index, nearest_neighbor
 from medoidlab.operators.sampling import uniform_points
 from medoidlab.schema import CLEAN_BOX, Box
 
@@ -46,9 +46,10 @@ def hopkins(df: DataFrame, seed: int = 0, box: Box | str | None = None, n: int |
         n = df.count()
     spark = df.sparkSession
     pts = df.select("id", "lon", "lat")
-    w = nearest_neighbor(pts, pts).agg(F.sum("nn_dist").alias("w"))
+    index = build_index(pts)
+    w = nearest_neighbor(pts, pts, index=index).agg(F.sum("nn_dist").alias("w"))
     uni = uniform_points(spark, n, box, seed)
-    u = nearest_neighbor(uni, pts).agg(F.sum("nn_dist").alias("u"))
+    u = nearest_neighbor(uni, pts, index=index).agg(F.sum("nn_dist").alias("u"))
     # Both sides are single-row aggregates: an equi-join on a constant key pairs them.
     wu = w.withColumn("__k", F.lit(0)).join(u.withColumn("__k", F.lit(0)), "__k")
     return wu.select("w", "u", (F.col("w") / (F.col("w") + F.col("u"))).alias("hopkins"))

@@ -20,6 +20,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,16 +78,24 @@ def _solver_partitions(df: DataFrame, n_buckets: int) -> int:
     return max(1, min(n_buckets, max(cap, 1)))
 
 
-def check_bucket_sizes(pl: DataFrame, limit: int = MAX_BUCKET_PLACES, bucket: str = "bucket") -> int:
-    """Largest places-per-bucket count; raises naming ``buckets=`` above ``limit``."""
-    row = pl.groupBy(bucket).count().agg(F.max("count").alias("m")).collect()[0]
+def check_bucket_sizes(pl: DataFrame, limit: int = MAX_BUCKET_PLACES, bucket: str = "bucket") -> tuple[int, int, int]:
+    """(largest bucket, bucket count, total places) in one job.
+
+    Raises, naming ``buckets=``, when a bucket holds more than ``limit`` places.
+    """
+    row = (
+        pl.groupBy(bucket)
+        .count()
+        .agg(F.max("count").alias("m"), F.count(F.lit(1)).alias("b"), F.sum("count").alias("t"))
+        .collect()[0]
+    )
     m = int(row["m"] or 0)
     if m > limit:
         raise ValueError(
             f"a bucket holds {m} distinct places, above the limit {limit}; "
             "use more buckets (buckets=) or a smaller sample"
         )
-    return m
+    return m, int(row["b"] or 0), int(row["t"] or 0)
 
 
 def _arrays(pdf: pd.DataFrame):
@@ -129,12 +138,14 @@ def pam_buckets(df: DataFrame, k: int, limit: int = MAX_BUCKET_PLACES) -> DataFr
     Output ``(bucket, center_id, id, lon, lat, phi, rounds)``: k rows per bucket with at
     least k distinct places; smaller buckets contribute nothing.
     """
-    pl = places(df)
-    nb = check_bucket_sizes(pl, limit)
-    del nb
-    n_buckets = pl.select("bucket").distinct().count()
-    pl = pl.repartition(_solver_partitions(pl, n_buckets), "bucket")
-    return pl.groupBy("bucket").applyInPandas(_pam_group(k), MEDOID_SCHEMA)
+    pl = places(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _, n_buckets, _ = check_bucket_sizes(pl, limit)
+        pl2 = pl.repartition(_solver_partitions(pl, n_buckets), "bucket")
+        # k rows per bucket: small; checkpointed so callers never rerun the search.
+        return cut_lineage(pl2.groupBy("bucket").applyInPandas(_pam_group(k), MEDOID_SCHEMA))
+    finally:
+        pl.unpersist()
 
 
 def _first_step(k: int):
@@ -261,7 +272,7 @@ def _sets_from_medoids(med: DataFrame) -> DataFrame:
 
 def clara_from_buckets(df: DataFrame, keyed: DataFrame, k: int, limit: int = MAX_BUCKET_PLACES) -> DataFrame:
     """C11: PAM per bucket, score each set on all of ``df``, keep the best."""
-    med = cut_lineage(pam_buckets(keyed, k, limit))
+    med = pam_buckets(keyed, k, limit)
     best = clara_select(df, _sets_from_medoids(med)).collect()[0]
     return med.where(F.col("bucket") == int(best["set_id"])).select("center_id", "id", "lon", "lat")
 
@@ -323,13 +334,16 @@ def _clarans_group(k: int, nlocal: int, nneighbor: int, seed: int, schema=MEDOID
 def clarans_buckets(keyed: DataFrame, k: int, nlocal: int, seed: int, n_buckets: int,
                     limit: int = MAX_BUCKET_PLACES, nneighbor: int | None = None) -> DataFrame:
     """CLARANS in every bucket; the budget comes from the mean distinct bucket size."""
-    pl = places(keyed)
-    check_bucket_sizes(pl, limit)
-    if nneighbor is None:
-        nd = pl.count()  # T2: distinct (bucket, place) count
-        nneighbor = K.clarans_budget(k, nd // max(1, n_buckets))
-    pl = pl.repartition(_solver_partitions(pl, n_buckets), "bucket")
-    return pl.groupBy("bucket").applyInPandas(_clarans_group(k, nlocal, nneighbor, seed), MEDOID_SCHEMA)
+    pl = places(keyed).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        _, present, nd = check_bucket_sizes(pl, limit)  # nd: T2, distinct (bucket, place) count
+        if nneighbor is None:
+            nneighbor = K.clarans_budget(k, nd // max(1, n_buckets))
+        pl2 = pl.repartition(_solver_partitions(pl, max(present, 1)), "bucket")
+        run = _clarans_group(k, nlocal, nneighbor, seed)
+        return cut_lineage(pl2.groupBy("bucket").applyInPandas(run, MEDOID_SCHEMA))
+    finally:
+        pl.unpersist()
 
 
 def clarans(df: DataFrame, k: int, buckets: int | None = None, nlocal: int = 3, seed: int = 0,
@@ -349,9 +363,9 @@ def clarans(df: DataFrame, k: int, buckets: int | None = None, nlocal: int = 3,
     med = clarans_buckets(keyed, k, nlocal, seed, l, limit)
 
     def merge_search(g: DataFrame) -> DataFrame:
+        # C17 for the merge: the budget follows the distinct centres per group.
         pl = places(g)
-        nd = pl.count()
-        groups = pl.select("bucket").distinct().count()
+        _, groups, nd = check_bucket_sizes(pl, limit)
         nb = K.clarans_budget(k, nd // max(1, groups))
         return clarans_buckets(g, k, nlocal, seed + 1, groups, limit, nneighbor=nb)
 

@@ -19,21 +19,18 @@ the sphere: latitude gap ``R * dlat`` and meridian gap ``R * asin(cos(lat) sin(d
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medoidlab.functions.geo import haversine
 from medoidlab.schema import EARTH_RADIUS_M
-from medoidlab.session import cut_lineage
 
 # Leaf cells hold at most this many distinct places (the depth follows the data).
 LEAF_PLACES = 32
 # Each descent step divides the cell side by this factor (children per cell: its square).
-FANOUT = 4
+FANOUT = 2
 # Deepest level considered (cells of side extent / FANOUT**MAX_LEVEL).
-MAX_LEVEL = 14
+MAX_LEVEL = 12
 # Slack on lower bounds, metres, so rounding never prunes the true neighbour.
 LB_SLACK = 1e-6
 
@@ -82,7 +79,8 @@ def build_index(targets: DataFrame, leaf_places: int = LEAF_PLACES):
             F.min(F.struct("lon", "lat")).alias("rep"),
         )
     )
-    cells = cut_lineage(cells)
+    # Small summary (occupied cells per level), reused by every level of the descent.
+    cells = cells.persist()
     worst = {r[0]: r[1] for r in cells.groupBy("level").agg(F.max("cnt")).collect()}
     depth = next((lv_ for lv_ in range(MAX_LEVEL + 1) if worst.get(lv_, 0) <= leaf_places), MAX_LEVEL)
     cells = cells.where(F.col("level") <= depth)
@@ -91,12 +89,14 @@ def build_index(targets: DataFrame, leaf_places: int = LEAF_PLACES):
     return places, cells, origin, depth
 
 
-def nearest_neighbor(probes: DataFrame, targets: DataFrame, id_col: str = "id") -> DataFrame:
+def nearest_neighbor(probes: DataFrame, targets: DataFrame, id_col: str = "id", index=None) -> DataFrame:
     """``(id, nn_dist)`` for every probe: nearest target at a distance > 0.
 
-    Probes with no target at a positive distance get ``nn_dist = null``.
+    Probes with no target at a positive distance get ``nn_dist = null``. The descent
+    is one lazy plan (one join and one window per level); ``index`` reuses a
+    :func:`build_index` result across probe sets.
     """
-    idx = build_index(targets)
+    idx = index if index is not None else build_index(targets)
     pr = probes.select(F.col(id_col).alias("pid"), F.col("lon").alias("plon"), F.col("lat").alias("plat"))
     if idx is None:
         return pr.select(F.col("pid").alias(id_col), F.lit(None).cast("double").alias("nn_dist"))
@@ -134,7 +134,7 @@ def nearest_neighbor(probes: DataFrame, targets: DataFrame, id_col: str = "id")
         parent = cand.select(
             "pid", "plon", "plat", F.col("cx").alias("pcx"), F.col("cy").alias("pcy"), F.col("ub").alias("ub_prev")
         )
-        cand = cut_lineage(parent.join(child, ["pcx", "pcy"]).drop("pcx", "pcy"))
+        cand = parent.join(child, ["pcx", "pcy"]).drop("pcx", "pcy")
     leaf = keep.join(places.withColumnRenamed("lon", "tlon").withColumnRenamed("lat", "tlat"), ["cx", "cy"])
     d = haversine(plon, plat, F.col("tlon"), F.col("tlat"))
     best = leaf.select("pid", d.alias("d")).where(F.col("d") > 0).groupBy("pid").agg(F.min("d").alias("nn_dist"))

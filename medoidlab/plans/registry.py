@@ -46,6 +46,14 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean_trips(trips_from_tables(spark, sf_dir))
 
 
+def stored_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned positions written once to the shared checkpoint folder (S4's cleaned
+    copy), for queries that run several jobs over them."""
+    from medoidlab.session import cut_lineage
+
+    return cut_lineage(positions(spark, sf_dir))
+
+
 # ---------------------------------------------------------------- J1-J3, A1
 _D, _C = Q.nearest_case("lon", "lat", FIXED_CENTERS)
 
@@ -423,7 +431,7 @@ FROM positions p, positions q GROUP BY p.id"""
     "J4: distance from every position to its nearest other place (distance > 0)",
 )
 def q_nearest_neighbor(spark, sf_dir):
-    p = positions(spark, sf_dir)
+    p = stored_positions(spark, sf_dir)
     return nearest_neighbor(p, p).select("id", F.round("nn_dist", 3).alias("nn_dist"))
 
 
@@ -446,7 +454,7 @@ _UNI_CTES = (
     "E2: Hopkins statistic of all positions, uniform points in the data's own box",
 )
 def q_hopkins(spark, sf_dir):
-    h = EV.hopkins(positions(spark, sf_dir), seed=SEED)
+    h = EV.hopkins(stored_positions(spark, sf_dir), seed=SEED)
     return h.select(F.round("w", 1).alias("w"), F.round("u", 1).alias("u"), F.round("hopkins", 6).alias("hopkins"))
 
 
@@ -473,7 +481,7 @@ def _silhouette_sql(mode: str) -> str:
 
 @register("silhouette", _silhouette_sql("standard"), "E1: mean silhouette of all positions, fixed centres")
 def q_silhouette(spark, sf_dir):
-    s = EV.silhouette(positions(spark, sf_dir), FIXED_CENTERS, mode="standard")
+    s = EV.silhouette(stored_positions(spark, sf_dir), FIXED_CENTERS, mode="standard")
     return s.select(F.round("silhouette", 6).alias("silhouette"))
 
 
@@ -483,7 +491,7 @@ def q_silhouette(spark, sf_dir):
     "E1, as-written formula: sums divided by the own cluster size",
 )
 def q_silhouette_own_size(spark, sf_dir):
-    s = EV.silhouette(positions(spark, sf_dir), FIXED_CENTERS, mode="own_size")
+    s = EV.silhouette(stored_positions(spark, sf_dir), FIXED_CENTERS, mode="own_size")
     return s.select(F.round("silhouette", 6).alias("silhouette"))
 
 
@@ -602,3 +610,96 @@ def q_raster_centers(spark, sf_dir):
     init = KM.pam_init(_keyed(spark, sf_dir), K_DEMO)
     cents = init.select((F.col("bucket") * K_DEMO + F.col("center_id")).cast("int").alias("center_id"), "lon", "lat")
     return RA.raster_centers(cents, spark).drop("status")
+
+
+# ---------------------------------------------------------------- C4-C26 (rows-only: seeded searches)
+from medoidlab.operators.kmeans import kmeans  # noqa: E402
+from medoidlab.plans.sweep import sweep  # noqa: E402
+from medoidlab.schema import ALG_CLARA  # noqa: E402
+
+
+def _scored(p: DataFrame, centers: DataFrame) -> DataFrame:
+    """Centres with the whole-data phi attached (k rows)."""
+    from medoidlab.operators.assign import objective_value
+
+    cl = centers.select("center_id", "lon", "lat").collect()
+    phi = objective_value(p, [(int(r[0]), float(r[1]), float(r[2])) for r in cl])
+    return centers.select("center_id", "lon", "lat").withColumn("phi", F.round(F.lit(phi), 1))
+
+
+@register("pam", None, "C6 + C7: PAM on a 4-bucket hash sample, merged by PAM; k = 4")
+def q_pam(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return _scored(p, KM.pam(p, K_DEMO, buckets=L_DEMO, seed=SEED))
+
+
+@register("pam_full", None, "C5 + C7: PAM on all rows in floor(sqrt(n/k)) buckets, merged by PAM")
+def q_pam_full(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return _scored(p, KM.pam(p, K_DEMO, seed=SEED))
+
+
+@register("clara", None, "C9: CLARA on a 4-bucket hash sample (the shipped demo setting)")
+def q_clara(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return _scored(p, KM.clara(p, K_DEMO, buckets=L_DEMO, seed=SEED))
+
+
+@register("clara_full", None, "C8: CLARA over all rows in floor(sqrt(n/k)) buckets")
+def q_clara_full(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return _scored(p, KM.clara(p, K_DEMO, seed=SEED))
+
+
+@register("clara_samples", None, "C10: CLARA on 4 exact samples of 100 rows drawn with replacement")
+def q_clara_samples(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return _scored(p, KM.clara(p, K_DEMO, sample_size=100, n_samples=4, seed=SEED))
+
+
+@register("clarafast", None, "C12: CLARAFAST, 5 exact samples of 40 + 2k rows")
+def q_clarafast(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return _scored(p, KM.clarafast(p, K_DEMO, seed=SEED))
+
+
+@register("clarans", None, "C13 + C15: CLARANS on all rows, 3 local searches, merged by CLARANS")
+def q_clarans(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return _scored(p, KM.clarans(p, K_DEMO, nlocal=3, seed=SEED))
+
+
+@register("kmeans", None, "C23 + C25: k-means|| (60 iterations) centres scored with haversine phi")
+def q_kmeans(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return _scored(p, kmeans(p, K_DEMO, seed=SEED))
+
+
+@register("sweep", None, "C26: the shipped sweep, CLARA for k = 4..6 with 4 buckets")
+def q_sweep(spark, sf_dir):
+    r = sweep(stored_positions(spark, sf_dir), 4, 6, 1, ALG_CLARA, seed=SEED)
+    return r.select("k", "algorithm", F.round("phi", 1).alias("phi"), F.size("centers").alias("n_centers"))
+
+
+@register(
+    "medoids_are_points",
+    "SELECT * FROM (VALUES ('PAM', CAST(0 AS BIGINT)), ('CLARA', CAST(0 AS BIGINT)), "
+    "('CLARAFAST', CAST(0 AS BIGINT)), ('CLARANS', CAST(0 AS BIGINT))) AS t(algorithm, not_points)",
+    "C4-C16 check: centres of every k-medoid search that are not input places (expect 0)",
+)
+def q_medoids_are_points(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    runs = {
+        "PAM": KM.pam(p, K_DEMO, buckets=L_DEMO, seed=SEED),
+        "CLARA": KM.clara(p, K_DEMO, buckets=L_DEMO, seed=SEED),
+        "CLARAFAST": KM.clarafast(p, K_DEMO, seed=SEED),
+        "CLARANS": KM.clarans(p, K_DEMO, nlocal=3, seed=SEED),
+    }
+    out = None
+    for name, c in runs.items():
+        miss = c.select("lon", "lat").join(p.select("lon", "lat").distinct(), ["lon", "lat"], "left_anti")
+        one = miss.agg(F.count(F.lit(1)).cast("bigint").alias("not_points")).select(
+            F.lit(name).alias("algorithm"), "not_points"
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
