@@ -1,9 +1,9 @@
 """Nearest-centre assignment and objective values.
 
 Centres are few (k rows) and travel as literals inside the expression, so assigning
-points never shuffles and never joins: each row picks its nearest centre with an
-unrolled ``least(struct(d_i, i))`` (k <= 8) or an ``array_min`` over a literal array.
-Ties go to the lower centre index, as with a strict ``<`` scan.
+points never shuffles and never joins: each row computes one distance per centre,
+takes their ``least`` and the first centre reaching it. Ties go to the lower centre
+index, as with a strict ``<`` scan.
 
 Many centre sets (CLARA scoring) are scored in one pass: one array element per set,
 exploded inside the same stage and summed with a partial + final aggregate, so only
@@ -19,10 +19,6 @@ from pyspark.sql import functions as F
 
 from medoidlab.functions.geo import haversine
 
-# Up to this many centres the per-row argmin is unrolled into ``least``.
-UNROLL_MAX_K = 8
-# Centres per literal array; more centres are split into several arrays.
-ARRAY_CHUNK = 1024
 # Largest centre table accepted as literals in one plan.
 MAX_LITERAL_CENTERS = 1 << 16
 # Centre sets scored per pass over the data in ``objective_many``.
@@ -64,48 +60,48 @@ def _center_array(chunk: list[tuple[int, float, float]]) -> Column:
     )
 
 
-def nearest_struct(centers, lon: str | Column = "lon", lat: str | Column = "lat") -> Column:
-    """Struct (d, c): distance to the nearest centre and its id, ties to the lower id."""
+def _col(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def nearest_dist(centers, lon: str | Column = "lon", lat: str | Column = "lat") -> Column:
+    """Distance to the nearest centre: ``least`` over plain double distances."""
     cl = as_center_list(centers)
     if not cl:
         raise ValueError("no centres")
-    lon_c = F.col(lon) if isinstance(lon, str) else lon
-    lat_c = F.col(lat) if isinstance(lat, str) else lat
-    if len(cl) == 1:
-        cid, clon, clat = cl[0]
-        return F.struct(haversine(lon_c, lat_c, clon, clat).alias("d"), F.lit(cid).alias("c"))
-    if len(cl) <= UNROLL_MAX_K:
-        return F.least(
-            *[
-                F.struct(haversine(lon_c, lat_c, clon, clat).alias("d"), F.lit(cid).alias("c"))
-                for cid, clon, clat in cl
-            ]
-        )
-    parts = []
-    for i in range(0, len(cl), ARRAY_CHUNK):
-        arr = _center_array(cl[i : i + ARRAY_CHUNK])
-        parts.append(
-            F.array_min(
-                F.transform(
-                    arr,
-                    lambda c: F.struct(
-                        haversine(lon_c, lat_c, c["lon"], c["lat"]).alias("d"), c["cid"].alias("c")
-                    ),
-                )
-            )
-        )
-    return parts[0] if len(parts) == 1 else F.least(*parts)
+    lon_c, lat_c = _col(lon), _col(lat)
+    terms = [haversine(lon_c, lat_c, clon, clat) for _, clon, clat in cl]
+    return terms[0] if len(terms) == 1 else F.least(*terms)
+
+
+def with_nearest(df: DataFrame, centers, lon: str = "lon", lat: str = "lat",
+                 cluster: str = "cluster", dist: str = "dist") -> DataFrame:
+    """Add ``cluster`` (nearest centre id) and ``dist`` (metres) to every row.
+
+    One distance column per centre, ``least`` over them, and the first centre whose
+    distance equals the minimum (ties go to the lower index, like a strict ``<`` scan).
+    Distances are plain doubles (struct comparisons cost about twice as much); the
+    per-centre columns are referenced twice, so Catalyst keeps them in their own
+    projection and each is computed once, all inside one codegen stage.
+    """
+    cl = as_center_list(centers)
+    if not cl:
+        raise ValueError("no centres")
+    names = [f"__d{i}" for i in range(len(cl))]
+    lon_c, lat_c = F.col(lon), F.col(lat)
+    out = df.select("*", *[haversine(lon_c, lat_c, clon, clat).alias(n) for n, (_, clon, clat) in zip(names, cl)])
+    m = F.col(names[0]) if len(names) == 1 else F.least(*[F.col(n) for n in names])
+    out = out.withColumn(dist, m)
+    pick = None
+    for n, (cid, _, _) in zip(names, cl):
+        cond = F.col(n) == F.col(dist)
+        pick = F.when(cond, F.lit(cid)) if pick is None else pick.when(cond, F.lit(cid))
+    return out.withColumn(cluster, pick.cast("int")).drop(*names)
 
 
 def assign_nearest(df: DataFrame, centers, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Every row plus ``cluster`` (nearest centre id) and ``dist`` (metres)."""
-    near = nearest_struct(centers, lon, lat)
-    return (
-        df.withColumn("__near", near)
-        .withColumn("cluster", F.col("__near.c").cast("int"))
-        .withColumn("dist", F.col("__near.d"))
-        .drop("__near")
-    )
+    return with_nearest(df, centers, lon, lat)
 
 
 def distances_to_centers(df: DataFrame, centers, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -126,8 +122,7 @@ def distances_to_centers(df: DataFrame, centers, lon: str = "lon", lat: str = "l
 
 def objective(df: DataFrame, centers) -> DataFrame:
     """A1: one-row DataFrame ``phi`` = sum of distances to the nearest centre."""
-    near = nearest_struct(centers)
-    return df.agg(F.sum(near["d"]).alias("phi"))
+    return df.agg(F.sum(nearest_dist(centers)).alias("phi"))
 
 
 def objective_value(df: DataFrame, centers) -> float:
@@ -148,37 +143,34 @@ def _sets_dict(sets) -> dict[int, list[tuple[int, float, float]]]:
     return {int(s): as_center_list(c) for s, c in dict(sets).items()}
 
 
-def _sets_array(sd: dict[int, list[tuple[int, float, float]]], ids: list[int]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("set_id"),
-                F.array(*[F.struct(F.lit(lon).alias("lon"), F.lit(lat).alias("lat")) for _, lon, lat in sd[s]]).alias(
-                    "cs"
-                ),
-            )
-            for s in ids
-        ]
-    )
+def _sets_array(sd: dict[int, list[tuple[int, float, float]]], ids: list[int], kmax: int) -> Column:
+    """One flat struct per set: set_id, lon0, lat0, ..., padded with nulls to kmax."""
+    def fields(cs):
+        out = []
+        for i in range(kmax):
+            lon, lat = (cs[i][1], cs[i][2]) if i < len(cs) else (None, None)
+            out.append(F.lit(lon).cast("double").alias(f"lon{i}"))
+            out.append(F.lit(lat).cast("double").alias(f"lat{i}"))
+        return out
 
+    return F.array(*[F.struct(F.lit(s).alias("set_id"), *fields(sd[s])) for s in ids])
 
-def _set_nearest(cs: Column, kmax: int, lon: Column, lat: Column) -> Column:
-    """Nearest distance to the centres array ``cs`` of one set (nulls past its end)."""
-    if kmax <= UNROLL_MAX_K:
-        terms = [haversine(lon, lat, F.get(cs, i)["lon"], F.get(cs, i)["lat"]) for i in range(kmax)]
-        return terms[0] if kmax == 1 else F.least(*terms)
-    return F.array_min(F.transform(cs, lambda c: haversine(lon, lat, c["lon"], c["lat"])))
+
+def _set_nearest(kmax: int, lon: Column, lat: Column) -> Column:
+    """Nearest distance to the centres of the exploded set ``__s`` (nulls are skipped)."""
+    terms = [haversine(lon, lat, F.col(f"__s.lon{i}"), F.col(f"__s.lat{i}")) for i in range(kmax)]
+    return terms[0] if kmax == 1 else F.least(*terms)
 
 
 def objective_many(df: DataFrame, sets, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """A2: ``(set_id, phi)`` for many centre sets, scored in one pass per batch of sets.
 
     ``sets`` is a DataFrame ``(set_id, center_id, lon, lat)`` or a mapping
-    ``set_id -> centres``. The sets travel as one literal array; every row is expanded
-    to one row per set *inside the scan stage* (a generator, nothing is shuffled), the
-    nearest distance is unrolled over the k centres of that set, and the sum is
-    aggregated partially before the only shuffle (one row per set and partition).
-    Expression size depends on k, not on the number of sets.
+    ``set_id -> centres``. The sets travel as one literal array of flat structs; every
+    row is expanded to one row per set *inside the scan stage* (a generator, nothing is
+    shuffled), the nearest distance is unrolled over the k centre fields of that set,
+    and the sum is aggregated partially before the only shuffle (one row per set and
+    partition). Expression size depends on k, not on the number of sets.
     """
     sd = _sets_dict(sets)
     ids = sorted(sd)
@@ -189,8 +181,10 @@ def objective_many(df: DataFrame, sets, lon: str = "lon", lat: str = "lat") -> D
     pieces = []
     for i in range(0, len(ids), SETS_PER_PASS):
         batch = ids[i : i + SETS_PER_PASS]
-        rows = df.select(lon_c.alias("__lon"), lat_c.alias("__lat"), F.explode(_sets_array(sd, batch)).alias("__s"))
-        d = _set_nearest(F.col("__s.cs"), kmax, F.col("__lon"), F.col("__lat"))
+        rows = df.select(
+            lon_c.alias("__lon"), lat_c.alias("__lat"), F.explode(_sets_array(sd, batch, kmax)).alias("__s")
+        )
+        d = _set_nearest(kmax, F.col("__lon"), F.col("__lat"))
         pieces.append(
             rows.select(F.col("__s.set_id").alias("set_id"), d.alias("d"))
             .groupBy("set_id")

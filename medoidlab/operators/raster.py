@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medoidlab.functions.geo import cluster_color, to_pixel_x, to_pixel_y
-from medoidlab.operators.assign import as_center_list, nearest_struct
+from medoidlab.operators.assign import as_center_list, with_nearest
 from medoidlab.schema import ALPHA_CLUSTERING, CENTER_SQUARE, IMAGE_BOX, IMAGE_SIZE, Box
 
 
@@ -20,7 +20,7 @@ def _with_cluster(df: DataFrame, centers, assign: str) -> DataFrame:
     if centers is None:
         return df.withColumn("cluster", F.lit(0))  # P13: no model, one colour
     if assign == "haversine":
-        return df.withColumn("cluster", nearest_struct(centers)["c"].cast("int"))
+        return with_nearest(df, centers, dist="__dist").drop("__dist")
     if assign == "planar":
         cl = as_center_list(centers)
         near = F.least(

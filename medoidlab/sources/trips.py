@@ -128,11 +128,15 @@ def trips_from_orders(orders: DataFrame) -> DataFrame:
             F.lit("],[-8.600000,41.150000]]"),
         )
     )
-    nulls = {c: F.lit(None).cast("string") for c in TRIP_COLUMNS}
-    nulls["TRIP_ID"] = key.cast("string")
-    nulls["CALL_TYPE"] = call_type
-    nulls["POLYLINE"] = polyline
-    return orders.select(*[nulls[c].alias(c) for c in TRIP_COLUMNS])
+    cols = {c: F.lit(None).cast("string") for c in TRIP_COLUMNS}
+    cols["TRIP_ID"] = key.cast("string")
+    cols["CALL_TYPE"] = call_type
+    cols["POLYLINE"] = polyline
+    # The row is emitted through a one-element generator: filters on POLYLINE then stop
+    # at the generator instead of being rewritten onto the hash expressions, so each
+    # hash runs once per order rather than once per predicate.
+    row = F.struct(*[cols[c].alias(c) for c in TRIP_COLUMNS])
+    return orders.select(F.inline(F.array(row)))
 
 
 def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
