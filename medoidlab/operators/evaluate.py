@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from medoidlab.functions.geo import hash32, salt
 from medoidlab.operators.assign import assign_nearest
-from medoidlab.operators.kernels import haversine_np
+from medoidlab.operators.kernels import chord_distance, unit_vectors
 from medoidlab.operators.neighbors import build_index, nearest_neighbor
 from medoidlab.operators.sampling import uniform_points
 from medoidlab.schema import CLEAN_BOX, Box
@@ -68,17 +68,15 @@ def _block_sums():
     def run(key, probes: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
         if probes.empty or targets.empty:
             return pd.DataFrame({"pid": pd.Series([], "int64"), "cluster": pd.Series([], "int32"), "s": []})
-        tl = targets["lon"].to_numpy(np.float64)
-        tt = targets["lat"].to_numpy(np.float64)
+        tv = unit_vectors(targets["lon"].to_numpy(np.float64), targets["lat"].to_numpy(np.float64))
         tc = targets["cluster"].to_numpy(np.int64)
         present = np.unique(tc)
         onehot = (tc[:, None] == present[None, :]).astype(np.float64)  # (m, c)
         pid = probes["pid"].to_numpy(np.int64)
-        pl = probes["lon"].to_numpy(np.float64)
-        pt = probes["lat"].to_numpy(np.float64)
+        pv = unit_vectors(probes["lon"].to_numpy(np.float64), probes["lat"].to_numpy(np.float64))
         out = []
         for i in range(0, len(pid), _CHUNK):
-            d = haversine_np(pl[i : i + _CHUNK, None], pt[i : i + _CHUNK, None], tl[None, :], tt[None, :])
+            d = chord_distance(pv[i : i + _CHUNK], tv)
             sums = d @ onehot  # (chunk, c)
             out.append(
                 pd.DataFrame(

@@ -15,6 +15,9 @@ from medoidlab.schema import EARTH_RADIUS_M
 BLOCK = 512
 # A swap must lower phi by more than this many metres to count as an improvement.
 IMPROVE_TOL = 1e-6
+# Buckets up to this many places keep their full distance matrix for the whole search
+# (8 * places^2 bytes: 4096 places = 128 MiB); larger ones recompute blocks per round.
+DENSE_MAX = 4096
 
 
 def haversine_np(lon1, lat1, lon2, lat2, radius: float = EARTH_RADIUS_M):
@@ -28,6 +31,29 @@ def haversine_np(lon1, lat1, lon2, lat2, radius: float = EARTH_RADIUS_M):
     return radius * (2.0 * np.arctan2(np.sqrt(a), np.sqrt(1.0 - a)))
 
 
+def unit_vectors(lon, lat):
+    """(n, 3) unit vectors of lon/lat degrees."""
+    phi = np.radians(lat)
+    lam = np.radians(lon)
+    c = np.cos(phi)
+    return np.stack([c * np.cos(lam), c * np.sin(lam), np.sin(phi)], axis=1)
+
+
+def chord_distance(u, v, radius: float = EARTH_RADIUS_M):
+    """Pairwise great-circle metres between unit vectors u (n, 3) and v (m, 3).
+
+    ``a = |u - v|^2 / 4`` is the haversine ``a`` (same value, about 1e-12 relative), so
+    the distance needs one sqrt and one arcsin per pair instead of the full formula.
+    """
+    a = np.zeros((u.shape[0], v.shape[0]))
+    for j in range(3):
+        diff = u[:, j : j + 1] - v[None, :, j]
+        a += diff * diff
+    a *= 0.25
+    np.clip(a, 0.0, 1.0, out=a)
+    return (2.0 * radius) * np.arcsin(np.sqrt(a))
+
+
 def dist_cols(lon, lat, idx):
     """Distances from every place to the places ``idx``: shape (u, len(idx))."""
     idx = np.asarray(idx, dtype=np.int64)
@@ -44,32 +70,41 @@ def nearest_two(dm):
     return d1, d2, order[:, 0]
 
 
-def swap_costs(lon, lat, w, medoids, cand=None):
+def swap_costs(lon, lat, w, medoids, cand=None, dense=None):
     """phi after putting each candidate in each slot: array (len(cand), k).
 
     The cost of point p is ``min(d(p, c), d1 or d2)``: its nearest remaining centre is
-    ``d2`` when the swapped slot was its nearest, ``d1`` otherwise.
+    ``d2`` when the swapped slot was its nearest, ``d1`` otherwise. ``dense`` is an
+    optional precomputed (u, u) distance matrix.
     """
     u = lon.shape[0]
     medoids = np.asarray(medoids, dtype=np.int64)
     k = medoids.shape[0]
     if cand is None:
         cand = np.arange(u)
-    d1, d2, near = nearest_two(dist_cols(lon, lat, medoids))
+    cols = (lambda idx: dense[:, idx]) if dense is not None else (lambda idx: dist_cols(lon, lat, idx))
+    d1, d2, near = nearest_two(cols(medoids))
     out = np.empty((len(cand), k))
     keep = [np.where(near == s, d2, d1) for s in range(k)]
     for b0 in range(0, len(cand), BLOCK):
         cb = cand[b0 : b0 + BLOCK]
-        dc = dist_cols(lon, lat, cb)  # (u, block)
+        dc = cols(cb)  # (u, block)
         for s in range(k):
             out[b0 : b0 + len(cb), s] = (w[:, None] * np.minimum(dc, keep[s][:, None])).sum(axis=0)
     return out, float((w * d1).sum())
 
 
-def best_swap(lon, lat, w, ids, medoids):
+def dense_matrix(lon, lat):
+    """Full (u, u) haversine matrix, or None above ``DENSE_MAX`` places."""
+    if lon.shape[0] > DENSE_MAX:
+        return None
+    return dist_cols(lon, lat, np.arange(lon.shape[0]))
+
+
+def best_swap(lon, lat, w, ids, medoids, dense=None):
     """Best single swap: (phi_now, phi_new, cand index, slot), ties by (phi, id, slot)."""
     medoids = np.asarray(medoids, dtype=np.int64)
-    costs, phi = swap_costs(lon, lat, w, medoids)
+    costs, phi = swap_costs(lon, lat, w, medoids, dense=dense)
     costs[medoids, :] = np.inf
     best = costs.min()
     if not np.isfinite(best):
@@ -94,10 +129,11 @@ def pam_search(lon, lat, w, ids, k, max_rounds=10_000):
     if med is None:
         return None
     med = med.copy()
+    dense = dense_matrix(lon, lat)
     rounds = 0
     phi = None
     while rounds < max_rounds:
-        phi, new_phi, c, s = best_swap(lon, lat, w, ids, med)
+        phi, new_phi, c, s = best_swap(lon, lat, w, ids, med, dense)
         if c < 0 or not (new_phi < phi - IMPROVE_TOL):
             break
         med[s] = c
@@ -139,6 +175,7 @@ def clarans_search(lon, lat, w, k, nlocal, nneighbor, rng):
     if k < 2:
         raise ValueError("CLARANS needs k >= 2")
     nneighbor = max(1, min(nneighbor, u - k))
+    dense = dense_matrix(lon, lat)
     starts = [np.sort(rng.choice(u, size=k, replace=False)) for _ in range(nlocal)]
     phis = []
     for med in starts:
@@ -155,7 +192,7 @@ def clarans_search(lon, lat, w, k, nlocal, nneighbor, rng):
             cand = rng.choice(pool, size=min(nneighbor, len(pool)), replace=False)
             flips = rng.integers(0, 2, size=len(cand))
             slots = np.where(flips == 0, c1, c2)
-            costs, _ = swap_costs(lon, lat, w, med, cand)
+            costs, _ = swap_costs(lon, lat, w, med, cand, dense)
             phi_n = costs[np.arange(len(cand)), slots]
             j = int(np.argmin(phi_n))
             if phi_n[j] < phis[i] - IMPROVE_TOL:

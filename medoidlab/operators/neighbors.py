@@ -5,10 +5,11 @@ top-down descent of a quadtree over the targets, one level per step, all in
 DataFrame equi-joins:
 
 * the targets are reduced to distinct places and summarised per cell at every level
-  (cell bbox, count, one real place as representative) in a single aggregate;
+  (cell bbox, place count and its four extreme places, west/east/south/north, with
+  ``min_by``/``max_by`` on doubles, so it stays a hash aggregate) in one pass;
 * a probe keeps, at each level, only the cells whose lower-bound distance (from the
-  cell bbox) is within its upper bound (the distance to some real target > 0), then
-  steps to the children of the kept cells;
+  cell bbox) is within its upper bound (the nearest extreme place at a distance > 0,
+  a real target), then steps to the children of the kept cells;
 * at the leaf level, where a cell holds at most ``LEAF_PLACES`` distinct places
   (depth chosen from the data), the kept cells are joined with their places.
 
@@ -30,7 +31,10 @@ LEAF_PLACES = 32
 # Each descent step divides the cell side by this factor (children per cell: its square).
 FANOUT = 2
 # Deepest level considered (cells of side extent / FANOUT**MAX_LEVEL).
-MAX_LEVEL = 12
+MAX_LEVEL = 16
+# The descent starts at the deepest level with at most this many occupied cells; every
+# probe is paired with all of them (a counted, bounded broadcast).
+START_CELLS = 64
 # Slack on lower bounds, metres, so rounding never prunes the true neighbour.
 LB_SLACK = 1e-6
 
@@ -54,7 +58,8 @@ def _cell_cols(lon: Column, lat: Column, origin, level_scale: Column) -> tuple[C
 def build_index(targets: DataFrame, leaf_places: int = LEAF_PLACES):
     """Distinct target places and their per-level cell summaries.
 
-    Returns ``(places, cells, origin, depth)``; ``places`` carries its leaf cell key.
+    Returns ``(places, cells, origin, depth, start)``; ``places`` carries its leaf cell
+    key; the descent runs from level ``start`` (at most ``START_CELLS`` cells) to ``depth``.
     """
     pl = targets.select("lon", "lat").where(F.col("lon").isNotNull() & F.col("lat").isNotNull()).distinct()
     ext = pl.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat"), F.count(F.lit(1))).collect()[0]
@@ -76,17 +81,21 @@ def build_index(targets: DataFrame, leaf_places: int = LEAF_PLACES):
             F.max("lon").alias("maxlon"),
             F.min("lat").alias("minlat"),
             F.max("lat").alias("maxlat"),
-            F.min(F.struct("lon", "lat")).alias("rep"),
+            F.min_by("lat", "lon").alias("lat_w"),
+            F.max_by("lat", "lon").alias("lat_e"),
+            F.min_by("lon", "lat").alias("lon_s"),
+            F.max_by("lon", "lat").alias("lon_n"),
         )
     )
     # Small summary (occupied cells per level), reused by every level of the descent.
     cells = cells.persist()
-    worst = {r[0]: r[1] for r in cells.groupBy("level").agg(F.max("cnt")).collect()}
-    depth = next((lv_ for lv_ in range(MAX_LEVEL + 1) if worst.get(lv_, 0) <= leaf_places), MAX_LEVEL)
-    cells = cells.where(F.col("level") <= depth)
+    stats = {r[0]: (r[1], r[2]) for r in cells.groupBy("level").agg(F.max("cnt"), F.count(F.lit(1))).collect()}
+    depth = next((lv_ for lv_ in range(MAX_LEVEL + 1) if stats.get(lv_, (0, 0))[0] <= leaf_places), MAX_LEVEL)
+    start = max(lv_ for lv_ in range(depth + 1) if stats.get(lv_, (0, 0))[1] <= START_CELLS)
+    cells = cells.where(F.col("level").between(start, depth))
     lcx, lcy = _cell_cols(F.col("lon"), F.col("lat"), origin, F.lit(float(FANOUT) ** depth))
     places = pl.select("lon", "lat", lcx.alias("cx"), lcy.alias("cy"))
-    return places, cells, origin, depth
+    return places, cells, origin, depth, start
 
 
 def nearest_neighbor(probes: DataFrame, targets: DataFrame, id_col: str = "id", index=None) -> DataFrame:
@@ -100,10 +109,10 @@ def nearest_neighbor(probes: DataFrame, targets: DataFrame, id_col: str = "id",
     pr = probes.select(F.col(id_col).alias("pid"), F.col("lon").alias("plon"), F.col("lat").alias("plat"))
     if idx is None:
         return pr.select(F.col("pid").alias(id_col), F.lit(None).cast("double").alias("nn_dist"))
-    places, cells, origin, depth = idx
+    places, cells, origin, depth, start = idx
     plon, plat = F.col("plon"), F.col("plat")
-    # Level 0 is a single cell covering every target (one row): every probe starts there.
-    root = cells.where(F.col("level") == 0).drop("level").withColumn("__k", F.lit(0))
+    # Every probe starts with all cells of the start level (at most START_CELLS rows).
+    root = cells.where(F.col("level") == start).drop("level").withColumn("__k", F.lit(0))
     cand = (
         pr.withColumn("__k", F.lit(0))
         .join(F.broadcast(root), "__k")
@@ -111,10 +120,16 @@ def nearest_neighbor(probes: DataFrame, targets: DataFrame, id_col: str = "id",
         .withColumn("ub_prev", F.lit(None).cast("double"))
     )
     by_probe = Window.partitionBy("pid")
-    for level in range(0, depth + 1):
-        rep_d = haversine(plon, plat, F.col("rep.lon"), F.col("rep.lat"))
+    for level in range(start, depth + 1):
+        reps = [
+            haversine(plon, plat, F.col("minlon"), F.col("lat_w")),
+            haversine(plon, plat, F.col("maxlon"), F.col("lat_e")),
+            haversine(plon, plat, F.col("lon_s"), F.col("minlat")),
+            haversine(plon, plat, F.col("lon_n"), F.col("maxlat")),
+        ]
+        ubc = F.least(*[F.when(d > 0, d) for d in reps])
         lb = _lower_bound(plon, plat, F.col("minlon"), F.col("maxlon"), F.col("minlat"), F.col("maxlat"))
-        cand = cand.withColumn("lb", lb).withColumn("ubc", F.when(rep_d > 0, rep_d))
+        cand = cand.withColumn("lb", lb).withColumn("ubc", ubc)
         cand = cand.withColumn("ub", F.least(F.min("ubc").over(by_probe), F.col("ub_prev")))
         cand = cand.where(F.col("ub").isNull() | (F.col("lb") <= F.col("ub")))
         keep = cand.select("pid", "plon", "plat", "cx", "cy")
@@ -129,7 +144,10 @@ def nearest_neighbor(probes: DataFrame, targets: DataFrame, id_col: str = "id",
             "maxlon",
             "minlat",
             "maxlat",
-            "rep",
+            "lat_w",
+            "lat_e",
+            "lon_s",
+            "lon_n",
         )
         parent = cand.select(
             "pid", "plon", "plat", F.col("cx").alias("pcx"), F.col("cy").alias("pcy"), F.col("ub").alias("ub_prev")
