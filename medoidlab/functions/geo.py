@@ -21,8 +21,34 @@ def _c(x) -> Column:
     return F.lit(x)
 
 
+def sql_ref(x) -> str | None:
+    """SQL text of a column name (``a`` or ``a.b``) or a number (double literal)."""
+    if isinstance(x, bool):
+        return None
+    if isinstance(x, str):
+        return ".".join(f"`{part}`" for part in x.split("."))
+    if isinstance(x, (int, float)):
+        return f"{float(x)!r}D"
+    return None
+
+
+def haversine_sql(lon1: str, lat1: str, lon2: str, lat2: str, radius: float = EARTH_RADIUS_M) -> str:
+    """Spark SQL text of the haversine formula (same operation order as below)."""
+    dlat = f"radians({lat2} - {lat1})"
+    dlon = f"radians({lon2} - {lon1})"
+    a = f"(sin({dlat} / 2) * sin({dlat} / 2) + cos(radians({lat1})) * cos(radians({lat2})) * sin({dlon} / 2) * sin({dlon} / 2))"
+    return f"({float(radius)!r}D * (2.0D * atan2(sqrt({a}), sqrt(1.0D - {a}))))"
+
+
 def haversine(lon1, lat1, lon2, lat2, radius: float = EARTH_RADIUS_M) -> Column:
-    """Great-circle distance in metres; exactly 0 for equal points."""
+    """Great-circle distance in metres; exactly 0 for equal points.
+
+    Arguments are column names, numbers or Columns. Names and numbers become a single
+    SQL expression (one call into the JVM instead of one per arithmetic step).
+    """
+    refs = [sql_ref(x) for x in (lon1, lat1, lon2, lat2)]
+    if all(r is not None for r in refs):
+        return F.expr(haversine_sql(*refs, radius=radius))
     lon1, lat1, lon2, lat2 = _c(lon1), _c(lat1), _c(lon2), _c(lat2)
     dlat = F.radians(lat2 - lat1)
     dlon = F.radians(lon2 - lon1)

@@ -69,8 +69,7 @@ def nearest_dist(centers, lon: str | Column = "lon", lat: str | Column = "lat")
     cl = as_center_list(centers)
     if not cl:
         raise ValueError("no centres")
-    lon_c, lat_c = _col(lon), _col(lat)
-    terms = [haversine(lon_c, lat_c, clon, clat) for _, clon, clat in cl]
+    terms = [haversine(lon, lat, clon, clat) for _, clon, clat in cl]
     return terms[0] if len(terms) == 1 else F.least(*terms)
 
 
@@ -88,8 +87,7 @@ def with_nearest(df: DataFrame, centers, lon: str = "lon", lat: str = "lat",
     if not cl:
         raise ValueError("no centres")
     names = [f"__d{i}" for i in range(len(cl))]
-    lon_c, lat_c = F.col(lon), F.col(lat)
-    out = df.select("*", *[haversine(lon_c, lat_c, clon, clat).alias(n) for n, (_, clon, clat) in zip(names, cl)])
+    out = df.select("*", *[haversine(lon, lat, clon, clat).alias(n) for n, (_, clon, clat) in zip(names, cl)])
     m = F.col(names[0]) if len(names) == 1 else F.least(*[F.col(n) for n in names])
     out = out.withColumn(dist, m)
     pick = None
@@ -116,7 +114,7 @@ def distances_to_centers(df: DataFrame, centers, lon: str = "lon", lat: str = "l
     return exploded.select(
         *[c for c in df.columns],
         F.col("__c.cid").alias("center_id"),
-        haversine(lon, lat, F.col("__c.lon"), F.col("__c.lat")).alias("dist"),
+        haversine(lon, lat, "__c.lon", "__c.lat").alias("dist"),
     )
 
 
@@ -143,22 +141,31 @@ def _sets_dict(sets) -> dict[int, list[tuple[int, float, float]]]:
     return {int(s): as_center_list(c) for s, c in dict(sets).items()}
 
 
+def _dbl(x) -> str:
+    """Exact double literal text (repr round-trips a Python float)."""
+    return "CAST(NULL AS DOUBLE)" if x is None else f"{float(x)!r}D"
+
+
 def _sets_array(sd: dict[int, list[tuple[int, float, float]]], ids: list[int], kmax: int) -> Column:
-    """One flat struct per set: set_id, lon0, lat0, ..., padded with nulls to kmax."""
-    def fields(cs):
-        out = []
+    """One flat struct per set: set_id, lon0, lat0, ..., padded with nulls to kmax.
+
+    Written as one SQL expression so the literal is built by a single parse on the JVM
+    instead of thousands of Python-to-JVM calls.
+    """
+    def one(s):
+        cs = sd[s]
+        fields = [f"'set_id', {int(s)}"]
         for i in range(kmax):
             lon, lat = (cs[i][1], cs[i][2]) if i < len(cs) else (None, None)
-            out.append(F.lit(lon).cast("double").alias(f"lon{i}"))
-            out.append(F.lit(lat).cast("double").alias(f"lat{i}"))
-        return out
+            fields.append(f"'lon{i}', {_dbl(lon)}, 'lat{i}', {_dbl(lat)}")
+        return f"named_struct({', '.join(fields)})"
 
-    return F.array(*[F.struct(F.lit(s).alias("set_id"), *fields(sd[s])) for s in ids])
+    return F.expr(f"array({', '.join(one(s) for s in ids)})")
 
 
-def _set_nearest(kmax: int, lon: Column, lat: Column) -> Column:
+def _set_nearest(kmax: int, lon: str, lat: str) -> Column:
     """Nearest distance to the centres of the exploded set ``__s`` (nulls are skipped)."""
-    terms = [haversine(lon, lat, F.col(f"__s.lon{i}"), F.col(f"__s.lat{i}")) for i in range(kmax)]
+    terms = [haversine(lon, lat, f"__s.lon{i}", f"__s.lat{i}") for i in range(kmax)]
     return terms[0] if kmax == 1 else F.least(*terms)
 
 
@@ -184,7 +191,7 @@ def objective_many(df: DataFrame, sets, lon: str = "lon", lat: str = "lat") -> D
         rows = df.select(
             lon_c.alias("__lon"), lat_c.alias("__lat"), F.explode(_sets_array(sd, batch, kmax)).alias("__s")
         )
-        d = _set_nearest(kmax, F.col("__lon"), F.col("__lat"))
+        d = _set_nearest(kmax, "__lon", "__lat")
         pieces.append(
             rows.select(F.col("__s.set_id").alias("set_id"), d.alias("d"))
             .groupBy("set_id")

@@ -39,13 +39,14 @@ START_CELLS = 64
 LB_SLACK = 1e-6
 
 
-def _lower_bound(plon: Column, plat: Column, minlon, maxlon, minlat, maxlat, radius=EARTH_RADIUS_M) -> Column:
-    dlat = F.greatest(minlat - plat, plat - maxlat, F.lit(0.0))
-    dlon = F.greatest(minlon - plon, plon - maxlon, F.lit(0.0))
-    lat_gap = F.lit(radius) * F.radians(dlat)
-    s = F.cos(F.radians(plat)) * F.sin(F.radians(F.least(dlon, F.lit(90.0))))
-    lon_gap = F.lit(radius) * F.asin(F.least(F.abs(s), F.lit(1.0)))
-    return F.greatest(lat_gap, lon_gap) - F.lit(LB_SLACK)
+def _lower_bound(radius=EARTH_RADIUS_M) -> Column:
+    """Spherical lower bound from probe (plon, plat) to the cell box, as one expression."""
+    dlat = "greatest(minlat - plat, plat - maxlat, 0.0D)"
+    dlon = "greatest(minlon - plon, plon - maxlon, 0.0D)"
+    lat_gap = f"{float(radius)!r}D * radians({dlat})"
+    s = f"cos(radians(plat)) * sin(radians(least({dlon}, 90.0D)))"
+    lon_gap = f"{float(radius)!r}D * asin(least(abs({s}), 1.0D))"
+    return F.expr(f"greatest({lat_gap}, {lon_gap}) - {float(LB_SLACK)!r}D")
 
 
 def _cell_cols(lon: Column, lat: Column, origin, level_scale: Column) -> tuple[Column, Column]:
@@ -110,7 +111,6 @@ def nearest_neighbor(probes: DataFrame, targets: DataFrame, id_col: str = "id",
     if idx is None:
         return pr.select(F.col("pid").alias(id_col), F.lit(None).cast("double").alias("nn_dist"))
     places, cells, origin, depth, start = idx
-    plon, plat = F.col("plon"), F.col("plat")
     # Every probe starts with all cells of the start level (at most START_CELLS rows).
     root = cells.where(F.col("level") == start).drop("level").withColumn("__k", F.lit(0))
     cand = (
@@ -122,13 +122,13 @@ def nearest_neighbor(probes: DataFrame, targets: DataFrame, id_col: str = "id",
     by_probe = Window.partitionBy("pid")
     for level in range(start, depth + 1):
         reps = [
-            haversine(plon, plat, F.col("minlon"), F.col("lat_w")),
-            haversine(plon, plat, F.col("maxlon"), F.col("lat_e")),
-            haversine(plon, plat, F.col("lon_s"), F.col("minlat")),
-            haversine(plon, plat, F.col("lon_n"), F.col("maxlat")),
+            haversine("plon", "plat", "minlon", "lat_w"),
+            haversine("plon", "plat", "maxlon", "lat_e"),
+            haversine("plon", "plat", "lon_s", "minlat"),
+            haversine("plon", "plat", "lon_n", "maxlat"),
         ]
         ubc = F.least(*[F.when(d > 0, d) for d in reps])
-        lb = _lower_bound(plon, plat, F.col("minlon"), F.col("maxlon"), F.col("minlat"), F.col("maxlat"))
+        lb = _lower_bound()
         cand = cand.withColumn("lb", lb).withColumn("ubc", ubc)
         cand = cand.withColumn("ub", F.least(F.min("ubc").over(by_probe), F.col("ub_prev")))
         cand = cand.where(F.col("ub").isNull() | (F.col("lb") <= F.col("ub")))
@@ -154,6 +154,6 @@ def nearest_neighbor(probes: DataFrame, targets: DataFrame, id_col: str = "id",
         )
         cand = parent.join(child, ["pcx", "pcy"]).drop("pcx", "pcy")
     leaf = keep.join(places.withColumnRenamed("lon", "tlon").withColumnRenamed("lat", "tlat"), ["cx", "cy"])
-    d = haversine(plon, plat, F.col("tlon"), F.col("tlat"))
+    d = haversine("plon", "plat", "tlon", "tlat")
     best = leaf.select("pid", d.alias("d")).where(F.col("d") > 0).groupBy("pid").agg(F.min("d").alias("nn_dist"))
     return pr.select("pid").join(best, "pid", "left").select(F.col("pid").alias(id_col), "nn_dist")

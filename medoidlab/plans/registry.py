@@ -298,8 +298,9 @@ def q_not_in_cluster(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- C2, C22, C1, A2, A10
-def _keyed(spark, sf_dir) -> DataFrame:
-    p = stored_positions(spark, sf_dir)
+def _keyed(spark, sf_dir, p: DataFrame | None = None) -> DataFrame:
+    if p is None:
+        p = stored_positions(spark, sf_dir)
     return S.with_bucket(p, _full_buckets(p.count()), SEED)
 
 
@@ -353,8 +354,9 @@ _SET_PHI = f"""setphi AS (
     "A2: phi on all positions of every bucket's initial medoid set, one pass",
 )
 def q_objective_many(spark, sf_dir):
-    init = KM.pam_init(_keyed(spark, sf_dir), K_DEMO).withColumnRenamed("bucket", "set_id")
-    out = objective_many(positions(spark, sf_dir), init)
+    p = stored_positions(spark, sf_dir)
+    init = KM.pam_init(_keyed(spark, sf_dir, p), K_DEMO).withColumnRenamed("bucket", "set_id")
+    out = objective_many(p, init)
     return out.select("set_id", F.round("phi", 1).alias("phi"))
 
 
@@ -366,8 +368,9 @@ def q_objective_many(spark, sf_dir):
     "A10/C11: the centre set with the lowest phi on the whole data",
 )
 def q_clara_select(spark, sf_dir):
-    init = KM.pam_init(_keyed(spark, sf_dir), K_DEMO).withColumnRenamed("bucket", "set_id")
-    best = best_set(objective_many(positions(spark, sf_dir), init))
+    p = stored_positions(spark, sf_dir)
+    init = KM.pam_init(_keyed(spark, sf_dir, p), K_DEMO).withColumnRenamed("bucket", "set_id")
+    best = best_set(objective_many(p, init))
     return best.select("set_id", F.round("phi", 1).alias("phi"))
 
 
@@ -410,7 +413,7 @@ def q_pam_swap_step(spark, sf_dir):
     "C4 check: buckets where one more swap still improves the PAM result (expect 0)",
 )
 def q_pam_optimality(spark, sf_dir):
-    p = positions(spark, sf_dir)
+    p = stored_positions(spark, sf_dir)
     return KM.pam_optimality(p, K_DEMO, _full_buckets(p.count()), SEED)
 
 
@@ -703,3 +706,29 @@ def q_medoids_are_points(spark, sf_dir):
         )
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@register("kmeans_radius_stats", None, "E3 on a k-means model: planar assignment, radii in metres")
+def q_kmeans_radius_stats(spark, sf_dir):
+    from medoidlab.operators.kmeans import kmeans_centers, kmeans_model
+
+    p = stored_positions(spark, sf_dir)
+    model = kmeans_model(p, K_DEMO, seed=SEED)
+    r = EV.radius_stats(p, kmeans_centers(model), metric="planar")
+    return r.select(F.round("mean_radius", 3).alias("mean_radius"), F.round("std_radius", 3).alias("std_radius"),
+                    F.col("clusters").cast("bigint").alias("clusters"))
+
+
+@register("raster_kmeans", None, "R4 with a k-means model: pixels coloured by the model's planar prediction")
+def q_raster_kmeans(spark, sf_dir):
+    from medoidlab.operators.kmeans import kmeans_centers, kmeans_model
+
+    p = stored_positions(spark, sf_dir)
+    cs = kmeans_centers(kmeans_model(p, K_DEMO, seed=SEED))
+    return RA.cluster_colors(RA.raster(p, cs, assign="planar"), K_DEMO)
+
+
+@register("pixel_colors", None, "A14: blended pixel colours of the clustering picture (alpha 0.6)")
+def q_pixel_colors(spark, sf_dir):
+    r = RA.raster(positions(spark, sf_dir), FIXED_CENTERS)
+    return RA.pixel_colors(r, len(FIXED_CENTERS))

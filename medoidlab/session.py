@@ -61,3 +61,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that arrives in fewer partitions than the session can run at
+    once (a small single-file table) over ``defaultParallelism`` partitions.
+
+    Inputs already split finer than that (any large table) are returned unchanged, so
+    this never adds a shuffle at scale.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df

@@ -140,6 +140,12 @@ def trips_from_orders(orders: DataFrame) -> DataFrame:
 
 
 def trips_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw trips for one scale-factor directory of the driver tables."""
+    """Raw trips for one scale-factor directory of the driver tables.
+
+    A small single-file ``orders`` table is spread over the session's cores before
+    the (hash-heavy) derivation; a large table keeps its own splits.
+    """
+    from medoidlab.session import spread
+
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
-    return trips_from_orders(orders)
+    return trips_from_orders(spread(orders))
