@@ -20,7 +20,7 @@ from medoidlab.operators.sampling import uniform_points
 from medoidlab.schema import CLEAN_BOX, Box
 
 # Points per block of the silhouette's blocked all-pairs pass.
-SILHOUETTE_BLOCK = 2048
+SILHOUETTE_BLOCK = 4096
 # Probe rows per numpy chunk inside one block pair (memory: chunk x block doubles).
 _CHUNK = 1024
 
@@ -64,29 +64,35 @@ _SUMS_SCHEMA = T.StructType(
 )
 
 
-def _block_sums():
-    def run(key, probes: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
-        if probes.empty or targets.empty:
-            return pd.DataFrame({"pid": pd.Series([], "int64"), "cluster": pd.Series([], "int32"), "s": []})
-        tv = unit_vectors(targets["lon"].to_numpy(np.float64), targets["lat"].to_numpy(np.float64))
-        tc = targets["cluster"].to_numpy(np.int64)
-        present = np.unique(tc)
-        onehot = (tc[:, None] == present[None, :]).astype(np.float64)  # (m, c)
-        pid = probes["pid"].to_numpy(np.int64)
-        pv = unit_vectors(probes["lon"].to_numpy(np.float64), probes["lat"].to_numpy(np.float64))
-        out = []
-        for i in range(0, len(pid), _CHUNK):
-            d = chord_distance(pv[i : i + _CHUNK], tv)
-            sums = d @ onehot  # (chunk, c)
-            out.append(
-                pd.DataFrame(
-                    {
-                        "pid": np.repeat(pid[i : i + _CHUNK], len(present)),
-                        "cluster": np.tile(present.astype(np.int32), len(pid[i : i + _CHUNK])),
-                        "s": sums.reshape(-1),
-                    }
-                )
-            )
+def _pair_sums():
+    def emit(pid, clusters, sums):
+        return pd.DataFrame(
+            {
+                "pid": np.repeat(pid, len(clusters)),
+                "cluster": np.tile(clusters.astype(np.int32), len(pid)),
+                "s": sums.reshape(-1),
+            }
+        )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        left = pdf[pdf["blk"] == a]
+        right = left if a == b else pdf[pdf["blk"] == b]
+        clusters = np.unique(pdf["cluster"].to_numpy(np.int64))
+        lv = unit_vectors(left["lon"].to_numpy(np.float64), left["lat"].to_numpy(np.float64))
+        rv = unit_vectors(right["lon"].to_numpy(np.float64), right["lat"].to_numpy(np.float64))
+        l_hot = (left["cluster"].to_numpy(np.int64)[:, None] == clusters[None, :]).astype(np.float64)
+        r_hot = (right["cluster"].to_numpy(np.int64)[:, None] == clusters[None, :]).astype(np.float64)
+        l_sums = np.empty((len(left), len(clusters)))
+        r_sums = np.zeros((len(right), len(clusters)))
+        for i in range(0, len(left), _CHUNK):
+            d = chord_distance(lv[i : i + _CHUNK], rv)  # (chunk, |right|)
+            l_sums[i : i + _CHUNK] = d @ r_hot
+            if a != b:
+                r_sums += d.T @ l_hot[i : i + _CHUNK]
+        out = [emit(left["pid"].to_numpy(np.int64), clusters, l_sums)]
+        if a != b:
+            out.append(emit(right["pid"].to_numpy(np.int64), clusters, r_sums))
         return pd.concat(out, ignore_index=True)
 
     return run
@@ -95,22 +101,23 @@ def _block_sums():
 def distance_sums(assigned: DataFrame, block: int = SILHOUETTE_BLOCK, seed: int = 0) -> DataFrame:
     """``(pid, cluster, s)``: sum of distances from each point to every point of each cluster.
 
-    Blocked all-pairs: points are split into ``B`` blocks as probes and as targets;
-    each (probe block, target block) pair is one cogrouped task computing distances in
-    numpy chunks, so no pair is ever a row and no task holds more than two blocks.
-    Output rows per task are ``probes x clusters``, summed over target blocks after.
+    Blocked all-pairs using symmetry: points fall into ``B`` hash blocks; every block
+    pair ``a <= b`` is one group holding the two blocks, computing one distance matrix
+    in numpy chunks and emitting sums both ways, so no pair is ever a row, no task holds
+    more than two blocks, and each distance is computed once. Each point is copied to
+    the ``B`` groups of its block; output per group is ``points x clusters`` partial sums.
     """
     n = assigned.count()
     nb = max(1, -(-n // block))
     key = F.pmod(hash32("id", salt(seed, "block")), F.lit(nb)).cast("int")
     base = assigned.select(F.col("id").alias("pid"), "lon", "lat", "cluster", key.alias("blk"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
-    probes = base.select(F.col("blk").alias("a"), others.alias("b"), "pid", "lon", "lat")
-    targets = base.select(others.alias("a"), F.col("blk").alias("b"), "lon", "lat", "cluster")
-    parts = nb * nb
-    g1 = probes.repartition(parts, "a", "b").groupBy("a", "b")
-    g2 = targets.repartition(parts, "a", "b").groupBy("a", "b")
-    sums = g1.cogroup(g2).applyInPandas(_block_sums(), _SUMS_SCHEMA)
+    j = F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j")
+    rows = base.select("*", j)
+    rows = rows.select(
+        F.least("blk", "j").alias("a"), F.greatest("blk", "j").alias("b"), "blk", "pid", "lon", "lat", "cluster"
+    )
+    parts = nb * (nb + 1) // 2
+    sums = rows.repartition(parts, "a", "b").groupBy("a", "b").applyInPandas(_pair_sums(), _SUMS_SCHEMA)
     return sums.groupBy("pid", "cluster").agg(F.sum("s").alias("s"))
 
 
