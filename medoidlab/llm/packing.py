@@ -66,7 +66,7 @@ def _tokenise(path: str, end_id: int):
         end = e.pack([end_id])
         for batch in batches:
             texts = batch.column("text")
-            for a, b in slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)):
+            for a, b in slices(texts):
                 packed = [x + end for x in e.batch(texts.slice(a, b - a).to_pylist())]
                 ids = [np.frombuffer(x, e.width) for x in packed]
                 yield pa.RecordBatch.from_arrays(

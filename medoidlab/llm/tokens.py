@@ -13,6 +13,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -75,9 +77,10 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def slices(sizes: np.ndarray, most: int = 1 << 21):
-    """Runs (start, end) of neighbouring rows whose sizes add up to about ``most``, so a
-    task's memory is bounded by one run, or by one row if that is larger."""
+def slices(texts: pa.Array, most: int = 1 << 21):
+    """Runs (start, end) of neighbouring texts whose bytes add up to about ``most``, so a
+    task's memory is bounded by one run, or by one text if that is larger."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, size in enumerate(sizes.tolist()):
         if total and total + size > most:
