@@ -21,6 +21,9 @@ from medoidlab.functions.geo import haversine
 
 # Largest centre table accepted as literals in one plan.
 MAX_LITERAL_CENTERS = 1 << 16
+# Up to this many centres the distances are unrolled into columns; above, one literal
+# array is folded, which grows the work with k but not the plan.
+UNROLLED_CENTERS = 8
 # Centre sets scored per pass over the data in ``objective_many``.
 SETS_PER_PASS = 8192
 
@@ -60,6 +63,11 @@ def _center_array(chunk: list[tuple[int, float, float]]) -> Column:
     )
 
 
+def _distance_array(cl: list[tuple[int, float, float]], lon: str | Column, lat: str | Column) -> Column:
+    values = ", ".join(f"named_struct('lon', {x!r}D, 'lat', {y!r}D)" for _, x, y in cl)
+    return F.transform(F.expr(f"array({values})"), lambda c: haversine(lon, lat, c["lon"], c["lat"]))
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -69,6 +77,8 @@ def nearest_dist(centers, lon: str | Column = "lon", lat: str | Column = "lat")
     cl = as_center_list(centers)
     if not cl:
         raise ValueError("no centres")
+    if len(cl) > UNROLLED_CENTERS:
+        return F.array_min(_distance_array(cl, lon, lat))
     terms = [haversine(lon, lat, clon, clat) for _, clon, clat in cl]
     return terms[0] if len(terms) == 1 else F.least(*terms)
 
@@ -86,6 +96,11 @@ def with_nearest(df: DataFrame, centers, lon: str = "lon", lat: str = "lat",
     cl = as_center_list(centers)
     if not cl:
         raise ValueError("no centres")
+    if len(cl) > UNROLLED_CENTERS:
+        ids = F.expr(f"array({', '.join(str(cid) for cid, _, _ in cl)})")
+        out = df.select("*", _distance_array(cl, lon, lat).alias("__d")).withColumn(dist, F.array_min("__d"))
+        first = F.array_position(F.col("__d"), F.col(dist)).cast("int")
+        return out.withColumn(cluster, F.get(ids, first - 1).cast("int")).drop("__d")
     names = [f"__d{i}" for i in range(len(cl))]
     out = df.select("*", *[haversine(lon, lat, clon, clat).alias(n) for n, (_, clon, clat) in zip(names, cl)])
     m = F.col(names[0]) if len(names) == 1 else F.least(*[F.col(n) for n in names])

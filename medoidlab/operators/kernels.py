@@ -120,7 +120,7 @@ def first_distinct(ids, k):
     return order[:k] if len(order) >= k else None
 
 
-def pam_search(lon, lat, w, ids, k, max_rounds=10_000):
+def pam_search(lon, lat, w, ids, k):
     """Steepest-descent PAM from the first k places in id order.
 
     Returns (medoid indices, phi, rounds) or None when there are fewer than k places.
@@ -132,13 +132,13 @@ def pam_search(lon, lat, w, ids, k, max_rounds=10_000):
     dense = dense_matrix(lon, lat)
     rounds = 0
     phi = None
-    while rounds < max_rounds:
+    while True:  # phi falls by IMPROVE_TOL at least each round, so this ends
         phi, new_phi, c, s = best_swap(lon, lat, w, ids, med, dense)
         if c < 0 or not (new_phi < phi - IMPROVE_TOL):
             break
         med[s] = c
         rounds += 1
-    if phi is None or rounds:
+    if rounds:
         d1, _, _ = nearest_two(dist_cols(lon, lat, med))
         phi = float((w * d1).sum())
     return med, phi, rounds

@@ -30,8 +30,9 @@ from medoidlab.operators.assign import clara_select
 from medoidlab.operators.sampling import bucketed_sample, exact_sample, exact_sample_replace, with_bucket
 from medoidlab.session import cut_lineage
 
-# Largest number of distinct places one bucket's search may hold.
-MAX_BUCKET_PLACES = 20_000
+# Rows that a bucket (or a group of the merge) is planned to hold. Not a cap: a bucket
+# that turns out larger is solved all the same, in blocks of bounded memory.
+BUCKET_ROWS = 20_000
 
 MEDOID_SCHEMA = T.StructType(
     [
@@ -78,24 +79,24 @@ def _solver_partitions(df: DataFrame, n_buckets: int) -> int:
     return max(1, min(n_buckets, max(cap, 1)))
 
 
-def check_bucket_sizes(pl: DataFrame, limit: int = MAX_BUCKET_PLACES, bucket: str = "bucket") -> tuple[int, int, int]:
-    """(largest bucket, bucket count, total places) in one job.
+def bucket_sizes(pl: DataFrame, bucket: str = "bucket") -> tuple[int, int]:
+    """(bucket count, total places) in one job."""
+    row = pl.groupBy(bucket).count().agg(F.count(F.lit(1)).alias("b"), F.sum("count").alias("t")).collect()[0]
+    return int(row["b"] or 0), int(row["t"] or 0)
+
+
+def full_buckets(n: int, k: int, limit: int = BUCKET_ROWS) -> int:
+    """Buckets of a full search: ``floor(sqrt(n/k))``, more if they would exceed ``limit``."""
+    return max(1, math.isqrt(n // k), -(-n // limit))
 
-    Raises, naming ``buckets=``, when a bucket holds more than ``limit`` places.
-    """
-    row = (
-        pl.groupBy(bucket)
-        .count()
-        .agg(F.max("count").alias("m"), F.count(F.lit(1)).alias("b"), F.sum("count").alias("t"))
-        .collect()[0]
-    )
-    m = int(row["m"] or 0)
-    if m > limit:
-        raise ValueError(
-            f"a bucket holds {m} distinct places, above the limit {limit}; "
-            "use more buckets (buckets=) or a smaller sample"
-        )
-    return m, int(row["b"] or 0), int(row["t"] or 0)
+
+def split_buckets(keyed: DataFrame, expected: int, seed: int, limit: int) -> DataFrame:
+    """Split every bucket by a second hash digit where ``expected`` rows exceed ``limit``."""
+    digits = -(-expected // limit)
+    if digits <= 1:
+        return keyed
+    inner = with_bucket(keyed.withColumnRenamed("bucket", "__outer"), digits, seed + 104729)
+    return inner.withColumn("bucket", (F.col("__outer") * digits + F.col("bucket")).cast("int")).drop("__outer")
 
 
 def _arrays(pdf: pd.DataFrame):
@@ -132,7 +133,7 @@ def _pam_group(k: int):
     return run
 
 
-def pam_buckets(df: DataFrame, k: int, limit: int = MAX_BUCKET_PLACES) -> DataFrame:
+def pam_buckets(df: DataFrame, k: int) -> DataFrame:
     """C4: PAM in every bucket of ``df`` (needs ``bucket, id, lon, lat``).
 
     Output ``(bucket, center_id, id, lon, lat, phi, rounds)``: k rows per bucket with at
@@ -140,7 +141,7 @@ def pam_buckets(df: DataFrame, k: int, limit: int = MAX_BUCKET_PLACES) -> DataFr
     """
     pl = places(df).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _, n_buckets, _ = check_bucket_sizes(pl, limit)
+        n_buckets, _ = bucket_sizes(pl)
         pl2 = pl.repartition(_solver_partitions(pl, n_buckets), "bucket")
         # k rows per bucket: small; checkpointed so callers never rerun the search.
         return cut_lineage(pl2.groupBy("bucket").applyInPandas(_pam_group(k), MEDOID_SCHEMA))
@@ -174,7 +175,6 @@ def _first_step(k: int):
 def pam_swap_step(df: DataFrame, k: int) -> DataFrame:
     """C1 (one step): from the ``pam_init`` medoids, the best single swap per bucket."""
     pl = places(df)
-    check_bucket_sizes(pl)
     return pl.repartition("bucket").groupBy("bucket").applyInPandas(_first_step(k), STEP_SCHEMA)
 
 
@@ -204,7 +204,6 @@ def _costs(k: int):
 def swap_cost(df: DataFrame, k: int) -> DataFrame:
     """Phi after each (candidate place, slot) swap from the ``pam_init`` medoids."""
     pl = places(df)
-    check_bucket_sizes(pl)
     return pl.repartition("bucket").groupBy("bucket").applyInPandas(_costs(k), COST_SCHEMA)
 
 
@@ -224,7 +223,11 @@ def pam_init(df: DataFrame, k: int) -> DataFrame:
 
 
 def _merge(medoids: DataFrame, k: int, seed: int, limit: int, search) -> DataFrame:
-    """Run ``search`` over bucket centres until one group is left."""
+    """Run ``search`` over bucket centres until one group is left (C7/C15). Centres are
+    dealt to groups by hash rank, so group sizes differ by one at most and every level
+    shrinks the table by half at least."""
+    if limit < 2 * k:
+        raise ValueError(f"limit {limit} is below 2k = {2 * k}: the merge would not shrink")
     cur = medoids.select("id", "lon", "lat")
     level = 0
     while True:
@@ -239,7 +242,10 @@ def _merge(medoids: DataFrame, k: int, seed: int, limit: int, search) -> DataFra
             one = cur.withColumn("bucket", F.lit(0))
             return search(one).select("center_id", "id", "lon", "lat")
         level += 1
-        cur = search(with_bucket(cur, groups, seed + 7919 * level)).select("id", "lon", "lat")
+        # Bucket centres only: about sqrt(n k) rows at the first level.
+        order = Window.orderBy(F.xxhash64("id", F.lit(seed + 7919 * level)), "id", "lon", "lat")
+        dealt = cur.withColumn("bucket", ((F.row_number().over(order) - 1) % groups).cast("int"))
+        cur = search(dealt).select("id", "lon", "lat")
 
 
 def _n_and_lmax(df: DataFrame, n: int | None):
@@ -249,7 +255,7 @@ def _n_and_lmax(df: DataFrame, n: int | None):
 
 
 def pam(df: DataFrame, k: int, buckets: int | None = None, seed: int = 0, n: int | None = None,
-        limit: int = MAX_BUCKET_PLACES) -> DataFrame:
+        limit: int = BUCKET_ROWS) -> DataFrame:
     """PAM per bucket, then PAM again over the l*k bucket centres.
 
     ``buckets=None``: all rows in ``floor(sqrt(n/k))`` buckets; ``buckets=l``: a
@@ -258,28 +264,27 @@ def pam(df: DataFrame, k: int, buckets: int | None = None, seed: int = 0, n: int
     """
     n, lmax = _n_and_lmax(df, n)
     if buckets is None:
-        l = max(1, int(math.isqrt(n // k)))
-        keyed = with_bucket(df, l, seed)
+        keyed = with_bucket(df, full_buckets(n, k, limit), seed)
     else:
-        keyed = bucketed_sample(df, buckets, seed, n)
-    med = pam_buckets(keyed, k, limit)
-    return _merge(med, k, seed, limit, lambda g: pam_buckets(g, k, limit))
+        keyed = split_buckets(bucketed_sample(df, buckets, seed, n), lmax, seed, limit)
+    med = pam_buckets(keyed, k)
+    return _merge(med, k, seed, limit, lambda g: pam_buckets(g, k))
 
 
 def _sets_from_medoids(med: DataFrame) -> DataFrame:
     return med.select(F.col("bucket").alias("set_id"), "center_id", "lon", "lat")
 
 
-def clara_from_buckets(df: DataFrame, keyed: DataFrame, k: int, limit: int = MAX_BUCKET_PLACES) -> DataFrame:
+def clara_from_buckets(df: DataFrame, keyed: DataFrame, k: int) -> DataFrame:
     """C11: PAM per bucket, score each set on all of ``df``, keep the best."""
-    med = pam_buckets(keyed, k, limit)
+    med = pam_buckets(keyed, k)
     best = clara_select(df, _sets_from_medoids(med)).collect()[0]
     return med.where(F.col("bucket") == int(best["set_id"])).select("center_id", "id", "lon", "lat")
 
 
 def clara(df: DataFrame, k: int, buckets: int | None = None, sample_size: int | None = None,
           n_samples: int | None = None, seed: int = 0, n: int | None = None,
-          limit: int = MAX_BUCKET_PLACES) -> DataFrame:
+          limit: int = BUCKET_ROWS) -> DataFrame:
     """CLARA. Full (all rows, floor(sqrt(n/k)) buckets), reduced
     (``buckets=l``), or fixed samples (``sample_size`` x ``n_samples``, with replacement).
     """
@@ -292,19 +297,19 @@ def clara(df: DataFrame, k: int, buckets: int | None = None, sample_size: int |
         if n_samples < 1:
             raise ValueError(f"bad n_samples {n_samples}")
         keyed = exact_sample_replace(df, sample_size * n_samples, seed, buckets=n_samples, n=n)
-        keyed = keyed.select("bucket", F.col("draw").alias("id"), "lon", "lat")
+        keyed = keyed.select("bucket", "id", "lon", "lat")
     elif buckets is None:
-        keyed = with_bucket(df, max(1, int(math.isqrt(n // k))), seed)
+        keyed = with_bucket(df, full_buckets(n, k, limit), seed)
     else:
-        keyed = bucketed_sample(df, buckets, seed, n)
-    return clara_from_buckets(df, keyed, k, limit)
+        keyed = split_buckets(bucketed_sample(df, buckets, seed, n), lmax, seed, limit)
+    return clara_from_buckets(df, keyed, k)
 
 
-def clarafast(df: DataFrame, k: int, seed: int = 0, limit: int = MAX_BUCKET_PLACES) -> DataFrame:
+def clarafast(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """5 exact samples of 40 + 2k rows (no replacement), CLARA selection."""
     l = 5
     keyed = exact_sample(df, l * (40 + 2 * k), seed, buckets=l)
-    return clara_from_buckets(df, keyed, k, limit)
+    return clara_from_buckets(df, keyed, k)
 
 
 def _clarans_group(k: int, nlocal: int, nneighbor: int, seed: int, schema=MEDOID_SCHEMA):
@@ -332,11 +337,11 @@ def _clarans_group(k: int, nlocal: int, nneighbor: int, seed: int, schema=MEDOID
 
 
 def clarans_buckets(keyed: DataFrame, k: int, nlocal: int, seed: int, n_buckets: int,
-                    limit: int = MAX_BUCKET_PLACES, nneighbor: int | None = None) -> DataFrame:
+                    nneighbor: int | None = None) -> DataFrame:
     """CLARANS in every bucket; the budget comes from the mean distinct bucket size."""
     pl = places(keyed).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _, present, nd = check_bucket_sizes(pl, limit)  # nd: T2, distinct (bucket, place) count
+        present, nd = bucket_sizes(pl)  # nd: T2, distinct (bucket, place) count
         if nneighbor is None:
             nneighbor = K.clarans_budget(k, nd // max(1, n_buckets))
         pl2 = pl.repartition(_solver_partitions(pl, max(present, 1)), "bucket")
@@ -347,7 +352,7 @@ def clarans_buckets(keyed: DataFrame, k: int, nlocal: int, seed: int, n_buckets:
 
 
 def clarans(df: DataFrame, k: int, buckets: int | None = None, nlocal: int = 3, seed: int = 0,
-            n: int | None = None, limit: int = MAX_BUCKET_PLACES) -> DataFrame:
+            n: int | None = None, limit: int = BUCKET_ROWS) -> DataFrame:
     """CLARANS per bucket, then CLARANS over the l*k bucket centres."""
     if k < 2:
         raise ValueError("CLARANS needs k >= 2")
@@ -355,25 +360,27 @@ def clarans(df: DataFrame, k: int, buckets: int | None = None, nlocal: int = 3,
         raise ValueError(f"nlocal must be in [2, 5], got {nlocal}")
     n, lmax = _n_and_lmax(df, n)
     if buckets is None:
-        l = max(1, int(math.isqrt(n // k)))
+        l = full_buckets(n, k, limit)
         keyed = with_bucket(df, l, seed)
     else:
-        l = buckets
-        keyed = bucketed_sample(df, buckets, seed, n)
-    med = clarans_buckets(keyed, k, nlocal, seed, l, limit)
+        l = buckets * max(1, -(-lmax // limit))
+        keyed = split_buckets(bucketed_sample(df, buckets, seed, n), lmax, seed, limit)
+    med = clarans_buckets(keyed, k, nlocal, seed, l)
 
     def merge_search(g: DataFrame) -> DataFrame:
         # C17 for the merge: the budget follows the distinct centres per group.
         pl = places(g)
-        _, groups, nd = check_bucket_sizes(pl, limit)
+        groups, nd = bucket_sizes(pl)
         nb = K.clarans_budget(k, nd // max(1, groups))
-        return clarans_buckets(g, k, nlocal, seed + 1, groups, limit, nneighbor=nb)
+        return clarans_buckets(g, k, nlocal, seed + 1, groups, nneighbor=nb)
 
     return _merge(med, k, seed, limit, merge_search)
 
 
 def pam_optimality(df: DataFrame, k: int, buckets: int, seed: int) -> DataFrame:
-    """Check: buckets where one more swap would still improve the PAM result (expect 0)."""
+    """Check of C4: ``buckets_solved`` (those that returned exactly k centres),
+    ``centers`` and ``improvable_buckets``, those of them where one more swap would
+    still improve the result (expect 0)."""
     keyed = with_bucket(df, buckets, seed)
     pl = places(keyed)
     med = pam_buckets(keyed, k).select("bucket", "lon", "lat", F.lit(True).alias("is_med"))
@@ -383,10 +390,18 @@ def pam_optimality(df: DataFrame, k: int, buckets: int, seed: int) -> DataFrame:
         b = int(pdf["bucket"].iloc[0])
         pdf, lon, lat, w, ids = _arrays(pdf)
         medi = np.nonzero(pdf["is_med"].to_numpy(bool))[0]
-        if len(medi) < k:
-            return pd.DataFrame({"bucket": [b], "improvable": [False]})
+        if len(medi) != k:
+            return pd.DataFrame({"bucket": [b], "centers": [len(medi)], "improvable": [False]})
         phi, new_phi, c, s = K.best_swap(lon, lat, w, ids, medi)
-        return pd.DataFrame({"bucket": [b], "improvable": [bool(c >= 0 and new_phi < phi - K.IMPROVE_TOL)]})
+        better = bool(c >= 0 and new_phi < phi - K.IMPROVE_TOL)
+        return pd.DataFrame({"bucket": [b], "centers": [k], "improvable": [better]})
 
-    res = tagged.repartition("bucket").groupBy("bucket").applyInPandas(run, "bucket int, improvable boolean")
-    return res.agg(F.sum(F.col("improvable").cast("bigint")).cast("bigint").alias("improvable_buckets"))
+    parts = _solver_partitions(pl, buckets)
+    res = tagged.repartition(parts, "bucket").groupBy("bucket").applyInPandas(
+        run, "bucket int, centers int, improvable boolean"
+    )
+    return res.agg(
+        F.sum(F.col("improvable").cast("bigint")).cast("bigint").alias("improvable_buckets"),
+        F.sum((F.col("centers") == k).cast("bigint")).cast("bigint").alias("buckets_solved"),
+        F.sum("centers").cast("bigint").alias("centers"),
+    )

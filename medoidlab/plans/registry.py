@@ -409,8 +409,12 @@ def q_pam_swap_step(spark, sf_dir):
 
 @register(
     "pam_optimality",
-    "SELECT CAST(0 AS BIGINT) AS improvable_buckets",
-    "C4 check: buckets where one more swap still improves the PAM result (expect 0)",
+    Q.with_positions(
+        "SELECT CAST(0 AS BIGINT) AS improvable_buckets, count(DISTINCT bucket) AS buckets_solved, "
+        "count(*) AS centers FROM init",
+        *_PAM_CTES,
+    ),
+    "C4 check: buckets solved, their centres, and those where a swap still improves the result (0)",
 )
 def q_pam_optimality(spark, sf_dir):
     p = stored_positions(spark, sf_dir)
@@ -686,9 +690,12 @@ def q_sweep(spark, sf_dir):
 
 @register(
     "medoids_are_points",
-    "SELECT * FROM (VALUES ('PAM', CAST(0 AS BIGINT)), ('CLARA', CAST(0 AS BIGINT)), "
-    "('CLARAFAST', CAST(0 AS BIGINT)), ('CLARANS', CAST(0 AS BIGINT))) AS t(algorithm, not_points)",
-    "C4-C16 check: centres of every k-medoid search that are not input places (expect 0)",
+    Q.with_positions(
+        "SELECT algorithm, CAST(0 AS BIGINT) AS not_points, "
+        f"CAST(least({K_DEMO}, (SELECT count(*) FROM (SELECT DISTINCT lon, lat FROM positions))) AS BIGINT) AS centers "
+        "FROM (VALUES ('PAM'), ('CLARA'), ('CLARAFAST'), ('CLARANS')) AS t(algorithm)"
+    ),
+    "C4-C16 check: distinct centres of every k-medoid search, and those that are no input place (0)",
 )
 def q_medoids_are_points(spark, sf_dir):
     p = stored_positions(spark, sf_dir)
@@ -700,10 +707,12 @@ def q_medoids_are_points(spark, sf_dir):
     }
     out = None
     for name, c in runs.items():
-        miss = c.select("lon", "lat").join(p.select("lon", "lat").distinct(), ["lon", "lat"], "left_anti")
-        one = miss.agg(F.count(F.lit(1)).cast("bigint").alias("not_points")).select(
-            F.lit(name).alias("algorithm"), "not_points"
-        )
+        known = p.select("lon", "lat").distinct().withColumn("known", F.lit(1))
+        found = c.select("lon", "lat").distinct().join(known, ["lon", "lat"], "left")
+        one = found.agg(
+            F.count(F.when(F.col("known").isNull(), 1)).cast("bigint").alias("not_points"),
+            F.count(F.lit(1)).cast("bigint").alias("centers"),
+        ).select(F.lit(name).alias("algorithm"), "not_points", "centers")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -37,6 +37,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a local one only when unset."""
     sc = spark.sparkContext
@@ -44,7 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.conf.get(_CHECKPOINT_KEY, None) or sc.getConf().get(_CHECKPOINT_KEY, None)
         if not current:
-            # Unset: a local test session. A cluster always names a shared folder.
+            if not _is_local(spark):
+                raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that the driver and all executors share")
             current = tempfile.mkdtemp(prefix="medoidlab-ckpt-")
             spark.conf.set(_CHECKPOINT_KEY, current)
         sc.setCheckpointDir(current)
@@ -64,12 +70,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread an input that arrives in fewer partitions than the session can run at
-    once (a small single-file table) over ``defaultParallelism`` partitions.
-
-    Inputs already split finer than that (any large table) are returned unchanged, so
-    this never adds a shuffle at scale.
-    """
+    """On a local session only (tests, benchmarks): spread an input that arrives in fewer
+    partitions than there are cores. On a cluster the input is returned unchanged."""
+    if not _is_local(df.sparkSession):
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)

@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medoidlab.functions.geo import hash32
-from medoidlab.schema import POSITION_JSON_SCHEMA, POSITION_SCHEMA, TRIP_COLUMNS, TRIP_SCHEMA
+from medoidlab.schema import POSITION_JSON_SCHEMA, POSITION_SCHEMA, TRIP_COLUMNS
 
 
 def read_trips(spark: SparkSession, path: str) -> DataFrame:
-    """Raw trip CSV. Columns are bound by header name, all strings."""
-    df = spark.read.option("header", True).schema(TRIP_SCHEMA).option("enforceSchema", False).csv(path)
+    """Raw trip CSV. Columns are bound by header name, all strings. Only the first
+    file's header is read ahead; a file whose header differs from it is an error, never
+    rows under wrong names."""
+    header = spark.read.option("header", True).csv(path).schema
+    df = spark.read.option("header", True).schema(header).option("enforceSchema", False).csv(path)
     return df.select(*TRIP_COLUMNS)
 
 
@@ -72,14 +75,17 @@ def load_positions(
     """
     from medoidlab.operators.clean import clean_trips
 
-    if cache_path and path_exists(spark, cache_path):
+    # A copy counts only when its writer has ended: a batch leaves _SUCCESS, a stream its
+    # metadata log. Anything else is the rest of a broken write and is written anew.
+    ended = cache_path and any(path_exists(spark, f"{cache_path}/{x}") for x in ("_SUCCESS", "_spark_metadata"))
+    if ended:
         return read_positions(spark, cache_path, fmt)
     if not path_exists(spark, raw_path):
         raise FileNotFoundError(f"raw trip data not found: {raw_path}")
     cleaned = clean_trips(read_trips(spark, raw_path))
     if not cache_path:
         return cleaned
-    write_positions(cleaned, cache_path, fmt)
+    write_positions(cleaned, cache_path, fmt, mode="overwrite")
     return read_positions(spark, cache_path, fmt)
 
 

@@ -16,12 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from medoidlab.operators.clean import clean_trips
 from medoidlab.schema import TRIP_COLUMNS, TRIP_SCHEMA
-from medoidlab.session import ensure_checkpoint_dir
 
 
 def read_trips_stream(spark: SparkSession, raw_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming S1: every CSV file landing in ``raw_dir``, header row, all strings."""
-    reader = spark.readStream.option("header", True).schema(TRIP_SCHEMA)
+    """Streaming S1: every CSV file landing in ``raw_dir``, header row, all strings.
+    A file whose header does not match stops the stream instead of losing its rows."""
+    reader = spark.readStream.option("header", True).schema(TRIP_SCHEMA).option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     return reader.csv(raw_dir).select(*TRIP_COLUMNS)
@@ -39,10 +39,11 @@ def clean_positions_stream(
 
     ``available_now=True`` processes what is there and stops (batch-like runs on a
     schedule); otherwise it runs continuously with ``processing_time`` triggers.
-    The checkpoint defaults to a folder under the session's ``spark.checkpoint.dir``.
+    The checkpoint defaults to ``_checkpoint`` inside ``out_dir``: it belongs to the
+    output, so a new session goes on where the last one ended.
     """
     if checkpoint is None:
-        checkpoint = os.path.join(ensure_checkpoint_dir(spark), "clean-positions-stream")
+        checkpoint = os.path.join(out_dir, "_checkpoint")
     cleaned = clean_trips(read_trips_stream(spark, raw_dir))
     writer = cleaned.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
     writer = writer.outputMode("append")

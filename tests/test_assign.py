@@ -59,3 +59,19 @@ def test_assignment_plan_has_no_shuffle_and_no_python(pts):
     assert "Exchange" not in plan
     assert "Python" not in plan and "ArrowEval" not in plan
     assert F is not None
+
+
+def test_many_centers_agree_with_few(pts):
+    from medoidlab.operators import assign as A
+
+    df = pts([(i, -8.69 + i * 1e-3, 41.0 + (i * 37 % 100) * 1e-3) for i in range(200)])
+    centers = [(-8.69 + i * 2e-2, 41.0 + (i % 5) * 2e-2) for i in range(12)] + [(-8.69, 41.0)]
+    folded = A.assign_nearest(df, centers).orderBy("id").collect()
+    total = A.objective(df, centers).collect()[0][0]
+    limit, A.UNROLLED_CENTERS = A.UNROLLED_CENTERS, 99
+    try:
+        unrolled = A.assign_nearest(df, centers).orderBy("id").collect()
+    finally:
+        A.UNROLLED_CENTERS = limit
+    assert [(r.id, r.cluster, r.dist) for r in folded] == [(r.id, r.cluster, r.dist) for r in unrolled]
+    assert abs(total - sum(r.dist for r in folded)) < 1e-3

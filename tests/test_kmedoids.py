@@ -113,10 +113,32 @@ def test_guards(pts):
         KM.clara(df, 2, sample_size=10_000, n_samples=2)
 
 
-def test_bucket_cap_names_buckets(pts):
+def test_no_bucket_is_too_large(pts):
     df = pts(_blobs(10)).withColumn("bucket", F.lit(0))
-    with pytest.raises(ValueError, match="buckets="):
-        KM.pam_buckets(df, 2, limit=5)
+    assert KM.pam_buckets(df, 2).count() == 2
+
+
+@pytest.mark.parametrize("n", [40, 60, 100])
+def test_merge_of_several_levels(spark, n):
+    rows = [(i, -8.6 + (i % 4) * 0.05 + i * 1e-5, 41.1 + (i % 4) * 0.05) for i in range(n)]
+    med = spark.createDataFrame(rows, "id long, lon double, lat double")
+    out = KM._merge(med, 4, 1, 20, lambda g: KM.pam_buckets(g, 4)).collect()
+    assert len(out) == 4 and {r.id for r in out} <= set(range(n))
+    with pytest.raises(ValueError, match="2k"):
+        KM._merge(med, 4, 1, 7, lambda g: g)
+
+
+@pytest.mark.parametrize("buckets", [None, 5])
+def test_small_limit_splits_buckets_and_merges(pts, buckets):
+    df = pts([(i, -8.69 + (i % 50) * 0.005, 41.05 + (i // 50) * 0.005) for i in range(2500)])
+    assert KM.pam(df, 4, buckets=buckets, seed=3, limit=30).count() == 4
+    assert KM.clarans(df, 4, buckets=buckets, seed=3, limit=30).count() == 4
+    assert KM.clara(df, 4, buckets=buckets, seed=3, limit=30).count() == 4
+
+
+def test_fixed_samples_return_trip_ids(pts):
+    df = pts([(1_000_000 + i, -8.6 + i * 1e-4, 41.1 + (i % 7) * 1e-3) for i in range(300)])
+    assert all(r.id >= 1_000_000 for r in KM.clara(df, 3, sample_size=40, n_samples=3, seed=1).collect())
 
 
 def test_clarans_budget():

@@ -56,3 +56,27 @@ def test_results_append_and_overwrite(spark, tmp_path):
     assert all(r.lat_1 == "NULL" for r in got if r.algorithm == "1")
     write_results(res, path, mode="overwrite")
     assert spark.read.option("header", True).csv(path).count() == 2
+
+
+def test_trip_columns_bind_by_name(spark, tmp_path):
+    from medoidlab.sources.trips import read_trips
+
+    (tmp_path / "t.csv").write_text(
+        'CALL_TYPE,TRIP_ID,ORIGIN_CALL,ORIGIN_STAND,TAXI_ID,TIMESTAMP,DAY_TYPE,MISSING_DATA,POLYLINE\n'
+        'C,7,,,1,0,A,False,"[[-8.6,41.1]]"\n'
+    )
+    row = read_trips(spark, str(tmp_path / "t.csv")).first()
+    assert (row.TRIP_ID, row.CALL_TYPE) == ("7", "C")
+
+
+def test_broken_copy_is_written_anew(spark, tmp_path):
+    from medoidlab.sources.trips import load_positions
+
+    raw, copy = tmp_path / "raw.csv", tmp_path / "copy"
+    raw.write_text(
+        'TRIP_ID,CALL_TYPE,ORIGIN_CALL,ORIGIN_STAND,TAXI_ID,TIMESTAMP,DAY_TYPE,MISSING_DATA,POLYLINE\n'
+        '7,C,,,1,0,A,False,"[[-8.6,41.1]]"\n'
+    )
+    (copy / "_temporary").mkdir(parents=True)
+    for _ in range(2):
+        assert [r.id for r in load_positions(spark, str(raw), str(copy)).collect()] == [7]
