@@ -1,8 +1,9 @@
 """Cover trees over integer vectors and dual-tree search for the largest inner products.
 
 A node is a ball: a centre and the covering radius of all points below it. Children are
-a net of the node's points at a smaller scale; a node whose points the net does not thin
-out is a leaf. For a query ball (centre q, radius r) and a data ball (c, s) no pair scores
+a net of the node's points: a few far-apart points, each with the points nearest to it. A
+node whose net does not thin it out is a leaf; leaves are large enough for one matrix
+product to be worth more than further pruning. For a query ball (centre q, radius r) and a data ball (c, s) no pair scores
 more than  q.c + |q| s + |c| r + r s, so a pair of nodes is pruned when that is below the
 worst k-th score of the queries in the ball.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LEAF, SHRINK = 64, 0.75
+LEAF, NET = 256, 8
 _SLACK = 1 + 1e-9
 
 
@@ -35,19 +36,17 @@ def build(points: np.ndarray, leaf: int = LEAF) -> Node:
         node = todo.pop()
         if len(node.rows) <= leaf or node.radius == 0:
             continue
-        scale, left, groups = node.radius * SHRINK, node.rows, []
-        limit = max(4, len(node.rows) // 16)
-        far = points[left] - node.centre
-        far = (far * far).sum(axis=1)
-        while len(left) and len(groups) < limit:
-            pivot = left[int(far.argmax())]
-            gap = points[left] - points[pivot]
-            near = np.sqrt((gap * gap).sum(axis=1)) <= scale
-            groups.append(left[near])
-            left, far = left[~near], far[~near]
-        if len(left):
-            groups.append(left)
-        if len(groups) < 2 or max(map(len, groups)) > 0.95 * len(node.rows):
+        own = points[node.rows]
+        gap = ((own - node.centre) ** 2).sum(axis=1)
+        nearest, owner = np.full(len(own), np.inf), np.zeros(len(own), np.int64)
+        for n in range(NET):
+            pivot = own[int(gap.argmax())]
+            gap = ((own - pivot) ** 2).sum(axis=1)
+            owner[gap < nearest] = n
+            nearest = np.minimum(nearest, gap)
+            gap = nearest
+        groups = [g for g in (node.rows[owner == n] for n in range(NET)) if len(g)]
+        if len(groups) < 2 or max(map(len, groups)) > 0.9 * len(node.rows):
             continue
         node.children = [Node(points, g) for g in groups]
         todo += node.children
@@ -65,20 +64,19 @@ class Search:
 
     def base(self, rows: np.ndarray, node: Node) -> None:
         """All products of some queries with a node's points."""
-        scores = (self.qf[rows] @ self.df[node.rows].T)
-        for i, row in zip(rows.tolist(), scores):
-            own = self.di[node.rows] != self.qi[i]
-            good = np.flatnonzero(own & (row >= self.worst[i]))
-            if len(good) > self.k:
-                cut = np.partition(row[good], len(good) - self.k)[len(good) - self.k]
-                good = good[row[good] >= cut]
-            if len(good):
-                ids = self.di[node.rows[good]].tolist()
-                held = self.best[i] + list(zip((-row[good]).tolist(), ids))
-                held.sort()
-                self.best[i] = held = held[: self.k]
-                if len(held) == self.k:
-                    self.worst[i] = max(self.worst[i], -held[-1][0])
+        scores = self.qf[rows] @ self.df[node.rows].T
+        ids = self.di[node.rows]
+        good = (scores >= self.worst[rows][:, None]) & (ids != self.qi[rows][:, None])
+        for at in np.flatnonzero(good.any(axis=1)).tolist():
+            i, some = int(rows[at]), np.flatnonzero(good[at])
+            row = scores[at, some]
+            if len(some) > self.k:
+                cut = np.partition(row, len(row) - self.k)[len(row) - self.k]
+                some, row = some[row >= cut], row[row >= cut]
+            held = sorted(self.best[i] + list(zip((-row).tolist(), ids[some].tolist())))[: self.k]
+            self.best[i] = held
+            if len(held) == self.k:
+                self.worst[i] = max(self.worst[i], -held[-1][0])
 
     def run(self, query_root: Node, data_root: Node) -> None:
         todo = [(query_root, data_root, np.inf)]
