@@ -15,14 +15,17 @@ from pyspark.sql import types as T
 from medoidlab.functions.geo import hash32, salt
 from medoidlab.operators.assign import assign_nearest
 from medoidlab.operators.kernels import chord_distance, unit_vectors
-from medoidlab.operators.neighbors import build_index, nearest_neighbor
-from medoidlab.operators.sampling import uniform_points
+from medoidlab.operators.neighbors import build_index, nearest_places
+from medoidlab.operators.sampling import bernoulli_sample, uniform_points
 from medoidlab.schema import CLEAN_BOX, Box
+from medoidlab.session import cut_lineage
 
-# Points per block of the silhouette's blocked all-pairs pass.
+# Places per block of the silhouette's blocked all-pairs pass: from the first value, which
+# spreads small inputs, blocks grow to the second, so that copies of a place stay few.
 SILHOUETTE_BLOCK = 4096
-# Probe rows per numpy chunk inside one block pair (memory: chunk x block doubles).
-_CHUNK = 1024
+SILHOUETTE_BLOCK_MAX = 65_536
+# Distances held at a time inside one block pair.
+_CHUNK_CELLS = 4_000_000
 
 
 def data_box(df: DataFrame) -> Box:
@@ -31,33 +34,46 @@ def data_box(df: DataFrame) -> Box:
     return Box(float(r[0]), float(r[1]), float(r[2]), float(r[3]))
 
 
-def hopkins(df: DataFrame, seed: int = 0, box: Box | str | None = None, n: int | None = None) -> DataFrame:
+def hopkins(df: DataFrame, seed: int = 0, box: Box | str | None = None, n: int | None = None,
+            fraction: float = 1.0) -> DataFrame:
     """Hopkins statistic ``W / (W + U)`` as a one-row DataFrame ``(w, u, hopkins)``.
 
     W sums each point's nearest other point (distance > 0) in ``df``; U does the same
     for as many uniform points drawn in ``box``. ``box=None`` uses the data's own
-    extent; ``box="fixed"`` the reference's fixed cleaning box.
+    extent; ``box="fixed"`` the reference's fixed cleaning box. ``fraction`` below 1
+    takes a seeded sample first (the default takes all rows). Rows without a coordinate
+    are left out; without rows all three values are null.
     """
+    pts = df.select("id", "lon", "lat").where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    if fraction < 1.0:
+        pts = bernoulli_sample(pts, fraction, seed)
+    index = build_index(pts)
+    if index is None:
+        null = F.lit(None).cast("double")
+        return df.sparkSession.range(1).select(null.alias("w"), null.alias("u"), null.alias("hopkins"))
+    weights = pts.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("w"))
     if box is None:
-        box = data_box(df)
+        box = data_box(index[0])
     elif box == "fixed":
         box = CLEAN_BOX
     if n is None:
-        n = df.count()
-    spark = df.sparkSession
-    pts = df.select("id", "lon", "lat")
-    index = build_index(pts)
-    w = nearest_neighbor(pts, pts, index=index).agg(F.sum("nn_dist").alias("w"))
-    uni = uniform_points(spark, n, box, seed)
-    u = nearest_neighbor(uni, pts, index=index).agg(F.sum("nn_dist").alias("u"))
-    # Both sides are single-row aggregates: an equi-join on a constant key pairs them.
-    wu = w.withColumn("__k", F.lit(0)).join(u.withColumn("__k", F.lit(0)), "__k")
-    return wu.select("w", "u", (F.col("w") / (F.col("w") + F.col("u"))).alias("hopkins"))
+        n = pts.count()
+    near = weights.join(nearest_places(weights, index), ["lon", "lat"])
+    uniform = nearest_places(uniform_points(df.sparkSession, n, box, seed).select("lon", "lat").distinct(), index)
+    null = F.lit(None).cast("double")
+    both = near.select((F.col("w") * F.col("nn_dist")).alias("w"), null.alias("u")).unionByName(
+        uniform.select(null.alias("w"), F.col("nn_dist").alias("u"))
+    )
+    sums = both.agg(F.sum("w").alias("w"), F.sum("u").alias("u"))
+    return sums.select("w", "u", (F.col("w") / (F.col("w") + F.col("u"))).alias("hopkins"))
 
 
 _SUMS_SCHEMA = T.StructType(
     [
-        T.StructField("pid", T.LongType(), False),
+        T.StructField("lon", T.DoubleType(), False),
+        T.StructField("lat", T.DoubleType(), False),
+        T.StructField("own", T.IntegerType(), False),
+        T.StructField("w", T.LongType(), False),
         T.StructField("cluster", T.IntegerType(), False),
         T.StructField("s", T.DoubleType(), False),
     ]
@@ -65,83 +81,92 @@ _SUMS_SCHEMA = T.StructType(
 
 
 def _pair_sums():
-    def emit(pid, clusters, sums):
-        return pd.DataFrame(
-            {
-                "pid": np.repeat(pid, len(clusters)),
-                "cluster": np.tile(clusters.astype(np.int32), len(pid)),
-                "s": sums.reshape(-1),
-            }
-        )
+    def emit(side, clusters, sums):
+        out = side[["lon", "lat", "own", "w"]].loc[side.index.repeat(len(clusters))]
+        return out.assign(cluster=np.tile(clusters.astype(np.int32), len(side)), s=sums.reshape(-1))
+
+    def hot(side, clusters):
+        """One column per cluster, holding the place's weight in its own."""
+        member = side["own"].to_numpy(np.int64)[:, None] == clusters[None, :]
+        return member * side["w"].to_numpy(np.float64)[:, None]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        left = pdf[pdf["blk"] == a]
-        right = left if a == b else pdf[pdf["blk"] == b]
-        clusters = np.unique(pdf["cluster"].to_numpy(np.int64))
+        left = pdf[pdf["blk"] == a].reset_index(drop=True)
+        right = left if a == b else pdf[pdf["blk"] == b].reset_index(drop=True)
+        clusters = np.unique(pdf["own"].to_numpy(np.int64))
         lv = unit_vectors(left["lon"].to_numpy(np.float64), left["lat"].to_numpy(np.float64))
         rv = unit_vectors(right["lon"].to_numpy(np.float64), right["lat"].to_numpy(np.float64))
-        l_hot = (left["cluster"].to_numpy(np.int64)[:, None] == clusters[None, :]).astype(np.float64)
-        r_hot = (right["cluster"].to_numpy(np.int64)[:, None] == clusters[None, :]).astype(np.float64)
+        l_hot, r_hot = hot(left, clusters), hot(right, clusters)
         l_sums = np.empty((len(left), len(clusters)))
         r_sums = np.zeros((len(right), len(clusters)))
-        for i in range(0, len(left), _CHUNK):
-            d = chord_distance(lv[i : i + _CHUNK], rv)  # (chunk, |right|)
-            l_sums[i : i + _CHUNK] = d @ r_hot
+        chunk = max(1, _CHUNK_CELLS // max(1, len(right)))
+        for i in range(0, len(left), chunk):
+            d = chord_distance(lv[i : i + chunk], rv)  # (chunk, |right|)
+            l_sums[i : i + chunk] = d @ r_hot
             if a != b:
-                r_sums += d.T @ l_hot[i : i + _CHUNK]
-        out = [emit(left["pid"].to_numpy(np.int64), clusters, l_sums)]
+                r_sums += d.T @ l_hot[i : i + chunk]
+        out = [emit(left, clusters, l_sums)]
         if a != b:
-            out.append(emit(right["pid"].to_numpy(np.int64), clusters, r_sums))
+            out.append(emit(right, clusters, r_sums))
         return pd.concat(out, ignore_index=True)
 
     return run
 
 
-def distance_sums(assigned: DataFrame, block: int = SILHOUETTE_BLOCK, seed: int = 0) -> DataFrame:
-    """``(pid, cluster, s)``: sum of distances from each point to every point of each cluster.
+def _block_count(n: int, tasks: int, block: int | None) -> int:
+    """Blocks whose pairs fill ``tasks``, within the bounds of a block's places."""
+    if block is not None:
+        return max(1, -(-n // block))
+    wanted = int((2 * tasks) ** 0.5) + 1
+    return max(1, -(-n // SILHOUETTE_BLOCK_MAX), min(-(-n // SILHOUETTE_BLOCK), wanted))
 
-    Blocked all-pairs using symmetry: points fall into ``B`` hash blocks; every block
-    pair ``a <= b`` is one group holding the two blocks, computing one distance matrix
-    in numpy chunks and emitting sums both ways, so no pair is ever a row, no task holds
-    more than two blocks, and each distance is computed once. Each point is copied to
-    the ``B`` groups of its block; output per group is ``points x clusters`` partial sums.
+
+def distance_sums(assigned: DataFrame, block: int | None = None, seed: int = 0) -> DataFrame:
+    """``(lon, lat, own, w, cluster, s)``: for each distinct place (``w`` rows, assigned to
+    ``own``) the sum of distances to every row of each cluster.
+
+    Rows are collapsed to weighted places, so repeated ids and hot places are right and
+    cheap. Blocked all-pairs using symmetry: places fall into ``B`` hash blocks; every
+    block pair ``a <= b`` is one group holding the two blocks, computing one distance
+    matrix in numpy chunks and emitting sums both ways, so no pair is ever a row, no task
+    holds more than two blocks, and each distance is computed once. Each place is copied
+    to the ``B`` groups of its block; the groups are dealt to the session's shuffle
+    partitions, whatever their number.
     """
-    n = assigned.count()
-    nb = max(1, -(-n // block))
-    key = F.pmod(hash32("id", salt(seed, "block")), F.lit(nb)).cast("int")
-    base = assigned.select(F.col("id").alias("pid"), "lon", "lat", "cluster", key.alias("blk"))
-    j = F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j")
-    rows = base.select("*", j)
-    rows = rows.select(
-        F.least("blk", "j").alias("a"), F.greatest("blk", "j").alias("b"), "blk", "pid", "lon", "lat", "cluster"
+    spark = assigned.sparkSession
+    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    places = assigned.where(known).groupBy("lon", "lat").agg(
+        F.min("cluster").alias("own"), F.count(F.lit(1)).alias("w")
     )
-    parts = nb * (nb + 1) // 2
+    places = cut_lineage(places)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    nb = _block_count(places.count(), tasks, block)
+    text = F.concat_ws(",", F.col("lon").cast("string"), F.col("lat").cast("string"))
+    key = F.pmod(hash32(text, salt(seed, "block")), F.lit(nb)).cast("int")
+    j = F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j")
+    rows = places.select("*", key.alias("blk")).select("*", j)
+    rows = rows.select(F.least("blk", "j").alias("a"), F.greatest("blk", "j").alias("b"), *places.columns, "blk")
+    parts = min(nb * (nb + 1) // 2, tasks)
     sums = rows.repartition(parts, "a", "b").groupBy("a", "b").applyInPandas(_pair_sums(), _SUMS_SCHEMA)
-    return sums.groupBy("pid", "cluster").agg(F.sum("s").alias("s"))
-
+    return sums.groupBy("lon", "lat", "own", "w", "cluster").agg(F.sum("s").alias("s"))
 
-def silhouette_points(df: DataFrame, centers, mode: str = "standard", block: int = SILHOUETTE_BLOCK) -> DataFrame:
-    """E1 per point: ``(id, cluster, a, b, silhouette)``.
 
-    ``standard``: a = own-cluster sum / (|own| - 1), b = min over other clusters of
-    the cluster mean; singletons and 0/0 give 0. ``own_size`` (the reference's written
-    formula): both sums divided by |own|, b the min of the other clusters' sums.
-    """
+def _place_silhouettes(assigned: DataFrame, mode: str, block: int | None) -> DataFrame:
+    """``(lon, lat, own, w, a, b, silhouette)`` per distinct place."""
     if mode not in ("standard", "own_size"):
         raise ValueError("mode must be 'standard' or 'own_size'")
-    a = assign_nearest(df.select("id", "lon", "lat"), centers).select("id", "lon", "lat", "cluster")
-    sizes = a.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    sums = distance_sums(a, block)
-    own = a.select(F.col("id").alias("pid"), F.col("cluster").alias("own"))
-    j = sums.join(own, "pid").join(F.broadcast(sizes), "cluster")
+    sums = distance_sums(assigned, block)
+    sizes = assigned.where(F.col("cluster").isNotNull()).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    # One row per cluster.
+    j = sums.join(F.broadcast(sizes), "cluster")
     own_size = F.max(F.when(F.col("cluster") == F.col("own"), F.col("size")))
     own_sum = F.max(F.when(F.col("cluster") == F.col("own"), F.col("s")))
     if mode == "standard":
         other = F.min(F.when(F.col("cluster") != F.col("own"), F.col("s") / F.col("size")))
     else:
         other = F.min(F.when(F.col("cluster") != F.col("own"), F.col("s")))
-    g = j.groupBy("pid", "own").agg(own_size.alias("size"), own_sum.alias("s_own"), other.alias("b_raw"))
+    g = j.groupBy("lon", "lat", "own", "w").agg(own_size.alias("size"), own_sum.alias("s_own"), other.alias("b_raw"))
     if mode == "standard":
         a_val = F.when(F.col("size") > 1, F.col("s_own") / (F.col("size") - 1)).otherwise(F.lit(0.0))
         b_val = F.col("b_raw")
@@ -153,12 +178,36 @@ def silhouette_points(df: DataFrame, centers, mode: str = "standard", block: int
     sil = F.when(F.col("b").isNull() | (mx == 0), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / mx)
     if mode == "standard":
         sil = F.when(F.col("size") <= 1, F.lit(0.0)).otherwise(sil)
-    return g.select(F.col("pid").alias("id"), F.col("own").alias("cluster"), "a", "b", sil.alias("silhouette"))
+    return g.select("lon", "lat", "own", "w", "a", "b", sil.alias("silhouette"))
+
+
+def _assigned(df: DataFrame, centers) -> DataFrame:
+    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    return assign_nearest(df.select("id", "lon", "lat").where(known), centers).select("id", "lon", "lat", "cluster")
 
 
-def silhouette(df: DataFrame, centers, mode: str = "standard", block: int = SILHOUETTE_BLOCK) -> DataFrame:
-    """Mean silhouette over all points of ``df`` as a one-row DataFrame."""
-    return silhouette_points(df, centers, mode, block).agg(F.avg("silhouette").alias("silhouette"))
+def silhouette_points(df: DataFrame, centers, mode: str = "standard", block: int | None = None) -> DataFrame:
+    """E1 per row: ``(id, cluster, a, b, silhouette)``.
+
+    ``standard``: a = own-cluster sum / (|own| - 1), b = min over other clusters of
+    the cluster mean; singletons and 0/0 give 0. ``own_size`` (the reference's written
+    formula): both sums divided by |own|, b the min of the other clusters' sums. Rows
+    without a coordinate are left out.
+    """
+    a = _assigned(df, centers)
+    scores = _place_silhouettes(a, mode, block).drop("own", "w")
+    return a.join(scores, ["lon", "lat"]).select("id", "cluster", "a", "b", "silhouette")
+
+
+def silhouette(df: DataFrame, centers, mode: str = "standard", block: int | None = None,
+               fraction: float = 1.0, seed: int = 0) -> DataFrame:
+    """Mean silhouette over all rows of ``df`` as a one-row DataFrame; ``fraction``
+    below 1 takes a seeded sample first."""
+    if fraction < 1.0:
+        df = bernoulli_sample(df, fraction, seed)
+    scores = _place_silhouettes(_assigned(df, centers), mode, block)
+    mean = F.sum(F.col("w") * F.col("silhouette")) / F.sum("w")
+    return scores.agg(mean.alias("silhouette"))
 
 
 def radius_stats(df: DataFrame, centers, metric: str = "haversine") -> DataFrame:

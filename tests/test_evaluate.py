@@ -115,3 +115,46 @@ def test_radius_stats(pts):
 def test_data_box(pts):
     b = EV.data_box(pts([(1, -8.6, 41.1), (2, -8.5, 41.3)]))
     assert b == Box(-8.6, -8.5, 41.1, 41.3)
+
+
+def test_repeated_ids_and_places_count_for_themselves(pts):
+    rows = [(10, -8.60, 41.10), (10, -8.60, 41.12), (11, -8.60, 41.124)] + [(12, -8.55, 41.22)] * 4
+    got = sorted((r.id, round(r.nn_dist, 6)) for r in nearest_neighbor(pts(rows), pts(rows)).collect())
+    want = sorted(
+        (i, round(min(d for d in (hav(x, y, q[1], q[2]) for q in rows) if d > 0), 6)) for i, x, y in rows
+    )
+    assert got == want
+    w = sum(d for _, d in want)
+    assert abs(EV.hopkins(pts(rows), seed=1).collect()[0].w - w) < 1e-4
+    # The brute force keys by position in the list, the operator sees the repeated ids.
+    keyed = [(n, x, y) for n, (_, x, y) in enumerate(rows)]
+    for mode in ("standard", "own_size"):
+        s = EV.silhouette(pts(rows), CENTERS, mode=mode, block=2).collect()[0].silhouette
+        assert abs(s - _silhouette_brute(keyed, CENTERS, mode)) < 1e-9
+    assert EV.silhouette_points(pts(rows), CENTERS).count() == len(rows)
+
+
+def test_nearest_neighbor_over_the_date_line(pts):
+    rows = [(i, -179.0 + i * 0.5, 10.0) for i in range(200)] + [(900, 179.999, 10.0), (901, -179.999, 10.0)]
+    got = {r.id: r.nn_dist for r in nearest_neighbor(pts(rows), pts(rows)).collect()}
+    for i, lon, lat in rows:
+        want = min(d for d in (hav(lon, lat, q[1], q[2]) for q in rows) if d > 0)
+        assert abs(got[i] - want) < 1e-4, i
+
+
+def test_nearest_neighbor_dense_spot_and_missing_coordinates(pts):
+    rnd = random.Random(11)
+    rows = [(i, -8.6 + rnd.random() * 1e-4, 41.1 + rnd.random() * 1e-4) for i in range(300)]
+    rows += [(500, -120.0, -30.0), (501, None, 41.0), (502, -8.6, None)]
+    got = {r.id: r.nn_dist for r in nearest_neighbor(pts(rows), pts(rows)).collect()}
+    assert got[501] is None and got[502] is None and len(got) == len(rows)
+    for i, lon, lat in rows[:301]:
+        want = min(d for d in (hav(lon, lat, q[1], q[2]) for q in rows[:301]) if d > 0)
+        assert abs(got[i] - want) < 1e-4, i
+
+
+def test_empty_tables(pts, spark):
+    none = pts([(1, -8.6, 41.1)]).limit(0)
+    assert nearest_neighbor(none, none).count() == 0
+    assert EV.hopkins(none).collect()[0].hopkins is None
+    assert EV.silhouette(none, CENTERS).collect()[0].silhouette is None
