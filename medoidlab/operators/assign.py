@@ -12,14 +12,16 @@ one row per set and partition is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medoidlab.functions.geo import haversine
+from medoidlab.session import cut_lineage
 
-# Largest centre table accepted as literals in one plan.
+# Largest centre table accepted as literals in one plan; larger tables of centre sets are
+# scored in batches of about half as many centres.
 MAX_LITERAL_CENTERS = 1 << 16
 # Up to this many centres the distances are unrolled into columns; above, one literal
 # array is folded, which grows the work with k but not the plan.
@@ -144,16 +146,27 @@ def objective_value(df: DataFrame, centers) -> float:
     return float(v) if v is not None else 0.0
 
 
-def _sets_dict(sets) -> dict[int, list[tuple[int, float, float]]]:
-    if isinstance(sets, DataFrame):
-        rows = sets.select("set_id", "center_id", "lon", "lat").limit(MAX_LITERAL_CENTERS + 1).collect()
-        if len(rows) > MAX_LITERAL_CENTERS:
-            raise ValueError(f"more than {MAX_LITERAL_CENTERS} set centres; score fewer sets per call")
-        out: dict[int, list] = {}
-        for r in rows:
-            out.setdefault(int(r[0]), []).append((int(r[1]), float(r[2]), float(r[3])))
-        return {s: sorted(v) for s, v in sorted(out.items())}
-    return {int(s): as_center_list(c) for s, c in dict(sets).items()}
+def _sets_rows(rows) -> dict[int, list[tuple[int, float, float]]]:
+    out: dict[int, list] = {}
+    for r in rows:
+        out.setdefault(int(r[0]), []).append((int(r[1]), float(r[2]), float(r[3])))
+    return {s: sorted(v) for s, v in sorted(out.items())}
+
+
+def _sets_batches(sets: DataFrame, max_centers: int):
+    """The centre sets, whole, in batches of bounded size: the driver holds one at a time."""
+    cols = sets.select("set_id", "center_id", "lon", "lat")
+    rows = cols.limit(max_centers + 1).collect()
+    if len(rows) <= max_centers:
+        yield _sets_rows(rows)
+        return
+    kept = cut_lineage(cols)
+    batches = -(-2 * kept.count() // max_centers)
+    batch = F.pmod(F.xxhash64("set_id"), F.lit(batches))
+    for b in range(batches):
+        rows = kept.where(batch == b).collect()
+        if rows:
+            yield _sets_rows(rows)
 
 
 def _dbl(x) -> str:
@@ -184,17 +197,33 @@ def _set_nearest(kmax: int, lon: str, lat: str) -> Column:
     return terms[0] if kmax == 1 else F.least(*terms)
 
 
-def objective_many(df: DataFrame, sets, lon: str = "lon", lat: str = "lat") -> DataFrame:
+def objective_many(df: DataFrame, sets, lon: str = "lon", lat: str = "lat",
+                   max_centers: int = MAX_LITERAL_CENTERS) -> DataFrame:
     """A2: ``(set_id, phi)`` for many centre sets, scored in one pass per batch of sets.
 
     ``sets`` is a DataFrame ``(set_id, center_id, lon, lat)`` or a mapping
-    ``set_id -> centres``. The sets travel as one literal array of flat structs; every
+    ``set_id -> centres``. A batch travels as one literal array of flat structs; every
     row is expanded to one row per set *inside the scan stage* (a generator, nothing is
     shuffled), the nearest distance is unrolled over the k centre fields of that set,
     and the sum is aggregated partially before the only shuffle (one row per set and
-    partition). Expression size depends on k, not on the number of sets.
+    partition). Expression size depends on k, not on the number of sets. A table of more
+    than ``max_centers`` centres is read in batches, each scored and checkpointed (one row
+    per set) before the next is fetched, so there is no largest number of sets.
     """
-    sd = _sets_dict(sets)
+    if isinstance(sets, DataFrame):
+        parts, last = [], None
+        for sd in _sets_batches(sets, max_centers):
+            if last is not None:
+                parts.append(cut_lineage(_score_sets(df, last, lon, lat)))
+            last = sd
+        out = _score_sets(df, last, lon, lat)
+        for p in parts:
+            out = out.unionByName(p)
+        return out
+    return _score_sets(df, {int(s): as_center_list(c) for s, c in dict(sets).items()}, lon, lat)
+
+
+def _score_sets(df: DataFrame, sd: dict[int, list[tuple[int, float, float]]], lon: str, lat: str) -> DataFrame:
     ids = sorted(sd)
     if not ids:
         raise ValueError("no centre sets")
@@ -245,12 +274,3 @@ def centers_df(spark, centers) -> DataFrame:
     from medoidlab.schema import CENTER_SCHEMA
 
     return spark.createDataFrame([tuple(c) for c in as_center_list(centers)], CENTER_SCHEMA)
-
-
-def flatten_sets(sets: dict[int, Iterable]) -> list[tuple[int, int, float, float]]:
-    """Mapping set_id -> centres as (set_id, center_id, lon, lat) rows."""
-    rows = []
-    for s, cs in sorted(sets.items()):
-        for cid, lon, lat in as_center_list(cs):
-            rows.append((int(s), int(cid), float(lon), float(lat)))
-    return rows

@@ -8,6 +8,7 @@ session; only a session that has none (a local test run) gets one of our own.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -57,6 +58,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in Python workers: unless the workers' ``PYTHONPATH``
+    names its folder, a zip of it goes to the executors through Spark, once a context."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    sc = spark.sparkContext
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root in paths or any(f.startswith("medoidlab-src") for f in sc._python_includes):
+        return
+    base = os.path.join(tempfile.mkdtemp(prefix="medoidlab-zip-"), "medoidlab-src")
+    sc.addPyFile(shutil.make_archive(base, "zip", root, os.path.basename(package)))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)

@@ -94,12 +94,20 @@ def positions_from_rows(spark: SparkSession, rows) -> DataFrame:
     return spark.createDataFrame(list(rows), POSITION_SCHEMA)
 
 
-def write_results(df: DataFrame, path: str, mode: str = "append", fmt: str = "csv") -> None:
-    """Write a results table in one job (append by default)."""
+def write_results(df: DataFrame, path: str, mode: str = "append", fmt: str = "csv",
+                  max_k: int | None = None) -> None:
+    """Write a results table in one job (append by default). The CSV form has two
+    columns per centre: tables appended to one folder name the same ``max_k``, which the
+    files already there must have too."""
     if fmt == "csv":
         from medoidlab.plans.sweep import results_wide
 
-        results_wide(df).write.mode(mode).option("header", True).csv(path)
+        wide = results_wide(df, max_k)
+        if mode == "append" and path_exists(df.sparkSession, f"{path}/_SUCCESS"):
+            there = df.sparkSession.read.option("header", True).csv(path).columns
+            if there != wide.columns:
+                raise ValueError(f"{path} holds {len(there)} columns, not {len(wide.columns)}: name the same max_k")
+        wide.write.mode(mode).option("header", True).csv(path)
     elif fmt == "parquet":
         df.write.mode(mode).parquet(path)
     elif fmt == "json":

@@ -75,3 +75,14 @@ def test_many_centers_agree_with_few(pts):
         A.UNROLLED_CENTERS = limit
     assert [(r.id, r.cluster, r.dist) for r in folded] == [(r.id, r.cluster, r.dist) for r in unrolled]
     assert abs(total - sum(r.dist for r in folded)) < 1e-3
+
+
+def test_more_set_centers_than_one_batch_holds(pts, spark):
+    rows = [(i, -8.6 + 0.001 * i, 41.1 + 0.0007 * i) for i in range(40)]
+    sets = {s: [(-8.6 + 0.002 * s, 41.1), (-8.58, 41.12 + 0.001 * s)] for s in range(50)}
+    flat = [(s, i, lon, lat) for s, cs in sets.items() for i, (lon, lat) in enumerate(cs)]
+    table = spark.createDataFrame(flat, "set_id int, center_id int, lon double, lat double")
+    want = {r.set_id: r.phi for r in objective_many(pts(rows), sets).collect()}
+    got = {r.set_id: r.phi for r in objective_many(pts(rows), table, max_centers=30).collect()}
+    assert got.keys() == want.keys() == sets.keys()
+    assert all(abs(got[s] - want[s]) < 1e-6 for s in sets)

@@ -80,3 +80,37 @@ def test_broken_copy_is_written_anew(spark, tmp_path):
     (copy / "_temporary").mkdir(parents=True)
     for _ in range(2):
         assert [r.id for r in load_positions(spark, str(raw), str(copy)).collect()] == [7]
+
+
+def test_appended_results_keep_one_width(spark, tmp_path):
+    from medoidlab.plans.sweep import results_wide
+    from medoidlab.schema import RESULT_SCHEMA
+    from medoidlab.sources.trips import write_results
+
+    def table(k):
+        return spark.createDataFrame([(k, "PAM", 1, 2.0, [(41.0, -8.0)] * k)], RESULT_SCHEMA)
+
+    out = str(tmp_path / "results")
+    write_results(table(2), out, max_k=3)
+    write_results(table(3), out, max_k=3)
+    assert spark.read.option("header", True).csv(out).columns == results_wide(table(3), 3).columns
+    with pytest.raises(ValueError):
+        write_results(table(4), out)
+
+
+def test_workers_import_the_package_from_any_folder(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "import __spark_entry__ as E\n"
+        "from medoidlab.session import local_session\n"
+        "s = local_session(2, 2)\n"
+        "print('centres', E.queries()['clarafast'](s, '/root/testdata/sf0.001').count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "centres 4" in done.stdout, done.stderr[-2000:]
