@@ -604,7 +604,8 @@ def q_raster_dropped(spark, sf_dir):
     "raster_centers",
     Q.with_positions(
         f"""SELECT center_id, xc, yc, CAST(sum(CASE WHEN {_INSIDE} THEN 1 ELSE 0 END) AS BIGINT) AS drawn,
-       CAST(sum(CASE WHEN {_INSIDE} THEN 0 ELSE 1 END) AS BIGINT) AS dropped
+       CAST(sum(CASE WHEN {_INSIDE} THEN 0 ELSE 1 END) AS BIGINT) AS dropped,
+       CASE WHEN bool_and({_INSIDE}) THEN 'inside' WHEN bool_or({_INSIDE}) THEN 'cut' ELSE 'outside' END AS status
 FROM (SELECT center_id, xc, yc, unnest(range(xc - 5, xc + 5)) AS x FROM (
         SELECT bucket * {K_DEMO} + center_id AS center_id, {Q.pixel_x('lon')} AS xc, {Q.pixel_y('lat')} AS yc FROM init)) xs,
      LATERAL (SELECT unnest(range(xs.yc - 5, xs.yc + 5)) AS y)
@@ -614,9 +615,29 @@ GROUP BY center_id, xc, yc""",
     "R5: square of every initial medoid (all buckets) on the picture: drawn/dropped pixels",
 )
 def q_raster_centers(spark, sf_dir):
+    return RA.raster_centers(_initial_centers(spark, sf_dir), spark)
+
+
+def _initial_centers(spark, sf_dir) -> DataFrame:
     init = KM.pam_init(_keyed(spark, sf_dir), K_DEMO)
-    cents = init.select((F.col("bucket") * K_DEMO + F.col("center_id")).cast("int").alias("center_id"), "lon", "lat")
-    return RA.raster_centers(cents, spark).drop("status")
+    return init.select((F.col("bucket") * K_DEMO + F.col("center_id")).cast("int").alias("center_id"), "lon", "lat")
+
+
+@register(
+    "center_pixels",
+    Q.with_positions(
+        f"""SELECT center_id, x, y
+FROM (SELECT center_id, yc, unnest(range(xc - 5, xc + 5)) AS x FROM (
+        SELECT bucket * {K_DEMO} + center_id AS center_id, {Q.pixel_x('lon')} AS xc, {Q.pixel_y('lat')} AS yc FROM init)) xs,
+     LATERAL (SELECT unnest(range(xs.yc - 5, xs.yc + 5)) AS y)
+WHERE {_INSIDE}""",
+        *_PAM_CTES,
+    ),
+    "R5: every drawn pixel of the squares of all initial medoids",
+)
+def q_center_pixels(spark, sf_dir):
+    px = RA.center_pixels(_initial_centers(spark, sf_dir), spark)
+    return px.select("center_id", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
 
 
 # ---------------------------------------------------------------- C4-C26 (rows-only: seeded searches)
@@ -737,7 +758,147 @@ def q_raster_kmeans(spark, sf_dir):
     return RA.cluster_colors(RA.raster(p, cs, assign="planar"), K_DEMO)
 
 
-@register("pixel_colors", None, "A14: blended pixel colours of the clustering picture (alpha 0.6)")
+from medoidlab.schema import ALPHA_CLUSTERING  # noqa: E402
+
+
+def _blend_sql(channel: str) -> str:
+    step = f"CAST(floor(CAST(a AS DOUBLE) * {1.0 - ALPHA_CLUSTERING!r}e0 + CAST(v AS DOUBLE) * {ALPHA_CLUSTERING!r}e0) AS INTEGER)"
+    return f"list_reduce(list_prepend(0, list({channel} ORDER BY cluster)), lambda a, v: {step}) AS {channel}"
+
+
+@register(
+    "pixel_colors",
+    Q.with_positions(
+        f"SELECT x, y, {_blend_sql('r')}, {_blend_sql('g')}, {_blend_sql('b')} FROM ("
+        f"SELECT x, y, cluster, {_R} AS r, {_G} AS g, {_B} AS b FROM (SELECT {_PX}, {_C} AS cluster FROM positions) "
+        f"WHERE {_INSIDE}) GROUP BY x, y"
+    ),
+    "A14: blended pixel colours of the clustering picture (alpha 0.6)",
+)
 def q_pixel_colors(spark, sf_dir):
     r = RA.raster(positions(spark, sf_dir), FIXED_CENTERS)
     return RA.pixel_colors(r, len(FIXED_CENTERS))
+
+
+@register("clarans_reduced", None, "C14: CLARANS on a 4-bucket hash sample, merged by CLARANS")
+def q_clarans_reduced(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return _scored(p, KM.clarans(p, K_DEMO, buckets=L_DEMO, nlocal=3, seed=SEED))
+
+
+# ---------------------------------------------------------------- S1, S4
+from medoidlab.sources.trips import load_positions, read_trips  # noqa: E402
+
+
+def _trips_csv(spark, sf_dir) -> str:
+    """All derived trips as CSV under the shared folder, columns in another order."""
+    path = scratch_path(spark, "trips-csv")
+    t = trips_from_tables(spark, sf_dir)
+    t.select(*reversed(t.columns)).write.option("header", True).csv(path)
+    return path
+
+
+@register(
+    "read_trips_csv",
+    f"WITH {Q.trips_cte()}\nSELECT TRIP_ID, CALL_TYPE, POLYLINE FROM trips",
+    "S1: trips written as CSV in another column order, read back by header name",
+)
+def q_read_trips_csv(spark, sf_dir):
+    return read_trips(spark, _trips_csv(spark, sf_dir)).select("TRIP_ID", "CALL_TYPE", "POLYLINE")
+
+
+@register(
+    "load_positions",
+    Q.with_positions("SELECT id, lon, lat FROM positions"),
+    "S4: raw CSV cleaned and saved by the first call, the saved copy read by the second",
+)
+def q_load_positions(spark, sf_dir):
+    raw, copy = _trips_csv(spark, sf_dir), scratch_path(spark, "positions-copy")
+    load_positions(spark, raw, copy)
+    return load_positions(spark, raw, copy)
+
+
+# ---------------------------------------------------------------- repeated ids, hot places, clusters
+# Four blobs on a 0.001-degree grid (offsets that carry the grid to each blob's place) and
+# one place that a fifth of the rows share; ten rows of an id range share one id.
+_BLOB_LON = "CASE id % 4 WHEN 0 THEN -7.765e0 WHEN 1 THEN -7.725e0 WHEN 2 THEN -7.795e0 ELSE -7.645e0 END"
+_BLOB_LAT = "CASE id % 4 WHEN 0 THEN 37.0325e0 WHEN 1 THEN 37.0825e0 WHEN 2 THEN 36.9825e0 ELSE 37.1825e0 END"
+_BLOBS = {
+    "rid": "id",
+    "id": "CAST(floor(id / 10) AS BIGINT)",
+    "lon": f"CASE WHEN id % 5 = 0 THEN -8.6e0 ELSE {_BLOB_LON} + floor(lon * 1e2) / 1e3 END",
+    "lat": f"CASE WHEN id % 5 = 0 THEN 41.15e0 ELSE {_BLOB_LAT} + floor(lat * 1e2) / 1e3 END",
+}
+_BLOBS_CTE = f"blobs AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _BLOBS.items())} FROM positions)"
+
+
+def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned positions moved onto the blobs, with repeated ids and places (stored,
+    so that later expressions do not repeat the long ones here)."""
+    from medoidlab.session import cut_lineage
+
+    p = positions(spark, sf_dir)
+    return cut_lineage(p.select(*[F.expr(v).alias(k) for k, v in _BLOBS.items() if k != "rid"]))
+
+
+_NEAR_BLOB = f"min(CASE WHEN {_HAV_PQ} > 0 THEN {_HAV_PQ} END) AS nn"
+_PLACES_CTE = "pl AS (SELECT lon, lat, count(*) AS w FROM blobs GROUP BY lon, lat)"
+
+
+@register(
+    "nearest_neighbor_blobs",
+    Q.with_positions(
+        f"""SELECT b.id, b.lon, b.lat, round(n.nn, 3) AS nn_dist FROM blobs b JOIN (
+  SELECT p.lon, p.lat, {_NEAR_BLOB} FROM pl p, pl q GROUP BY p.lon, p.lat) n ON b.lon = n.lon AND b.lat = n.lat""",
+        _BLOBS_CTE,
+        _PLACES_CTE,
+    ),
+    "J4 where ids repeat, places are hot and points are clustered",
+)
+def q_nearest_neighbor_blobs(spark, sf_dir):
+    b = blobs(spark, sf_dir).withColumn("row", F.struct("id", "lon", "lat"))
+    near = nearest_neighbor(b, b, id_col="row")
+    return near.select("row.id", "row.lon", "row.lat", F.round("nn_dist", 3).alias("nn_dist"))
+
+
+@register(
+    "hopkins_blobs",
+    Q.with_positions(
+        "SELECT round(w, 1) AS w, round(u, 1) AS u, round(w / (w + u), 6) AS hopkins FROM w, u",
+        _BLOBS_CTE,
+        _PLACES_CTE,
+        _UNI_CTES[0].replace("positions", "blobs"),
+        _UNI_CTES[1].replace("positions", "blobs"),
+        f"w AS (SELECT sum(w * nn) AS w FROM (SELECT p.lon, p.lat, p.w, {_NEAR_BLOB} FROM pl p, pl q GROUP BY ALL))",
+        f"u AS (SELECT sum(nn) AS u FROM (SELECT p.id, {_NEAR_BLOB} FROM uni p, pl q GROUP BY p.id))",
+    ),
+    "E2 where ids repeat, places are hot and points are clustered",
+)
+def q_hopkins_blobs(spark, sf_dir):
+    h = EV.hopkins(blobs(spark, sf_dir), seed=SEED)
+    return h.select(F.round("w", 1).alias("w"), F.round("u", 1).alias("u"), F.round("hopkins", 6).alias("hopkins"))
+
+
+_ASG_CTE = f"asg AS (SELECT id, lon, lat, {_C} AS cluster FROM positions)"
+
+
+@register(
+    "silhouette_blobs",
+    _silhouette_sql("standard").replace(
+        _ASG_CTE, f"{_BLOBS_CTE},\nasg AS (SELECT rid AS id, lon, lat, {_C} AS cluster FROM blobs)"
+    ),
+    "E1 where ids repeat, places are hot and points are clustered",
+)
+def q_silhouette_blobs(spark, sf_dir):
+    s = EV.silhouette(blobs(spark, sf_dir), FIXED_CENTERS, mode="standard")
+    return s.select(F.round("silhouette", 6).alias("silhouette"))
+
+
+@register(
+    "distinct_places_blobs",
+    Q.with_positions("SELECT lon, lat, w FROM pl", _BLOBS_CTE, _PLACES_CTE),
+    "T2: places and their weights where places are hot",
+)
+def q_distinct_places_blobs(spark, sf_dir):
+    p = KM.places(blobs(spark, sf_dir).withColumn("bucket", F.lit(0)))
+    return p.select("lon", "lat", F.col("w").cast("bigint").alias("w"))
