@@ -41,6 +41,8 @@ from medoidlab.llm.words import shingle_hashes, word_hashes
 SKETCH = 48
 #: Documents and shingles of one block of a cluster; a task holds two blocks.
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 2_000, 1_000_000
+#: Rows of a block whose candidate pairs are held at a time.
+SLAB_ROWS = 128
 
 
 def need_of(size: int, percent: int) -> int:
@@ -118,27 +120,12 @@ def links(sketches: list[np.ndarray], sets: list[np.ndarray], k: int, percent: i
     lengths = np.array([len(s) for s in sets])
     sizes = np.array([len(s) for s in sketches])
     shared = _overlaps(sketches, split)
-    i, j = np.nonzero(shared if split else np.triu(shared, 1))
+    exact = None
     least = np.array([need_of(s, percent) for s in range(k + 1)])
-    small, large = np.minimum(lengths[i], lengths[j]), np.maximum(lengths[i], lengths[j])
-    ok = (shared[i, j] >= least[np.minimum(sizes[i], sizes[j])]) & (100 * small >= percent * large)
-    i, j = i[ok], j[ok]
     pads = (1 << 40) + np.arange(n)[:, None] * (k + 1) + np.arange(k)
     padded = pads.copy()
     for r, s in enumerate(sketches):
         padded[r, : len(s)] = s
-    keep = [np.zeros(0, np.int64)]
-    for at in range(0, len(i), 20_000):
-        a, b = i[at : at + 20_000], j[at : at + 20_000]
-        union = np.minimum(k, sizes[a] + sizes[b] - shared[a, b])
-        keep.append(at + np.flatnonzero(_estimate(padded[a], padded[b], union) * union >= least[union]))
-    keep = np.concatenate(keep)
-    i, j = i[keep], j[keep]
-    if len(i) > 4 * n:
-        common = _overlaps(sets, split)[i, j]
-    else:
-        common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
-    linked = 100 * common >= percent * (lengths[i] + lengths[j] - common)
     parent = list(range(n))
 
     def find(x: int) -> int:
@@ -147,11 +134,34 @@ def links(sketches: list[np.ndarray], sets: list[np.ndarray], k: int, percent: i
             x = parent[x]
         return x
 
-    for a, b in zip(i[linked].tolist(), j[linked].tolist()):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            yield a, b
+    # A slab of rows at a time: the pairs held at once are bounded, all are looked at.
+    for top in range(0, split or n, SLAB_ROWS):
+        slab = shared[top : min(top + SLAB_ROWS, split or n)]
+        i, j = np.nonzero(slab if split else np.triu(slab, top + 1))
+        i += top
+        small, large = np.minimum(lengths[i], lengths[j]), np.maximum(lengths[i], lengths[j])
+        ok = (shared[i, j] >= least[np.minimum(sizes[i], sizes[j])]) & (100 * small >= percent * large)
+        i, j = i[ok], j[ok]
+        keep = [np.zeros(0, np.int64)]
+        for at in range(0, len(i), 20_000):
+            a, b = i[at : at + 20_000], j[at : at + 20_000]
+            union = np.minimum(k, sizes[a] + sizes[b] - shared[a, b])
+            keep.append(at + np.flatnonzero(_estimate(padded[a], padded[b], union) * union >= least[union]))
+        keep = np.concatenate(keep)
+        i, j = i[keep], j[keep]
+        if len(i) > 4 * len(slab):
+            exact = _overlaps(sets, split) if exact is None else exact
+            common = exact[i, j]
+        else:
+            common = np.array(
+                [len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64
+            )
+        linked = 100 * common >= percent * (lengths[i] + lengths[j] - common)
+        for a, b in zip(i[linked].tolist(), j[linked].tolist()):
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+                yield a, b
 
 
 def _verify(width: int, k: int, percent: int):
