@@ -3,9 +3,10 @@
 A text is contaminated by a benchmark item if a window of the item's size has a weighted
 (multiset) Jaccard similarity of at least 0.8 with it, over five-word shingles.
 
-1. Anchors. Such a window shares most of its shingles with the item, so only windows that
-   line up with the item at a shared shingle are looked at (text position less item
-   position). Every text position is tested by one join; nothing is sampled.
+1. Hits. Such a window shares at least 8/9 of an item's shingles (a shorter text more than
+   0.8 of the item's), so only windows that hold as many places of shingles of items of that
+   size are looked at: all of them, also those between two alignments with the item. Every
+   text position is tested by one join; nothing is sampled.
 2. Every such window gets a 64-bit SimHash: per bit the majority over its shingles,
    repeats counted. 64 per-bit counters are summed as 32 pairs of 32-bit lanes.
 3. Multi-index: eight blocks of eight bits. Fingerprints within 23 bits agree in some
@@ -20,7 +21,7 @@ Cases: null, empty or wordless texts and items match nothing; a text or item of
 than five words is one shingle; a text shorter than the item is one window; repeated
 items and repeated rows are reported each; an empty benchmark or table gives no rows;
 columns of ``documents`` beyond doc_id and text are ignored, and kept by
-``decontaminated``. Ends of texts clip windows inwards.
+``decontaminated``. Windows lie inside the text; of equally similar ones the first counts.
 """
 
 from __future__ import annotations
@@ -97,6 +98,22 @@ def near_masks() -> list[int]:
     return [m for m in range(1 << BLOCK_BITS) if bin(m).count("1") <= FLIPS]
 
 
+def window_starts(percent: int) -> str:
+    """SQL for the starts of all windows of ``n`` shingles, inside a text of ``shingles``,
+    that hold enough of the hit positions ``ats`` (sorted, distinct) to reach ``percent``.
+
+    A window of w shingles needs percent / (100 + percent) * (w + n) shared ones. With hit i
+    as its first, it starts after hit i - 1, at hit i at the latest, and late enough to hold
+    the last hit it needs: so every start is listed once, in order."""
+    whole = 100 + percent
+    need = f"cast(({percent} * (least(size(shingles), n) + n) + {whole - 1}) div {whole} as int)"
+    low = f"greatest(if(i = 0, 0, get(ats, i - 1) + 1), get(ats, i + {need} - 1) - n + 1)"
+    high = "least(get(ats, i), greatest(size(shingles) - n, 0))"
+    runs = f"transform(sequence(0, size(ats) - {need}), i -> struct({low} as low, {high} as high))"
+    listed = f"flatten(transform(filter({runs}, r -> r.low <= r.high), r -> sequence(r.low, r.high)))"
+    return f"if(size(ats) >= {need}, {listed}, array())"
+
+
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``digest, item_id, start, similarity``: per contaminated text (by digest) and item
     the most similar window (first shingle's position)."""
@@ -109,24 +126,30 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, percent: int = PER
     item_rows = items.select("item", F.size("shingles").alias("n"), F.posexplode("shingles").alias("q", "s"))
     texts = with_shingles(docs.select(digest(F.col("text")).alias("digest"), "text")).drop("text")
 
-    places = item_rows.select("s", "n", "q").distinct()
-    # The outer form: Catalyst would infer a filter on an inner one, push it below the
+    places = item_rows.select("s", "n").distinct()
+    # The outer forms: Catalyst would infer a filter on an inner one, push it below the
     # projections and thereby evaluate all hashes of a text anew for each of its words.
-    windows = stored(
+    hits = stored(
         texts.select("digest", F.posexplode_outer("shingles").alias("at", "s"))
         .join(bounded(places), "s")
-        .select("digest", "n", (F.col("at") - F.col("q")).alias("begin"))
-        .distinct(),
-        "windows",
+        .select("digest", "n", "at")
+        .distinct()
+        .groupBy("digest", "n")
+        .agg(F.sort_array(F.collect_list("at")).alias("ats"))
+        .where(100 * F.size("ats") >= percent * F.col("n")),
+        "hits",
     )
-    anchored = windows.select("digest").distinct()
+    anchored = hits.select("digest").distinct()
     own = texts.join(bounded(anchored), "digest", "left_semi").dropDuplicates(["digest"])
-    start = F.greatest(F.least(F.col("begin"), F.size("shingles") - F.col("n")), F.lit(0))
     cut = stored(
-        windows.join(own, "digest")
-        .withColumn("start", start)
-        .dropDuplicates(["digest", "n", "start"])
-        .select("digest", "n", "start", F.expr("slice(shingles, start + 1, n)").alias("window")),
+        hits.join(own, "digest")
+        .withColumn("starts", F.expr(window_starts(percent)))
+        .where(F.size("starts") > 0)
+        .withColumn("low", F.col("starts")[0])
+        # Only the stretch that the windows cover is carried to each of them.
+        .withColumn("stretch", F.expr("slice(shingles, low + 1, element_at(starts, -1) - low + n)"))
+        .select("digest", "n", "low", "stretch", F.explode_outer("starts").alias("start"))
+        .select("digest", "n", "start", F.expr("slice(stretch, start - low + 1, n)").alias("window")),
         "cut",
     )
     key = ["digest", "n", "start"]

@@ -185,6 +185,31 @@ def test_decontamination_matches_brute_force(spark):
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_windows_between_alignments(spark):
+    rng = random.Random(21)
+    word = lambda k: ["u%d" % rng.randrange(10**6) for _ in range(k)]
+    first, second, item = word(27), word(27), word(58)
+    texts = [word(30) + second + first + word(30)]
+    texts.append(word(31) + word(1) + item[1:29] + word(2) + item[29:-1] + word(1) + word(33))
+    texts += [first + second, word(9) + item + word(9) + item[:50] + word(5), item[3:55], (word(2) * 40)[:60], item[:20]]
+    items = [first + second, item, texts[-2][:30], item[:54]]
+    want = {}
+    for d, t in enumerate(texts):
+        s = sets(" ".join(t), 5)
+        for i, x in enumerate(items):
+            target = collections.Counter(sets(" ".join(x), 5))
+            n = sum(target.values())
+            for at in range(max(1, len(s) - n + 1)):
+                window = collections.Counter(s[at : at + n])
+                shared, size = sum((window & target).values()), sum(window.values())
+                if 9 * shared >= 4 * (size + n):
+                    want[d, i] = max(want.get((d, i), (0, 0)), (shared / (size + n - shared), -at))
+    assert want[0, 0] == (46 / 54, -30) and want[1, 1] == (0.8, -32)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    rows = decontamination.contaminated(documents(spark, [" ".join(t) for t in texts]), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, -r.start) for r in rows} == want and len(rows) == len(want)
+
+
 def test_simhash_index_covers_the_radius():
     masks = decontamination.near_masks()
     assert len(masks) == 37 and decontamination.RADIUS == 23
