@@ -1,8 +1,8 @@
 """HTML to text by layout-aware rendering.
 
 A page is read token by token into a tree builder that keeps only the stack of open
-elements: implied end tags close elements as HTML does (a paragraph ends at the next
-block, an item at the next item, a cell at the next cell), void elements never open, raw
+elements: implied end tags close elements as HTML does (the head ends at the first text or
+element that it cannot hold, a paragraph at the next block, an item at the next item, a cell at the next cell), void elements never open, raw
 text elements run to their own end tag. The renderer emits all visible text: blocks start
 new lines, paragraphs and headings keep a blank line, ``br`` breaks, ``pre`` keeps its
 white space, list items carry their bullet or number and indent, and the cells of a table
@@ -35,6 +35,8 @@ MAX_DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
 UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas svg math select".split())
+# What a head may hold; anything else ends it.
+IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table ul tr caption legend search".split()
@@ -151,6 +153,8 @@ class Renderer:
         self.stack = [self.root]
 
     def text(self, raw: str) -> None:
+        if self.stack[-1].name == "head" and raw.strip(" \t\n\f\r"):
+            self.end_head()
         top = self.stack[-1]
         if top.unseen:
             return
@@ -200,8 +204,14 @@ class Renderer:
             elif e.name in BLOCK:
                 e.out.end()
 
+    def end_head(self) -> None:
+        while self.stack[-1].name == "head":
+            self.close(len(self.stack) - 1)
+
     def start(self, name: str, attributes: str) -> None:
         stack = self.stack
+        if stack[-1].name == "head" and name not in IN_HEAD:
+            self.end_head()
         if name in CLOSES:
             targets, bounds = CLOSES[name]
             found = 0

@@ -390,6 +390,14 @@ def test_rendering():
     assert r("<td " * 20000).startswith("<td")
 
 
+def test_rendering_ends_an_open_head():
+    r = html_text.render
+    assert r("<html><head><title>t</title><p>Hello <b>you</b>") == "Hello you"
+    assert r("<head><meta charset=x>\n<style>a</style> Hello<div>you") == "Hello\nyou"
+    assert r("<head><title>t</title><noscript>n</noscript>\n</head>\n<body>x") == "x"
+    assert r("<head><head><script>s</script>&nbsp;a<br>b").split() == ["a", "b"]
+
+
 def test_rendering_keeps_every_row(spark):
     df = spark.createDataFrame([(1, None), (1, "<p>x"), (None, "y")], "page_id long, html string").withColumn("text", F.lit(0))
     rows = html_text.extracted(df).collect()
