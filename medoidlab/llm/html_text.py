@@ -14,7 +14,7 @@ inputs, and elements with ``hidden``, ``aria-hidden=true``, ``display:none`` or
 
 Cases: null or empty html gives empty text; text without tags is one block; unclosed and
 misnested tags close where the tree rules say, stray end tags are dropped; an unclosed
-comment or raw element runs to the end; nesting deeper than ``MAX_DEPTH`` is rendered at
+comment or raw element runs to the end; cells outside a table are lines of their own; nesting deeper than ``MAX_DEPTH`` is rendered at
 that depth (no text is lost); repeated rows are rendered each; other columns are ignored.
 """
 
@@ -186,6 +186,8 @@ class Renderer:
                     if not table.rows:
                         table.rows.append([])
                     table.rows[-1].append(e.out.done)
+                else:
+                    self.stack[-1].out.add(e.out.done)
             elif e.name == "table":
                 parent = self.stack[-1].out
                 parent.space()

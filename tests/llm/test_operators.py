@@ -398,6 +398,13 @@ def test_rendering_ends_an_open_head():
     assert r("<head><head><script>s</script>&nbsp;a<br>b").split() == ["a", "b"]
 
 
+def test_rendering_keeps_cells_outside_a_table():
+    r = html_text.render
+    assert r("<tr><td>x</td><td>y</td></tr><tr><th>z") == "x\ny\nz"
+    assert r("<table><tr><td>a</table></table><tr><td>b<p>c</td></tr>d") == "a\n\nb\n\nc\nd"
+    assert r("<ul><li><td>x</ul>") == "- x"
+
+
 def test_rendering_keeps_every_row(spark):
     df = spark.createDataFrame([(1, None), (1, "<p>x"), (None, "y")], "page_id long, html string").withColumn("text", F.lit(0))
     rows = html_text.extracted(df).collect()
