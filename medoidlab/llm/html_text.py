@@ -13,7 +13,8 @@ inputs, and elements with ``hidden``, ``aria-hidden=true``, ``display:none`` or
 ``visibility:hidden``.
 
 Cases: null or empty html gives empty text; text without tags is one block; unclosed and
-misnested tags close where the tree rules say, stray end tags are dropped; an unclosed
+misnested tags close where the tree rules say, stray end tags are dropped, stray quotes in a
+tag are ordinary signs and a tag that the page's end cuts off is text; an unclosed
 comment or raw element runs to the end; cells outside a table are lines of their own; nesting deeper than ``MAX_DEPTH`` is rendered at
 that depth (no text is lost); repeated rows are rendered each; other columns are ignored.
 """
@@ -60,10 +61,14 @@ CLOSES = {
 }
 SCOPE = frozenset("html body table td th caption li dd dt button object template".split())
 
+# A quote counts straight after "=" only, and if it is closed. Possessive and without limit:
+# attributes run to the next ">" or to the end of the page, in one pass.
+_VALUE = r"""\s*+=\s*+("[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)"""
+_NAME = r"[^\s/>][^\s/>=]*+"
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'){0,20000}+)>|<[!?/][^>]*>?", re.S
+    rf"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_VALUE})?+)*+)(>?)|<[!?/][^>]*>?", re.S
 )
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_VALUE})?+")
 _WHITE = re.compile(r"[ \t\r\n\f]+")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -286,7 +291,7 @@ class Renderer:
     def values(attributes: str) -> dict[str, str]:
         found: dict[str, str] = {}
         for name, value in _ATTRIBUTE.findall(attributes):
-            found.setdefault(name.lower(), value.strip("\"'") if value else "")
+            found.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
         return found
 
     def hidden(self, name: str, attributes: str) -> bool:
@@ -331,6 +336,9 @@ def render(html: str) -> str:
         name = m[2]
         if name is None:
             continue
+        if not m[5]:  # the page ends inside the tag
+            r.text(html[m.start() :])
+            break
         name = name.lower()
         if m[1]:
             r.finish(name)

@@ -405,6 +405,15 @@ def test_rendering_keeps_cells_outside_a_table():
     assert r("<ul><li><td>x</ul>") == "- x"
 
 
+def test_rendering_ends_tags_with_stray_quotes():
+    r = html_text.render
+    assert r("<a title=don't>Visible</a> and it's <b>x</b>") == "Visible and it's x"
+    assert r('<a href="x"">Visible</a><b class="y">z</b>') == "Visiblez"
+    assert r('a<i title="open>b</i>c') == "abc" and r("a <b c") == "a <b c"
+    assert r("<p title='a>b' hidden>no</p><img alt = \"x > y's\"><i class=a/b>z") == "x > y'sz"
+    assert r("<img src=data:" + "x" * 30_000 + "'" * 30_000 + ">ok") == "ok" and r("<a " + "b='c' " * 300_000 + ">ok") == "ok"
+
+
 def test_rendering_keeps_every_row(spark):
     df = spark.createDataFrame([(1, None), (1, "<p>x"), (None, "y")], "page_id long, html string").withColumn("text", F.lit(0))
     rows = html_text.extracted(df).collect()
