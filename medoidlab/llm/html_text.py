@@ -8,8 +8,11 @@ new lines, paragraphs and headings keep a blank line, ``br`` breaks, ``pre`` kee
 white space, list items carry their bullet or number and indent, and the cells of a table
 are aligned in columns.
 
+A select shows its selected or else its first option (as a list, all), svg and math their text.
+
 Invisible are head matter, scripts, styles, templates, comments, closed dialogs, hidden
-inputs, and elements with ``hidden``, ``aria-hidden=true``, ``display:none`` or
+inputs, what media elements hold for browsers without them (object, audio, video, canvas,
+iframe), titles, descriptions and definitions of svg, annotations of math, and elements with ``hidden``, ``aria-hidden=true``, ``display:none`` or
 ``visibility:hidden``.
 
 Cases: null or empty html gives empty text; text without tags is one block; unclosed and
@@ -35,7 +38,11 @@ MAX_DEPTH = 200
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
-UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas svg math select".split())
+UNSEEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas".split())
+# Not shown inside svg and math.
+FOREIGN_UNSEEN = frozenset("desc defs metadata symbol clippath mask marker pattern annotation annotation-xml".split())
+# White space around them inside svg and math, as the layout sets them apart.
+APART = frozenset("text mtd mtr mfrac".split())
 # What a head may hold; anything else ends it.
 IN_HEAD = frozenset("html head title meta link base basefont bgsound script style noscript noframes template".split())
 BLOCK = frozenset(
@@ -57,6 +64,7 @@ CLOSES = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
     "body": ({"head"}, {"html"}),
 }
 SCOPE = frozenset("html body table td th caption li dd dt button object template".split())
@@ -125,12 +133,14 @@ class Lines:
 class Open:
     """An open element."""
 
-    __slots__ = ("name", "unseen", "out", "rows", "count", "ordered", "pre")
+    __slots__ = ("name", "unseen", "out", "rows", "count", "ordered", "pre", "foreign", "label", "all", "shown")
 
     def __init__(self, name: str, unseen: bool, out: Lines, pre: bool):
         self.name, self.unseen, self.out, self.pre = name, unseen, out, pre
         self.rows: list[list[list[str]]] | None = None
-        self.count, self.ordered = 0, False
+        self.count, self.ordered, self.foreign = 0, False, False
+        self.label, self.all = "", False  # of an option: its label, and whether it is selected; of a select: whether it lists all
+        self.shown: list[str] = []  # what a select shows
 
 
 def aligned(rows: list[list[list[str]]]) -> list[str]:
@@ -203,6 +213,16 @@ class Renderer:
             elif e.name == "li" or e.name == "blockquote":
                 e.out.end()
                 self.stack[-1].out.add(e.out.done)
+            elif e.name == "option":
+                self.option(e)
+            elif e.name == "select":
+                parent = self.stack[-1].out
+                if e.all:
+                    parent.add(e.shown)
+                else:
+                    parent.words(f" {' '.join(e.shown)} ")
+            elif e.foreign and e.name in APART:
+                e.out.gap = True
             elif e.name == "q":
                 e.out.words('"')
             elif e.name in SPACED:
@@ -211,6 +231,20 @@ class Renderer:
             elif e.name in BLOCK:
                 e.out.end()
 
+    def option(self, e: Open) -> None:
+        """A list shows every option, a closed select the last selected or else the first."""
+        select = next((x for x in reversed(self.stack) if x.name == "select"), None)
+        e.out.end()
+        if select is None:
+            self.stack[-1].out.add(e.out.done)
+            return
+        text = e.label or " ".join(e.out.done)
+        if select.all:
+            select.shown.append(text)
+        elif e.all or not select.count:
+            select.shown = [text]
+            select.count = 1
+
     def end_head(self) -> None:
         while self.stack[-1].name == "head":
             self.close(len(self.stack) - 1)
@@ -238,6 +272,13 @@ class Renderer:
                     break
         if name in HEADINGS and stack[-1].name in HEADINGS:
             self.close(len(stack) - 1)
+        if name in BLOCK or name in ("input", "select", "textarea"):  # no select holds them
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name == "select":
+                    self.close(i)
+                    break
+                if stack[i].name not in ("option", "optgroup"):
+                    break
         top = stack[-1]
         if name == "br":
             if not top.unseen:
@@ -253,9 +294,18 @@ class Renderer:
                 top.out.words(unescape(self.values(attributes).get("alt", "")))
             return
         hidden = top.unseen or name in UNSEEN or (bool(attributes) and self.hidden(name, attributes))
+        hidden = hidden or (top.foreign and name in FOREIGN_UNSEEN)
         e = Open(name, hidden, top.out, top.pre or name == "pre")
+        e.foreign = name in ("svg", "math") or (top.foreign and name != "foreignobject")
         if not hidden:
-            if name in ("td", "th"):
+            if name == "option" or name == "select":
+                found = self.values(attributes)
+                e.out, e.pre, e.label = Lines(), False, unescape(found.get("label", ""))
+                size = found.get("size", "")
+                e.all = "selected" in found if name == "option" else "multiple" in found or (size.isdecimal() and int(size) > 1)
+            elif e.foreign and name in APART:
+                top.out.gap = True
+            elif name in ("td", "th"):
                 e.out = Lines()
             elif name == "table":
                 e.out, e.rows = Lines(), []
@@ -284,9 +334,18 @@ class Renderer:
                 top.out.words('"')
         if len(stack) <= MAX_DEPTH:
             stack.append(e)
+            if e.foreign and self.empty(attributes):
+                self.close(len(stack) - 1)
         elif name in ("td", "th", "table", "li", "blockquote") and not hidden:
             top.out.end()
 
+    @staticmethod
+    def empty(attributes: str) -> bool:
+        """Whether the tag ends with "/>" (in svg and math it then has no content)."""
+        if not attributes.endswith("/"):
+            return False
+        return all(m.end() < len(attributes) for m in _ATTRIBUTE.finditer(attributes))
+
     @staticmethod
     def values(attributes: str) -> dict[str, str]:
         found: dict[str, str] = {}

@@ -414,6 +414,18 @@ def test_rendering_ends_tags_with_stray_quotes():
     assert r("<img src=data:" + "x" * 30_000 + "'" * 30_000 + ">ok") == "ok" and r("<a " + "b='c' " * 300_000 + ">ok") == "ok"
 
 
+def test_rendering_shows_formulas_drawings_and_choices():
+    r = html_text.render
+    assert r("so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds") == "so x=2 holds"
+    svg = "<svg><title/><defs><text>no</text></defs><path d=a/b /><desc>no</desc><text x='1'>A</text><text>B</text></svg>"
+    assert r(f"a{svg}c") == "a A B c"
+    assert r("x<select><option>a<option selected>b &amp; c<option>d</select>y") == "x b & c y"
+    assert r("<select><optgroup label=g><option>a<option>b</optgroup></select>") == "a"
+    assert r("<select multiple><option>a<option label=L>b</select>c") == "a\nL\nc"
+    assert r("<select><option>a<option>b<p>after") == "a\n\nafter" and r("<select hidden><option>a</select>b") == "b"
+    assert r("<option>a</option>b").split() == ["a", "b"]
+
+
 def test_rendering_keeps_every_row(spark):
     df = spark.createDataFrame([(1, None), (1, "<p>x"), (None, "y")], "page_id long, html string").withColumn("text", F.lit(0))
     rows = html_text.extracted(df).collect()
