@@ -18,14 +18,16 @@ iframe), titles, descriptions and definitions of svg, annotations of math, and e
 Cases: null or empty html gives empty text; text without tags is one block; unclosed and
 misnested tags close where the tree rules say, stray end tags are dropped, stray quotes in a
 tag are ordinary signs and a tag that the page's end cuts off is text; an unclosed
-comment or raw element runs to the end; cells outside a table are lines of their own; nesting deeper than ``MAX_DEPTH`` is rendered at
-that depth (no text is lost); repeated rows are rendered each; other columns are ignored.
+comment or raw element runs to the end; cells outside a table are lines of their own; items,
+quotes and tables deeper than ``MAX_DEPTH`` are plain lines without indent, columns or bullet
+(no text is lost, and what is hidden stays so at every depth); repeated rows are rendered each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -133,12 +135,12 @@ class Lines:
 class Open:
     """An open element."""
 
-    __slots__ = ("name", "unseen", "out", "rows", "count", "ordered", "pre", "foreign", "label", "all", "shown")
+    __slots__ = ("name", "unseen", "out", "rows", "count", "ordered", "pre", "foreign", "label", "all", "shown", "flat")
 
     def __init__(self, name: str, unseen: bool, out: Lines, pre: bool):
         self.name, self.unseen, self.out, self.pre = name, unseen, out, pre
         self.rows: list[list[list[str]]] | None = None
-        self.count, self.ordered, self.foreign = 0, False, False
+        self.count, self.ordered, self.foreign, self.flat = 0, False, False, False
         self.label, self.all = "", False  # of an option: its label, and whether it is selected; of a select: whether it lists all
         self.shown: list[str] = []  # what a select shows
 
@@ -166,6 +168,11 @@ class Renderer:
     def __init__(self):
         self.root = Open("", False, Lines(), False)
         self.stack = [self.root]
+        self.at: dict[str, list[int]] = {}  # depths of the open elements of each name
+
+    def last(self, names: Iterable[str]) -> int:
+        """Depth of the innermost open element with one of the names, or 0."""
+        return max((at[-1] for n in names if (at := self.at.get(n))), default=0)
 
     def text(self, raw: str) -> None:
         if self.stack[-1].name == "head" and raw.strip(" \t\n\f\r"):
@@ -192,12 +199,15 @@ class Renderer:
         """Close all elements from ``depth`` on."""
         while len(self.stack) > depth:
             e = self.stack.pop()
+            self.at[e.name].pop()
             if e.unseen:
                 continue
-            if e.name in ("td", "th"):
+            if e.flat:
+                e.out.end()
+            elif e.name in ("td", "th"):
                 e.out.end()
-                table = next((x for x in reversed(self.stack) if x.rows is not None), None)
-                if table is not None:
+                table = self.stack[self.last(["table"])]
+                if table.rows is not None:
                     if not table.rows:
                         table.rows.append([])
                     table.rows[-1].append(e.out.done)
@@ -226,18 +236,19 @@ class Renderer:
             elif e.name == "q":
                 e.out.words('"')
             elif e.name in SPACED:
-                nested = e.name in LISTS and any(x.name == "li" for x in self.stack)
+                nested = e.name in LISTS and bool(self.at.get("li"))
                 e.out.end() if nested else e.out.space()
             elif e.name in BLOCK:
                 e.out.end()
 
     def option(self, e: Open) -> None:
         """A list shows every option, a closed select the last selected or else the first."""
-        select = next((x for x in reversed(self.stack) if x.name == "select"), None)
+        depth = self.last(["select"])
         e.out.end()
-        if select is None:
+        if not depth:
             self.stack[-1].out.add(e.out.done)
             return
+        select = self.stack[depth]
         text = e.label or " ".join(e.out.done)
         if select.all:
             select.shown.append(text)
@@ -255,21 +266,15 @@ class Renderer:
             self.end_head()
         if name in CLOSES:
             targets, bounds = CLOSES[name]
-            found = 0
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in bounds:
-                    break
-                if stack[i].name in targets:
-                    found = i
+            bound = self.last(bounds)
+            depths = (self.at.get(n, []) for n in targets)
+            found = min((at[bisect_right(at, bound)] for at in depths if at and at[-1] > bound), default=0)
             if found:
                 self.close(found)
         if name in BLOCK and name not in ("html", "body"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == "p":
-                    self.close(i)
-                    break
-                if stack[i].name in SCOPE:
-                    break
+            depth = self.last(["p"])
+            if depth and depth > self.last(SCOPE):
+                self.close(depth)
         if name in HEADINGS and stack[-1].name in HEADINGS:
             self.close(len(stack) - 1)
         if name in BLOCK or name in ("input", "select", "textarea"):  # no select holds them
@@ -305,39 +310,39 @@ class Renderer:
                 e.all = "selected" in found if name == "option" else "multiple" in found or (size.isdecimal() and int(size) > 1)
             elif e.foreign and name in APART:
                 top.out.gap = True
+            elif len(stack) > MAX_DEPTH and name in ("td", "th", "table", "li", "blockquote"):
+                top.out.end()
+                e.flat = True
             elif name in ("td", "th"):
                 e.out = Lines()
             elif name == "table":
                 e.out, e.rows = Lines(), []
             elif name == "tr":
-                table = next((x for x in reversed(stack) if x.rows is not None), None)
-                if table is not None:
+                table = stack[self.last(["table"])]
+                if table.rows is not None:
                     table.rows.append([])
             elif name == "li":
                 top.out.end()
                 e.out = Lines()
-                owner = next((x for x in reversed(stack) if x.name in LISTS), None)
-                if owner is not None:
-                    owner.count += 1
-                e.out.mark = f"{owner.count}. " if owner is not None and owner.ordered else "- "
+                owner = stack[self.last(LISTS)]
+                owner.count += 1
+                e.out.mark = f"{owner.count}. " if owner.ordered else "- "
             elif name == "blockquote":
                 top.out.space()
                 e.out = Lines()
                 e.out.mark = "  "
             elif name in SPACED:
-                nested = name in LISTS and any(x.name == "li" for x in stack)
+                nested = name in LISTS and bool(self.at.get("li"))
                 top.out.end() if nested else top.out.space()
                 e.ordered = name == "ol"
             elif name in BLOCK:
                 top.out.end()
             elif name == "q":
                 top.out.words('"')
-        if len(stack) <= MAX_DEPTH:
-            stack.append(e)
-            if e.foreign and self.empty(attributes):
-                self.close(len(stack) - 1)
-        elif name in ("td", "th", "table", "li", "blockquote") and not hidden:
-            top.out.end()
+        self.at.setdefault(name, []).append(len(stack))
+        stack.append(e)
+        if e.foreign and self.empty(attributes):
+            self.close(len(stack) - 1)
 
     @staticmethod
     def empty(attributes: str) -> bool:
@@ -369,14 +374,17 @@ class Renderer:
         if name == "br":
             self.start("br", "")
             return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name == name or (name in HEADINGS and self.stack[i].name in HEADINGS):
-                self.close(i)
-                return
-            if self.stack[i].name in SCOPE and name not in BLOCK and name not in SCOPE:
-                return
-            if self.stack[i].name in ("td", "th", "table") and name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot"):
-                return
+        depth = self.last(HEADINGS if name in HEADINGS else [name])
+        bound = 0
+        if name not in BLOCK and name not in SCOPE:
+            bound = self.last(SCOPE)
+        if name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot"):
+            bound = max(bound, self.last(("td", "th", "table")))
+        if depth and depth >= bound:
+            self.close(depth)
+            return
+        if bound:
+            return
         if name == "p" and not self.stack[-1].unseen:
             self.stack[-1].out.space()
 

@@ -426,6 +426,15 @@ def test_rendering_shows_formulas_drawings_and_choices():
     assert r("<option>a</option>b").split() == ["a", "b"]
 
 
+def test_rendering_hides_at_every_depth():
+    r = html_text.render
+    deep, out = "<div>" * 300, "</div>" * 300
+    assert r(deep + "<script>s<p></script><style>t</style><i hidden>u</i>x" + out + "y") == "x\ny"
+    assert r("<div hidden>" + deep + out + "no</div>y") == "y"
+    assert r(deep + "<table><tr><td>a<td>b</table><ul><li>c<li>d</ul>" + out).split() == ["a", "b", "c", "d"]
+    assert r("<p><button>" + "<b>" * 20_000 + "<div></p></i>" * 20_000 + "x") == "x"
+
+
 def test_rendering_keeps_every_row(spark):
     df = spark.createDataFrame([(1, None), (1, "<p>x"), (None, "y")], "page_id long, html string").withColumn("text", F.lit(0))
     rows = html_text.extracted(df).collect()
