@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from medoidlab.llm.conversation_repair import op12_conversation_repair
+from medoidlab.llm.conversation_repair_sql import OP12_SQL
 from medoidlab.llm.decontamination import op2_decontamination
 from medoidlab.llm.html_text import op7_html_text
 from medoidlab.llm.minhash import op3_minhash_near_dedup
 from medoidlab.llm.packing import op9_packing
 from medoidlab.llm.preferences import OP10_SQL, op10_preferences
+from medoidlab.llm.secret_scan import op13_secret_scan
 from medoidlab.llm.sharding import op4_hilbert_sharding
 from medoidlab.llm.token_counts import op6_token_counts
 from medoidlab.llm.topk import OP5_SQL, op5_cover_tree_topk
@@ -31,6 +34,8 @@ QUERIES = {
     "op8_warc_archive": op8_warc_archive,
     "op9_packing": op9_packing,
     "op10_preferences": op10_preferences,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_secret_scan": op13_secret_scan,
     "pipeline": pipeline,
 }
 
@@ -38,4 +43,5 @@ ORACLES = {
     "op5_cover_tree_topk": OP5_SQL,
     "op8_warc_archive": OP8_SQL,
     "op10_preferences": OP10_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
