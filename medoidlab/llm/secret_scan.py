@@ -283,12 +283,13 @@ def op13_secret_scan(spark, sf_dir):
     """Counts and digest of the spans of the text itself, and all spans as text."""
     found = secrets(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda s: s["path"] == "")
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *[
-            F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-            for k in KINDS
-        ],
+        *[count(kind) for kind in KINDS],
         F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("found")).alias("spans"),
         "n_layers",
