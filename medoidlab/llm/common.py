@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medoidlab.session import scratch_path
+from medoidlab.session import scratch_path, ship_package
 
 LONG = T.LongType()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,6 +20,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet under the shared folder of ``spark.checkpoint.dir``
     and read back: cuts lineage, survives lost executors and keeps column pruning."""
     spark = df.sparkSession
+    ship_package(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,8 @@ from medoidlab.llm.packing import op9_packing
 from medoidlab.llm.preferences import OP10_SQL, op10_preferences
 from medoidlab.llm.secret_scan import op13_secret_scan
 from medoidlab.llm.sharding import op4_hilbert_sharding
+from medoidlab.llm.spelling import op11_spelling_variants
+from medoidlab.llm.spelling_sql import OP11_SQL
 from medoidlab.llm.token_counts import op6_token_counts
 from medoidlab.llm.topk import OP5_SQL, op5_cover_tree_topk
 from medoidlab.llm.toxicity import op1_fm_toxicity
@@ -34,6 +36,7 @@ QUERIES = {
     "op8_warc_archive": op8_warc_archive,
     "op9_packing": op9_packing,
     "op10_preferences": op10_preferences,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_secret_scan": op13_secret_scan,
     "pipeline": pipeline,
@@ -43,5 +46,6 @@ ORACLES = {
     "op5_cover_tree_topk": OP5_SQL,
     "op8_warc_archive": OP8_SQL,
     "op10_preferences": OP10_SQL,
+    "op11_spelling_variants": OP11_SQL,
     "op12_conversation_repair": OP12_SQL,
 }
