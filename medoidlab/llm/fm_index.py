@@ -21,7 +21,8 @@ def suffix_ranks(codes: np.ndarray, signs: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(depth):
         key <<= bits
-        key[: n - j] |= codes[j:]
+        if j < n:
+            key[: n - j] |= codes[j:]
     while True:
         order = np.argsort(key, kind="stable")
         new = np.empty(n, bool)

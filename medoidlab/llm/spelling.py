@@ -14,9 +14,10 @@ delimiter, no search has to turn around, so the two directions' intervals need n
 in step. A near word that agrees with both halves is counted by the first only.
 
 Scale: words meet only if they share a half. Halves are hashed to cells of about
-``CELL_WORDS`` words; a cell's words are indexed in the task that holds it and the queries
-of the cell stream past the index. A half that more words share is split over several
-indexes, and its queries go to each. Per word and index only the number of near words and
+``CELL_WORDS`` words; a cell's words are indexed (an index for each direction and length of
+half, so that a word is met once) in the task that holds it, and the queries of the cell
+stream past the indexes. A half that more words share is split by hash over several cells,
+and its queries go to each. Per word and index only the number of near words and
 the best of them leave a task, never pairs. Chains of forms end after at most 27 steps, as
 counts grow fivefold; they are followed by doubling.
 
@@ -84,7 +85,7 @@ def _cell(cells: int) -> Column:
 
 
 def in_cells(words: DataFrame, cells: int, cell_words: int) -> DataFrame:
-    """``cell, query (0 indexed, 1 query), side, inwards, n, exact`` for both sides."""
+    """``cell, query (0 indexed, 1 query), side, exact, chunk, inwards, n`` for both sides."""
     ends, starts = _halves(words, True), _halves(words, False)
     indexed, queries = (a.unionByName(b) for a, b in zip(ends, starts))
     # At most four rows a word are indexed, so at most 4 * words / cell_words halves are split.
@@ -92,7 +93,7 @@ def in_cells(words: DataFrame, cells: int, cell_words: int) -> DataFrame:
     split = F.broadcast(split.select("side", "half", F.ceil(F.col("count") / cell_words).alias("chunks")))
     chunks = F.coalesce(F.col("chunks"), F.lit(1))
     own = F.pmod(F.xxhash64("inwards"), chunks)
-    columns = [_cell(cells), "query", "side", "inwards", "n", "exact"]
+    columns = [_cell(cells), "query", "side", "exact", "chunk", "inwards", "n"]
     put = indexed.join(split, ["side", "half"], "left").withColumn("chunk", own).withColumn("query", F.lit(0))
     ask = (
         queries.join(split, ["side", "half"], "left")
@@ -102,75 +103,72 @@ def in_cells(words: DataFrame, cells: int, cell_words: int) -> DataFrame:
     return put.select(columns).unionByName(ask.select(columns))
 
 
-class _Cell:
-    """One cell's indexes, a side each, and the near words of queries."""
+class _Index:
+    """The words of one cell, direction, length of half and chunk, and the near words of queries."""
 
-    def __init__(self, rows: list[tuple[int, str, int]]):
-        self.sides = {}
-        for side in (0, 1):
-            counts = {w: n for s, w, n in rows if s == side}
-            if counts:
-                words = list(counts)
-                order = np.argsort(np.array([w[::-1] if side else w for w in words], object))
-                rank = np.empty(len(words), np.int64)
-                rank[order] = np.arange(len(words))
-                # The index extends from the right end: its words run outwards.
-                index = Index([w[::-1] for w in words])
-                self.sides[side] = (index, words, np.array(list(counts.values()), np.int64), rank)
+    def __init__(self, side: int, exact: int, counts: dict[str, int]):
+        self.side, self.exact, self.words = side, exact, list(counts)
+        self.counts = np.array(list(counts.values()), np.int64)
+        order = np.argsort(np.array([w[::-1] if side else w for w in self.words], object))
+        self.rank = np.empty(len(self.words), np.int64)
+        self.rank[order] = np.arange(len(self.words))
+        # The index extends from the right end: its words run outwards.
+        self.index = Index([w[::-1] for w in self.words])
 
-    def near(self, side: int, asked: list[str], exact: int) -> Iterator[tuple[str, int, int, str]]:
+    def near(self, asked: list[str]) -> Iterator[tuple[str, int, int, str]]:
         """(word, near words, best count, best word) of queries of one length that have some."""
-        if side not in self.sides:
-            return
-        index, words, counts, rank = self.sides[side]
-        own, found = index.one_error([w[::-1] for w in asked], exact)
+        side, words, counts = self.side, self.words, self.counts
+        own, found = self.index.one_error([w[::-1] for w in asked], self.exact)
         if side:
             # What agrees with the first half too is found from the start.
-            other = len(asked[0]) - exact
+            other = len(asked[0]) - self.exact
             again = np.fromiter(
                 (words[f][::-1].startswith(asked[o][::-1][:other]) for o, f in zip(own.tolist(), found.tolist())),
                 bool,
                 len(own),
             )
             own, found = own[~again], found[~again]
-        order = np.lexsort((rank[found], -counts[found], own))
+        order = np.lexsort((self.rank[found], -counts[found], own))
         own, found = own[order], found[order]
         first = np.flatnonzero(np.diff(own, prepend=-1))
         sizes = np.diff(np.append(first, len(own)))
         for at, size in zip(first.tolist(), sizes.tolist()):
             word, best = asked[own[at]], words[found[at]]
-            yield (word[::-1], size, int(counts[found[at]]), best[::-1]) if side else (
-                word, size, int(counts[found[at]]), best
-            )
+            if side:
+                word, best = word[::-1], best[::-1]
+            yield word, size, int(counts[found[at]]), best
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (cell, query): a cell's words, then the queries that meet them."""
-    at, words, cell, waiting = None, [], None, {}
+    at, words, indexes, waiting = None, {}, {}, {}
 
     def answer(group):
-        side, size, exact = group
-        rows = list(cell.near(side, waiting.pop(group), exact))
+        asked, index = waiting.pop(group), group[:3]
+        if index in words:
+            indexes[index] = _Index(*index[:2], words.pop(index))
+        rows = list(indexes[index].near(asked)) if index in indexes else []
         return pa.RecordBatch.from_arrays(
             [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.string()))],
             ["word", "near", "best_n", "best"],
         )
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("cell", "query", "side", "inwards", "n", "exact")]
-        for c, query, side, inwards, n, exact in zip(*columns):
+        columns = [batch.column(c).to_pylist() for c in ("cell", "query", "side", "exact", "chunk", "inwards", "n")]
+        for c, query, side, exact, chunk, inwards, n in zip(*columns):
             if c != at:
                 for group in list(waiting):
                     yield answer(group)
-                at, words, cell = c, [], None
+                at = c
+                words.clear()
+                indexes.clear()
             if not query:
-                words.append((side, inwards, n))
+                words.setdefault((side, exact, chunk), {})[inwards] = n
                 continue
-            if cell is None:
-                cell, words = _Cell(words), []
-            group = (side, len(inwards), exact)
-            waiting.setdefault(group, []).append(inwards)
-            if len(waiting[group]) >= BATCH:
+            group = (side, exact, chunk, len(inwards))
+            asked = waiting.setdefault(group, [])
+            asked.append(inwards)
+            if len(asked) >= BATCH:
                 yield answer(group)
     for group in list(waiting):
         yield answer(group)
