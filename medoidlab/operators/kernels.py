@@ -7,6 +7,8 @@ metres, computed in blocks so memory stays at ``block x places`` doubles.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from medoidlab.schema import EARTH_RADIUS_M
@@ -73,27 +75,37 @@ def nearest_two(dm):
 def swap_costs(lon, lat, w, medoids, cand=None, dense=None):
     """phi after putting each candidate in each slot: array (len(cand), k).
 
-    The cost of point p is ``min(d(p, c), d1 or d2)``: its nearest remaining centre is
-    ``d2`` when the swapped slot was its nearest, ``d1`` otherwise. ``dense`` is an
-    optional precomputed (u, u) distance matrix.
+    With the candidate added and no slot removed, place p costs ``min(d(p, c), d1)``;
+    removing its own nearest slot makes that ``min(d(p, c), d2)``. So one pass over the
+    distances gives the shared sum, and per slot the loss of the places nearest to it: the
+    work does not grow with k. ``dense`` is an optional precomputed (u, u) matrix.
     """
     u = lon.shape[0]
     medoids = np.asarray(medoids, dtype=np.int64)
-    k = medoids.shape[0]
     if cand is None:
         cand = np.arange(u)
     cols = (lambda idx: dense[:, idx]) if dense is not None else (lambda idx: dist_cols(lon, lat, idx))
     d1, d2, near = nearest_two(cols(medoids))
-    out = np.empty((len(cand), k))
-    keep = [np.where(near == s, d2, d1) for s in range(k)]
+    out = np.empty((len(cand), medoids.shape[0]))
     for b0 in range(0, len(cand), BLOCK):
         cb = cand[b0 : b0 + BLOCK]
-        dc = cols(cb)  # (u, block)
-        for s in range(k):
-            out[b0 : b0 + len(cb), s] = (w[:, None] * np.minimum(dc, keep[s][:, None])).sum(axis=0)
+        out[b0 : b0 + len(cb)] = swap_sums(cols(cb), d1, d2, near, w, medoids.shape[0])
     return out, float((w * d1).sum())
 
 
+def swap_sums(dc, d1, d2, near, w, k):
+    """Sums over places of a (places, candidates) block of distances: per candidate and
+    slot the cost after the swap. Sums of several blocks of places add up."""
+    order = np.argsort(near, kind="stable")
+    slots, first = np.unique(near[order], return_index=True)
+    dc, wo = dc[order], w[order][:, None]
+    kept = wo * np.minimum(dc, d1[order][:, None])
+    lost = wo * np.minimum(dc, d2[order][:, None]) - kept
+    out = np.repeat(kept.sum(axis=0)[:, None], k, axis=1)
+    out[:, slots] += np.add.reduceat(lost, first, axis=0).T
+    return out
+
+
 def dense_matrix(lon, lat):
     """Full (u, u) haversine matrix, or None above ``DENSE_MAX`` places."""
     if lon.shape[0] > DENSE_MAX:
@@ -164,10 +176,25 @@ def _closest_pair(lon, lat, med):
     return best[1], best[2]
 
 
-def clarans_search(lon, lat, w, k, nlocal, nneighbor, rng):
-    """CLARANS over distinct places: ``nlocal`` random starts, best improving neighbour
-    per round among ``nneighbor`` random non-centre places; a candidate replaces one of
-    the two closest centres, chosen by coin flip. Returns (medoid indices, phi).
+# Fixed value: the prime below 2^31 over which draw orders are computed, so that a product
+# of two residues fits a signed 64-bit integer in every engine.
+DRAW_PRIME = 2147483647
+
+
+def draw_params(seed, bucket, start, rnd):
+    """(a1, b1, a2, b2) of one round: a place with draw value h comes at
+    ``(a1 h + b1) mod p`` in the round's order, and its coin is ``(a2 h + b2) mod p mod 2``.
+    A counter and a hash instead of generator state, so any engine can repeat the draws."""
+    digest = hashlib.md5(f"{seed}|{bucket}|{start}|{rnd}".encode()).hexdigest()
+    w = [int(digest[i : i + 8], 16) for i in (0, 8, 16, 24)]
+    return 1 + w[0] % (DRAW_PRIME - 1), w[1] % DRAW_PRIME, 1 + w[2] % (DRAW_PRIME - 1), w[3] % DRAW_PRIME
+
+
+def clarans_search(lon, lat, w, ids, h, k, nlocal, nneighbor, seed, bucket):
+    """CLARANS over distinct places with draw values ``h``: ``nlocal`` random starts, best
+    improving neighbour per round among the first ``nneighbor`` non-centre places of the
+    round's order; a candidate replaces one of the two closest centres, by coin. Returns
+    (medoid indices in id order, phi).
     """
     u = lon.shape[0]
     if u < k:
@@ -176,33 +203,31 @@ def clarans_search(lon, lat, w, k, nlocal, nneighbor, rng):
         raise ValueError("CLARANS needs k >= 2")
     nneighbor = max(1, min(nneighbor, u - k))
     dense = dense_matrix(lon, lat)
-    starts = [np.sort(rng.choice(u, size=k, replace=False)) for _ in range(nlocal)]
-    phis = []
-    for med in starts:
+    h = h.astype(np.int64) % DRAW_PRIME
+    best = None
+    for start in range(nlocal):
+        a, b, _, _ = draw_params(seed, bucket, start, 0)
+        drawn = np.lexsort((ids, (a * h + b) % DRAW_PRIME))[:k]
+        med = drawn[np.argsort(ids[drawn])]
         d1, _, _ = nearest_two(dist_cols(lon, lat, med))
-        phis.append(float((w * d1).sum()))
-    live = list(range(nlocal))
-    best_med, best_phi = None, np.inf
-    while live:
-        still = []
-        for i in list(live):
-            med = starts[i]
-            c1, c2 = _closest_pair(lon, lat, med)
-            pool = np.setdiff1d(np.arange(u), med, assume_unique=False)
-            cand = rng.choice(pool, size=min(nneighbor, len(pool)), replace=False)
-            flips = rng.integers(0, 2, size=len(cand))
-            slots = np.where(flips == 0, c1, c2)
+        phi, rnd = float((w * d1).sum()), 0
+        while True:  # phi falls by IMPROVE_TOL at least each round, so this ends
+            rnd += 1
+            a, b, a2, b2 = draw_params(seed, bucket, start, rnd)
+            pool = np.ones(u, dtype=bool)
+            pool[med] = False
+            order = np.lexsort((ids, (a * h + b) % DRAW_PRIME))
+            cand = order[pool[order]][:nneighbor]
+            slots = np.array(_closest_pair(lon, lat, med))[((a2 * h[cand] + b2) % DRAW_PRIME) % 2]
             costs, _ = swap_costs(lon, lat, w, med, cand, dense)
             phi_n = costs[np.arange(len(cand)), slots]
             j = int(np.argmin(phi_n))
-            if phi_n[j] < phis[i] - IMPROVE_TOL:
-                med = med.copy()
-                med[slots[j]] = cand[j]
-                starts[i] = med
-                phis[i] = float(phi_n[j])
-                still.append(i)
-            else:
-                if phis[i] < best_phi:
-                    best_med, best_phi = med, phis[i]
-        live = still
-    return best_med, best_phi
+            if not phi_n[j] < phi - IMPROVE_TOL:
+                break
+            med = med.copy()
+            med[slots[j]] = cand[j]
+            phi = float(phi_n[j])
+        if best is None or phi < best[1]:
+            best = med, phi
+    med, phi = best
+    return med[np.argsort(ids[med])], phi

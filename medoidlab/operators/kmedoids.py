@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from medoidlab.functions.geo import hash32, salt
 from medoidlab.operators import kernels as K
 from medoidlab.operators.assign import clara_select
 from medoidlab.operators.sampling import bucketed_sample, exact_sample, exact_sample_replace, with_bucket
@@ -316,8 +317,8 @@ def _clarans_group(k: int, nlocal: int, nneighbor: int, seed: int, schema=MEDOID
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         b = int(pdf["bucket"].iloc[0])
         pdf, lon, lat, w, ids = _arrays(pdf)
-        rng = np.random.default_rng([int(seed) & 0xFFFFFFFF, b & 0xFFFFFFFF])
-        res = K.clarans_search(lon, lat, w, k, nlocal, nneighbor, rng)
+        h = pdf["h"].to_numpy(np.int64)
+        res = K.clarans_search(lon, lat, w, ids, h, k, nlocal, nneighbor, seed, b)
         if res is None:
             return pd.DataFrame(columns=[f.name for f in schema.fields])
         med, phi = res
@@ -344,7 +345,8 @@ def clarans_buckets(keyed: DataFrame, k: int, nlocal: int, seed: int, n_buckets:
         present, nd = bucket_sizes(pl)  # nd: T2, distinct (bucket, place) count
         if nneighbor is None:
             nneighbor = K.clarans_budget(k, nd // max(1, n_buckets))
-        pl2 = pl.repartition(_solver_partitions(pl, max(present, 1)), "bucket")
+        drawn = pl.withColumn("h", hash32("id", salt(seed, "draw")))
+        pl2 = drawn.repartition(_solver_partitions(pl, max(present, 1)), "bucket")
         run = _clarans_group(k, nlocal, nneighbor, seed)
         return cut_lineage(pl2.groupBy("bucket").applyInPandas(run, MEDOID_SCHEMA))
     finally:

@@ -640,7 +640,8 @@ def q_center_pixels(spark, sf_dir):
     return px.select("center_id", F.col("x").cast("bigint").alias("x"), F.col("y").cast("bigint").alias("y"))
 
 
-# ---------------------------------------------------------------- C4-C26 (rows-only: seeded searches)
+# ---------------------------------------------------------------- C4-C26: seeded searches
+from medoidlab.plans import search_sql as SQ  # noqa: E402
 from medoidlab.operators.kmeans import kmeans  # noqa: E402
 from medoidlab.plans.sweep import sweep  # noqa: E402
 from medoidlab.schema import ALG_CLARA  # noqa: E402
@@ -652,46 +653,50 @@ def _scored(p: DataFrame, centers: DataFrame) -> DataFrame:
 
     cl = centers.select("center_id", "lon", "lat").collect()
     phi = objective_value(p, [(int(r[0]), float(r[1]), float(r[2])) for r in cl])
-    return centers.select("center_id", "lon", "lat").withColumn("phi", F.round(F.lit(phi), 1))
+    kept = [c for c in ("center_id", "id", "lon", "lat") if c in centers.columns]
+    return centers.select(*kept).withColumn("phi", F.round(F.lit(phi), 1))
 
 
-@register("pam", None, "C6 + C7: PAM on a 4-bucket hash sample, merged by PAM; k = 4")
+_FULL, _REDUCED = SQ.full(K_DEMO, SEED), SQ.reduced(L_DEMO, SEED)
+
+
+@register("pam", SQ.pam_sql(_REDUCED[0], K_DEMO), "C6 + C7: PAM on a 4-bucket hash sample, merged by PAM; k = 4")
 def q_pam(spark, sf_dir):
     p = stored_positions(spark, sf_dir)
     return _scored(p, KM.pam(p, K_DEMO, buckets=L_DEMO, seed=SEED))
 
 
-@register("pam_full", None, "C5 + C7: PAM on all rows in floor(sqrt(n/k)) buckets, merged by PAM")
+@register("pam_full", SQ.pam_sql(_FULL[0], K_DEMO), "C5 + C7: PAM on all rows in floor(sqrt(n/k)) buckets, merged by PAM")
 def q_pam_full(spark, sf_dir):
     p = stored_positions(spark, sf_dir)
     return _scored(p, KM.pam(p, K_DEMO, seed=SEED))
 
 
-@register("clara", None, "C9: CLARA on a 4-bucket hash sample (the shipped demo setting)")
+@register("clara", SQ.clara_sql(_REDUCED[0], K_DEMO), "C9: CLARA on a 4-bucket hash sample (the shipped demo setting)")
 def q_clara(spark, sf_dir):
     p = stored_positions(spark, sf_dir)
     return _scored(p, KM.clara(p, K_DEMO, buckets=L_DEMO, seed=SEED))
 
 
-@register("clara_full", None, "C8: CLARA over all rows in floor(sqrt(n/k)) buckets")
+@register("clara_full", SQ.clara_sql(_FULL[0], K_DEMO), "C8: CLARA over all rows in floor(sqrt(n/k)) buckets")
 def q_clara_full(spark, sf_dir):
     p = stored_positions(spark, sf_dir)
     return _scored(p, KM.clara(p, K_DEMO, seed=SEED))
 
 
-@register("clara_samples", None, "C10: CLARA on 4 exact samples of 100 rows drawn with replacement")
+@register("clara_samples", SQ.clara_sql(SQ.drawn_again(100, 4, SEED), K_DEMO), "C10: CLARA on 4 exact samples of 100 rows drawn with replacement")
 def q_clara_samples(spark, sf_dir):
     p = stored_positions(spark, sf_dir)
     return _scored(p, KM.clara(p, K_DEMO, sample_size=100, n_samples=4, seed=SEED))
 
 
-@register("clarafast", None, "C12: CLARAFAST, 5 exact samples of 40 + 2k rows")
+@register("clarafast", SQ.clara_sql(SQ.drawn(_EXACT, 5, SEED), K_DEMO), "C12: CLARAFAST, 5 exact samples of 40 + 2k rows")
 def q_clarafast(spark, sf_dir):
     p = stored_positions(spark, sf_dir)
     return _scored(p, KM.clarafast(p, K_DEMO, seed=SEED))
 
 
-@register("clarans", None, "C13 + C15: CLARANS on all rows, 3 local searches, merged by CLARANS")
+@register("clarans", SQ.clarans_sql(_FULL, K_DEMO, 3, SEED), "C13 + C15: CLARANS on all rows, 3 local searches, merged by CLARANS")
 def q_clarans(spark, sf_dir):
     p = stored_positions(spark, sf_dir)
     return _scored(p, KM.clarans(p, K_DEMO, nlocal=3, seed=SEED))
@@ -703,7 +708,7 @@ def q_kmeans(spark, sf_dir):
     return _scored(p, kmeans(p, K_DEMO, seed=SEED))
 
 
-@register("sweep", None, "C26: the shipped sweep, CLARA for k = 4..6 with 4 buckets")
+@register("sweep", SQ.sweep_sql([4, 5, 6], L_DEMO, SEED), "C26: the shipped sweep, CLARA for k = 4..6 with 4 buckets")
 def q_sweep(spark, sf_dir):
     r = sweep(stored_positions(spark, sf_dir), 4, 6, 1, ALG_CLARA, seed=SEED)
     return r.select("k", "algorithm", F.round("phi", 1).alias("phi"), F.size("centers").alias("n_centers"))
@@ -780,7 +785,7 @@ def q_pixel_colors(spark, sf_dir):
     return RA.pixel_colors(r, len(FIXED_CENTERS))
 
 
-@register("clarans_reduced", None, "C14: CLARANS on a 4-bucket hash sample, merged by CLARANS")
+@register("clarans_reduced", SQ.clarans_sql(_REDUCED, K_DEMO, 3, SEED), "C14: CLARANS on a 4-bucket hash sample, merged by CLARANS")
 def q_clarans_reduced(spark, sf_dir):
     p = stored_positions(spark, sf_dir)
     return _scored(p, KM.clarans(p, K_DEMO, buckets=L_DEMO, nlocal=3, seed=SEED))
