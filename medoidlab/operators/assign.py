@@ -33,6 +33,17 @@ SETS_PER_PASS = 8192
 Centers = Sequence[tuple[float, float]]
 
 
+def planar(lon1, lat1, lon2, lat2) -> Column:
+    """Squared distance in degrees, the metric of a k-means model."""
+    lon1, lat1, lon2, lat2 = (F.col(x) if isinstance(x, str) else x if isinstance(x, Column) else F.lit(x)
+                              for x in (lon1, lat1, lon2, lat2))
+    return (lon1 - lon2) * (lon1 - lon2) + (lat1 - lat2) * (lat1 - lat2)
+
+
+# What "nearest" is measured in: great-circle metres, or squared degrees.
+METRICS = {"haversine": haversine, "planar": planar}
+
+
 def as_center_list(centers) -> list[tuple[int, float, float]]:
     """(center_id, lon, lat) triples from a list of (lon, lat) or a centres DataFrame."""
     if isinstance(centers, DataFrame):
@@ -65,9 +76,10 @@ def _center_array(chunk: list[tuple[int, float, float]]) -> Column:
     )
 
 
-def _distance_array(cl: list[tuple[int, float, float]], lon: str | Column, lat: str | Column) -> Column:
+def _distance_array(cl: list[tuple[int, float, float]], lon: str | Column, lat: str | Column,
+                    metric: str = "haversine") -> Column:
     values = ", ".join(f"named_struct('lon', {x!r}D, 'lat', {y!r}D)" for _, x, y in cl)
-    return F.transform(F.expr(f"array({values})"), lambda c: haversine(lon, lat, c["lon"], c["lat"]))
+    return F.transform(F.expr(f"array({values})"), lambda c: METRICS[metric](lon, lat, c["lon"], c["lat"]))
 
 
 def _col(c) -> Column:
@@ -86,8 +98,9 @@ def nearest_dist(centers, lon: str | Column = "lon", lat: str | Column = "lat")
 
 
 def with_nearest(df: DataFrame, centers, lon: str = "lon", lat: str = "lat",
-                 cluster: str = "cluster", dist: str = "dist") -> DataFrame:
-    """Add ``cluster`` (nearest centre id) and ``dist`` (metres) to every row.
+                 cluster: str = "cluster", dist: str = "dist", metric: str = "haversine") -> DataFrame:
+    """Add ``cluster`` (nearest centre id) and ``dist`` (metres; squared degrees for
+    ``metric="planar"``) to every row.
 
     One distance column per centre, ``least`` over them, and the first centre whose
     distance equals the minimum (ties go to the lower index, like a strict ``<`` scan).
@@ -95,16 +108,18 @@ def with_nearest(df: DataFrame, centers, lon: str = "lon", lat: str = "lat",
     per-centre columns are referenced twice, so Catalyst keeps them in their own
     projection and each is computed once, all inside one codegen stage.
     """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {sorted(METRICS)}")
     cl = as_center_list(centers)
     if not cl:
         raise ValueError("no centres")
     if len(cl) > UNROLLED_CENTERS:
         ids = F.expr(f"array({', '.join(str(cid) for cid, _, _ in cl)})")
-        out = df.select("*", _distance_array(cl, lon, lat).alias("__d")).withColumn(dist, F.array_min("__d"))
+        out = df.select("*", _distance_array(cl, lon, lat, metric).alias("__d")).withColumn(dist, F.array_min("__d"))
         first = F.array_position(F.col("__d"), F.col(dist)).cast("int")
         return out.withColumn(cluster, F.get(ids, first - 1).cast("int")).drop("__d")
     names = [f"__d{i}" for i in range(len(cl))]
-    out = df.select("*", *[haversine(lon, lat, clon, clat).alias(n) for n, (_, clon, clat) in zip(names, cl)])
+    out = df.select("*", *[METRICS[metric](lon, lat, clon, clat).alias(n) for n, (_, clon, clat) in zip(names, cl)])
     m = F.col(names[0]) if len(names) == 1 else F.least(*[F.col(n) for n in names])
     out = out.withColumn(dist, m)
     pick = None

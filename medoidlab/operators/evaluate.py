@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medoidlab.functions.geo import hash32, salt
-from medoidlab.operators.assign import assign_nearest
+from medoidlab.functions.geo import hash32, haversine, salt
+from medoidlab.operators.assign import as_center_list, assign_nearest, with_nearest
 from medoidlab.operators.kernels import chord_distance, unit_vectors
 from medoidlab.operators.neighbors import build_index, nearest_places
 from medoidlab.operators.sampling import bernoulli_sample, uniform_points
@@ -216,26 +216,12 @@ def radius_stats(df: DataFrame, centers, metric: str = "haversine") -> DataFrame
     ``metric="planar"`` assigns by squared degrees (a k-means model's ``predict``)
     and still measures the radius in metres; empty clusters are skipped.
     """
-    from medoidlab.operators.assign import as_center_list
-    from medoidlab.functions.geo import haversine
-
-    if metric == "haversine":
-        a = assign_nearest(df, centers)
-    elif metric == "planar":
+    a = with_nearest(df, centers, metric=metric)
+    if metric == "planar":
         cl = as_center_list(centers)
-        near = F.least(
-            *[
-                F.struct(
-                    ((F.col("lon") - F.lit(lon)) ** 2 + (F.col("lat") - F.lit(lat)) ** 2).alias("d2"),
-                    F.lit(cid).alias("c"),
-                    haversine("lon", "lat", lon, lat).alias("d"),
-                )
-                for cid, lon, lat in cl
-            ]
-        )
-        a = df.withColumn("__n", near).select(F.col("__n.c").alias("cluster"), F.col("__n.d").alias("dist"))
-    else:
-        raise ValueError("metric must be 'haversine' or 'planar'")
+        places = ", ".join(f"{c}, named_struct('lon', {lon!r}D, 'lat', {lat!r}D)" for c, lon, lat in cl)
+        at = F.expr(f"map({places})")[F.col("cluster")]
+        a = a.withColumn("dist", haversine("lon", "lat", at["lon"], at["lat"]))
     mx = a.groupBy("cluster").agg(F.max("dist").alias("radius"))
     return mx.agg(
         F.avg("radius").alias("mean_radius"),

@@ -12,25 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medoidlab.functions.geo import cluster_color, to_pixel_x, to_pixel_y
-from medoidlab.operators.assign import as_center_list, with_nearest
+from medoidlab.operators.assign import METRICS, as_center_list, with_nearest
 from medoidlab.schema import ALPHA_CLUSTERING, CENTER_SQUARE, IMAGE_BOX, IMAGE_SIZE, Box
 
 
 def _with_cluster(df: DataFrame, centers, assign: str) -> DataFrame:
     if centers is None:
         return df.withColumn("cluster", F.lit(0))  # P13: no model, one colour
-    if assign == "haversine":
-        return with_nearest(df, centers, dist="__dist").drop("__dist")
-    if assign == "planar":
-        cl = as_center_list(centers)
-        near = F.least(
-            *[
-                F.struct(((F.col("lon") - F.lit(lon)) ** 2 + (F.col("lat") - F.lit(lat)) ** 2).alias("d2"), F.lit(cid).alias("c"))
-                for cid, lon, lat in cl
-            ]
-        )
-        return df.withColumn("cluster", near["c"].cast("int"))
-    raise ValueError("assign must be 'haversine' or 'planar'")
+    return with_nearest(df, centers, dist="__dist", metric=assign).drop("__dist")
 
 
 def with_pixels(df: DataFrame, box: Box = IMAGE_BOX, width: int = IMAGE_SIZE, height: int = IMAGE_SIZE) -> DataFrame:
@@ -49,6 +38,50 @@ def raster(df: DataFrame, centers=None, box: Box = IMAGE_BOX, width: int = IMAGE
     return px.groupBy("x", "y", "cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+def raster_many(df: DataFrame, runs, box: Box = IMAGE_BOX, width: int = IMAGE_SIZE, height: int = IMAGE_SIZE) -> DataFrame:
+    """The pictures of many clusterings in one pass: ``(run, x, y, cluster, n)``.
+
+    ``runs`` is a list of ``(run, centres, metric)``. All centre sets travel as one literal
+    array; a row's pixel is computed once, the row is expanded to its nearest centre of
+    every run inside the scan stage, and one partial + final aggregate keyed by run and
+    pixel is shuffled. Ties go to the lower centre, as in ``raster``.
+    """
+    sets = [(run, as_center_list(centers), metric) for run, centers, metric in runs]
+    if not sets:
+        raise ValueError("no runs")
+    most = max(len(cl) for _, cl, _ in sets)
+
+    def literal(run, cl, metric):
+        fields = [f"'run', {int(run)}", f"'planar', {'true' if metric == 'planar' else 'false'}"]
+        for i in range(most):
+            cid, lon, lat = cl[i] if i < len(cl) else (None, None, None)
+            place = ("NULL", "NULL") if lon is None else (f"{lon!r}D", f"{lat!r}D")
+            fields += [f"'c{i}', CAST({'NULL' if cid is None else cid} AS INT)"]
+            fields += [f"'{n}{i}', CAST({v} AS DOUBLE)" for n, v in zip(("lon", "lat"), place)]
+        return f"named_struct({', '.join(fields)})"
+
+    unknown = {metric for _, _, metric in sets} - METRICS.keys()
+    if unknown:
+        raise ValueError(f"metric must be one of {sorted(METRICS)}")
+    px = with_pixels(df.select("lon", "lat"), box, width, height).where(inside(width, height))
+    rows = px.select("lon", "lat", "x", "y", F.explode(F.expr(f"array({', '.join(literal(*s) for s in sets)})")).alias("s"))
+    metrics = {metric for _, _, metric in sets}
+    far = []
+    for i in range(most):
+        d = {m: METRICS[m]("lon", "lat", F.col(f"s.lon{i}"), F.col(f"s.lat{i}")) for m in metrics}
+        both = len(d) == 2
+        far.append(F.when(F.col("s.planar"), d["planar"]).otherwise(d["haversine"]) if both else d[next(iter(d))])
+    rows = rows.select("x", "y", "s", *[d.alias(f"d{i}") for i, d in enumerate(far)])
+    least = F.col("d0") if most == 1 else F.least(*[F.col(f"d{i}") for i in range(most)])
+    rows = rows.withColumn("least", least)
+    cluster = F.coalesce(*[F.when(F.col(f"d{i}") == F.col("least"), F.col(f"s.c{i}")) for i in range(most)])
+    return (
+        rows.select(F.col("s.run").alias("run"), "x", "y", cluster.alias("cluster"))
+        .groupBy("run", "x", "y", "cluster")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def raster_dropped(df: DataFrame, box: Box = IMAGE_BOX, width: int = IMAGE_SIZE, height: int = IMAGE_SIZE) -> DataFrame:
     """Points outside the picture by reason, with their share of all points."""
     px = with_pixels(df, box, width, height)
@@ -71,15 +104,14 @@ def cluster_colors(df_with_cluster: DataFrame, k: int) -> DataFrame:
     return df_with_cluster.withColumn("r", r).withColumn("g", g).withColumn("b", b)
 
 
-def pixel_colors(ras: DataFrame, k: int, alpha: float = ALPHA_CLUSTERING) -> DataFrame:
-    """A14 colours: each pixel's ``r, g, b`` after drawing its points over black.
+def blended(colored: DataFrame, keys: list[str], alpha: float = ALPHA_CLUSTERING) -> DataFrame:
+    """``colored`` (keys, cluster, n, r, g, b) blended over black, one row per ``keys``.
 
     Points of one cluster blend exactly like the reference (truncating each step).
     Where clusters share a pixel, they are drawn in cluster order (the reference's
     order there depends on row order, so it has no fixed answer).
     """
-    col = cluster_colors(ras, k)
-    per = col.groupBy("x", "y").agg(F.array_sort(F.collect_list(F.struct("cluster", "n", "r", "g", "b"))).alias("runs"))
+    per = colored.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cluster", "n", "r", "g", "b"))).alias("runs"))
 
     def chan(name: str) -> Column:
         keep = F.lit(1.0 - alpha)
@@ -94,7 +126,12 @@ def pixel_colors(ras: DataFrame, k: int, alpha: float = ALPHA_CLUSTERING) -> Dat
 
         return F.aggregate(F.col("runs"), F.lit(0).cast("int"), run)
 
-    return per.select("x", "y", chan("r").alias("r"), chan("g").alias("g"), chan("b").alias("b"))
+    return per.select(*keys, *[chan(c).alias(c) for c in ("r", "g", "b")])
+
+
+def pixel_colors(ras: DataFrame, k: int, alpha: float = ALPHA_CLUSTERING) -> DataFrame:
+    """A14 colours of one picture: each pixel's ``r, g, b`` after drawing its points."""
+    return blended(cluster_colors(ras, k), ["x", "y"], alpha)
 
 
 def _centers_frame(centers, spark) -> DataFrame:

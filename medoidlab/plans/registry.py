@@ -91,7 +91,7 @@ def q_assign_nearest(spark, sf_dir):
 # ---------------------------------------------------------------- S1-S3, P1-P6
 from medoidlab.operators.assign import distances_to_centers, objective, objective_many, best_set  # noqa: E402
 from medoidlab.operators.clean import filter_call_type, has_track, pickup_point  # noqa: E402
-from medoidlab.sources.trips import read_positions, write_positions  # noqa: E402
+from medoidlab.sources.trips import read_positions, write_positions, write_results  # noqa: E402
 from medoidlab.session import scratch_path  # noqa: E402
 
 
@@ -157,7 +157,7 @@ def q_objective(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- sampling
-from medoidlab.functions.geo import salt  # noqa: E402
+from medoidlab.functions.geo import same_place, salt  # noqa: E402
 from medoidlab.operators import sampling as S  # noqa: E402
 from medoidlab.operators import kmedoids as KM  # noqa: E402
 
@@ -642,9 +642,9 @@ def q_center_pixels(spark, sf_dir):
 
 # ---------------------------------------------------------------- C4-C26: seeded searches
 from medoidlab.plans import search_sql as SQ  # noqa: E402
-from medoidlab.operators.kmeans import kmeans  # noqa: E402
-from medoidlab.plans.sweep import sweep  # noqa: E402
-from medoidlab.schema import ALG_CLARA  # noqa: E402
+from medoidlab.operators import kmeans as KMM  # noqa: E402
+from medoidlab.plans.sweep import drawn, results_wide, sweep  # noqa: E402
+from medoidlab.schema import ALG_CLARA, ALGORITHM_NAMES, KMEANS_ITERATIONS  # noqa: E402
 
 
 def _scored(p: DataFrame, centers: DataFrame) -> DataFrame:
@@ -702,10 +702,26 @@ def q_clarans(spark, sf_dir):
     return _scored(p, KM.clarans(p, K_DEMO, nlocal=3, seed=SEED))
 
 
-@register("kmeans", None, "C23 + C25: k-means|| (60 iterations) centres scored with haversine phi")
+_KMEANS_CTES = SQ.kmeans_ctes(K_DEMO, SEED, KMM.INIT_STEPS, KMM.OVERSAMPLE, KMM.TOLERANCE, KMEANS_ITERATIONS)
+
+
+@register("kmeans", SQ.kmeans_sql(_KMEANS_CTES), "C23 + C25: k-means|| (60 iterations) centres scored with haversine phi")
 def q_kmeans(spark, sf_dir):
     p = stored_positions(spark, sf_dir)
-    return _scored(p, kmeans(p, K_DEMO, seed=SEED))
+    scored = _scored(p, KMM.kmeans(p, K_DEMO, seed=SEED))
+    return scored.withColumns({c: F.round(c, 9) for c in ("lon", "lat")})
+
+
+@register(
+    "position_vectors",
+    Q.with_positions("SELECT id, lon, lat FROM positions"),
+    "P8: every position as a vector and back",
+)
+def q_position_vectors(spark, sf_dir):
+    from pyspark.ml.functions import vector_to_array
+
+    v = KMM.features(positions(spark, sf_dir)).select("id", vector_to_array("features").alias("v"))
+    return v.select("id", F.col("v")[0].alias("lon"), F.col("v")[1].alias("lat"))
 
 
 @register("sweep", SQ.sweep_sql([4, 5, 6], L_DEMO, SEED), "C26: the shipped sweep, CLARA for k = 4..6 with 4 buckets")
@@ -743,26 +759,96 @@ def q_medoids_are_points(spark, sf_dir):
     return out
 
 
-@register("kmeans_radius_stats", None, "E3 on a k-means model: planar assignment, radii in metres")
+@register(
+    "kmeans_radius_stats", SQ.kmeans_radius_sql(_KMEANS_CTES), "E3 on a k-means model: planar assignment, radii in metres"
+)
 def q_kmeans_radius_stats(spark, sf_dir):
-    from medoidlab.operators.kmeans import kmeans_centers, kmeans_model
-
     p = stored_positions(spark, sf_dir)
-    model = kmeans_model(p, K_DEMO, seed=SEED)
-    r = EV.radius_stats(p, kmeans_centers(model), metric="planar")
+    r = EV.radius_stats(p, KMM.kmeans_centers(p, K_DEMO, seed=SEED), metric="planar")
     return r.select(F.round("mean_radius", 3).alias("mean_radius"), F.round("std_radius", 3).alias("std_radius"),
                     F.col("clusters").cast("bigint").alias("clusters"))
 
 
-@register("raster_kmeans", None, "R4 with a k-means model: pixels coloured by the model's planar prediction")
+@register(
+    "raster_kmeans",
+    SQ.kmeans_raster_sql(_KMEANS_CTES, K_DEMO, _INSIDE, _color_sql),
+    "R4 + C24 with a k-means model: pixels coloured by the model's planar prediction",
+)
 def q_raster_kmeans(spark, sf_dir):
-    from medoidlab.operators.kmeans import kmeans_centers, kmeans_model
-
     p = stored_positions(spark, sf_dir)
-    cs = kmeans_centers(kmeans_model(p, K_DEMO, seed=SEED))
+    cs = KMM.kmeans_centers(p, K_DEMO, seed=SEED)
     return RA.cluster_colors(RA.raster(p, cs, assign="planar"), K_DEMO)
 
 
+# ---------------------------------------------------------------- C26 drawings, R1, S5, S6
+_SWEEP_KS = [4, 5, 6]
+
+
+def _sweep(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return p, sweep(p, 4, 6, 1, ALG_CLARA, seed=SEED)
+
+
+@register(
+    "sweep_rasters",
+    SQ.sweep_pixels_sql(_SWEEP_KS, L_DEMO, SEED, _INSIDE, _color_sql),
+    "C26 + R4: the drawings of every run of the shipped sweep, one pass",
+)
+def q_sweep_rasters(spark, sf_dir):
+    return drawn(*_sweep(spark, sf_dir)).pixels
+
+
+@register(
+    "sweep_centers",
+    SQ.sweep_centers_sql(_SWEEP_KS, L_DEMO, SEED, _INSIDE),
+    "C26 + R5: the centre squares of every run of the shipped sweep",
+)
+def q_sweep_centers(spark, sf_dir):
+    return drawn(*_sweep(spark, sf_dir)).centers
+
+
+_WIDE_SQL = SQ.wide_sql(_SWEEP_KS, L_DEMO, SEED, {str(b): n for b, n in ALGORITHM_NAMES.items()}, 6)
+
+
+def _plain(wide: DataFrame) -> DataFrame:
+    """Wide results without the time, numbers in fixed notation."""
+    places = [c for c in wide.columns if c.startswith(("lat_", "lon_"))]
+
+    def fixed(c: str, digits: int):
+        number = F.col(c).try_cast("double")
+        return F.coalesce(F.format_string(f"%.{digits}f", F.when(number.isNotNull(), number)), F.lit("NULL"))
+
+    return wide.select(
+        "k",
+        "algorithm",
+        F.when(F.col("phi") == "NULL", "NULL").otherwise(fixed("phi", 1)).alias("phi"),
+        *[F.when(F.col(c) == "NULL", "NULL").otherwise(fixed(c, 6)).alias(c) for c in places],
+    )
+
+
+@register("results_wide", _WIDE_SQL, "R1: the results of the shipped sweep in the wide form, padded")
+def q_results_wide(spark, sf_dir):
+    return _plain(results_wide(_sweep(spark, sf_dir)[1]))
+
+
+@register("results_append", _WIDE_SQL, "S5: result rows appended to one CSV folder run by run, read back")
+def q_results_append(spark, sf_dir):
+    path = scratch_path(spark, "results-append")
+    _, results = _sweep(spark, sf_dir)
+    for k in _SWEEP_KS:
+        write_results(results.where(F.col("k") == k), path, max_k=max(_SWEEP_KS))
+    return _plain(spark.read.option("header", True).csv(path))
+
+
+@register("results_overwrite", _WIDE_SQL, "S6: a CSV of other rows overwritten by the results, read back")
+def q_results_overwrite(spark, sf_dir):
+    path = scratch_path(spark, "results-overwrite")
+    _, results = _sweep(spark, sf_dir)
+    write_results(results.where("k = 4"), path)
+    write_results(results, path, mode="overwrite")
+    return _plain(spark.read.option("header", True).csv(path))
+
+
 from medoidlab.schema import ALPHA_CLUSTERING  # noqa: E402
 
 
@@ -899,6 +985,25 @@ def q_silhouette_blobs(spark, sf_dir):
     return s.select(F.round("silhouette", 6).alias("silhouette"))
 
 
+_SAME = "p.lon = q.lon AND p.lat = q.lat"
+
+
+@register(
+    "same_places",
+    Q.with_positions(
+        f"SELECT p.id, count(*) FILTER (WHERE p.rid <> q.rid) AS others FROM blobs p JOIN blobs q ON {_SAME} GROUP BY p.rid, p.id",
+        _BLOBS_CTE,
+    ),
+    "P7: how many other rows share a row's place, by the same-place predicate",
+)
+def q_same_places(spark, sf_dir):
+    rows = blobs(spark, sf_dir)
+    counts = rows.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("n"))
+    p, q = rows.alias("p"), counts.alias("q")
+    joined = p.join(q, same_place("p.lon", "p.lat", "q.lon", "q.lat"))
+    return joined.select("p.id", (F.col("q.n") - 1).alias("others"))
+
+
 @register(
     "distinct_places_blobs",
     Q.with_positions("SELECT lon, lat, w FROM pl", _BLOBS_CTE, _PLACES_CTE),

@@ -3,20 +3,24 @@
 The sweep is a driver loop of Spark jobs (one clustering per k and algorithm); the
 input is persisted and counted once. Each run returns k centres, its wall time and
 its haversine phi over the whole input; skipped algorithms still get a row (with
-nulls), as in the reference's results file.
+nulls), as in the reference's results file. The drawings of all runs come from one pass
+over the input.
 """
 
 from __future__ import annotations
 
 import time
+from typing import NamedTuple
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from medoidlab.functions.geo import cluster_color
 from medoidlab.operators.assign import as_center_list, objective_value
 from medoidlab.operators.kmeans import kmeans
 from medoidlab.operators.kmedoids import clara, clarafast, clarans, pam
+from medoidlab.operators.raster import blended, raster_centers, raster_many
 from medoidlab.schema import (
     ALG_CLARA,
     ALG_CLARAFAST,
@@ -51,9 +55,70 @@ def run_algorithm(df: DataFrame, k: int, alg: int, seed: int, n: int, buckets: i
     return as_center_list(c.select("center_id", "lon", "lat"))
 
 
+class Sweep(NamedTuple):
+    """Results of a sweep and its drawings; all but ``results`` are keyed by (k, algorithm)."""
+
+    results: DataFrame
+    pixels: DataFrame
+    colors: DataFrame
+    centers: DataFrame
+
+
+def _ran(results: DataFrame) -> list:
+    """The runs that have centres: few rows, k centres each."""
+    rows = results.where(F.col("centers").isNotNull()).select("k", "algorithm", "centers").collect()
+    return sorted(rows, key=lambda r: (r["k"], r["algorithm"]))
+
+
+def _by_run(value: dict) -> Column:
+    """``value`` of the row's run, a number, text or column."""
+    out = None
+    for run, v in value.items():
+        v = v if isinstance(v, Column) else F.lit(v)
+        out = F.when(F.col("run") == run, v) if out is None else out.when(F.col("run") == run, v)
+    return out
+
+
+def sweep_pixels(df: DataFrame, results: DataFrame, **picture) -> DataFrame:
+    """R4 of every run, in one pass over ``df``: ``(k, algorithm, x, y, cluster, n, r, g, b)``.
+    k-means runs are drawn by their own (planar) prediction."""
+    runs = _ran(results)
+    kmeans_name = ALGORITHM_NAMES[ALG_KMEANS]
+    sets = [
+        (i, [(c["lon"], c["lat"]) for c in r["centers"]], "planar" if r["algorithm"] == kmeans_name else "haversine")
+        for i, r in enumerate(runs)
+    ]
+    px = raster_many(df, sets, **picture)
+    colors = {i: cluster_color(F.col("cluster"), len(r["centers"])) for i, r in enumerate(runs)}
+    return px.select(
+        _by_run({i: r["k"] for i, r in enumerate(runs)}).cast("int").alias("k"),
+        _by_run({i: r["algorithm"] for i, r in enumerate(runs)}).alias("algorithm"),
+        "x",
+        "y",
+        "cluster",
+        "n",
+        *[_by_run({i: c[j] for i, c in colors.items()}).alias(name) for j, name in enumerate(("r", "g", "b"))],
+    )
+
+
+def sweep_centers(results: DataFrame, **picture) -> DataFrame:
+    """R5 of every run: ``(k, algorithm, center_id, xc, yc, drawn, dropped, status)``."""
+    flat = results.select("k", "algorithm", F.posexplode("centers").alias("center_id", "c"))
+    keyed = flat.select(F.struct("k", "algorithm", "center_id").alias("center_id"), "c.lon", "c.lat")
+    squares = raster_centers(keyed, results.sparkSession, **picture)
+    return squares.select("center_id.*", *[c for c in squares.columns if c != "center_id"])
+
+
+def drawn(df: DataFrame, results: DataFrame) -> Sweep:
+    """The sweep's results with its drawings."""
+    pixels = sweep_pixels(df, results)
+    return Sweep(results, pixels, blended(pixels, ["k", "algorithm", "x", "y"]), sweep_centers(results))
+
+
 def sweep(df: DataFrame, min_k: int, max_k: int, k_step: int = 1, algorithms: int = ALG_CLARA, seed: int = 0,
-          buckets: int = DEMO_BUCKETS, nlocal: int = DEMO_NLOCAL) -> DataFrame:
-    """Results ``(k, algorithm, time_ms, phi, centers)`` for every k and algorithm."""
+          buckets: int = DEMO_BUCKETS, nlocal: int = DEMO_NLOCAL, drawings: bool = False) -> DataFrame | Sweep:
+    """Results ``(k, algorithm, time_ms, phi, centers)`` for every k and algorithm; with
+    ``drawings`` a :class:`Sweep` that also has the pixels, colours and centre squares."""
     if min_k < 2:
         raise ValueError("min_k must be at least 2")
     if k_step < 1 or max_k < min_k:
@@ -73,7 +138,8 @@ def sweep(df: DataFrame, min_k: int, max_k: int, k_step: int = 1, algorithms: in
                 ms = int((time.perf_counter() - t0) * 1000)
                 phi = objective_value(data, centers)
                 rows.append((k, name, ms, phi, [(lat, lon) for _, lon, lat in centers]))
-        return df.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
+        results = df.sparkSession.createDataFrame(rows, RESULT_SCHEMA)
+        return drawn(df.select("id", "lon", "lat"), results) if drawings else results
     finally:
         data.unpersist()
 
