@@ -1,79 +1,96 @@
 """Cover trees over integer vectors and dual-tree search for the largest inner products.
 
-A node is a ball: a centre and the covering radius of all points below it. Children are
-a net of the node's points: a few far-apart points, each with the points nearest to it. A
-node whose net does not thin it out is a leaf; leaves are large enough for one matrix
-product to be worth more than further pruning. For a query ball (centre q, radius r) and a data ball (c, s) no pair scores
-more than  q.c + |q| s + |c| r + r s, so a pair of nodes is pruned when that is below the
-worst k-th score of the queries in the ball.
+Every node is a point with a covering radius; all points below it lie within that radius.
+The children of a node of radius R are points of its own, the node's point first (nesting),
+more than R / BASE apart from each other (separation), such that every point below the node
+is within R / BASE of one of them (covering); each point belongs to its nearest child. So
+radii fall by BASE per level. A node with few points, or one that would need more than NET
+children (points too evenly apart to be thinned out), is a leaf; leaves are large enough for
+one matrix product to be worth more than further pruning. Besides its level's radius a node
+keeps the distance of its farthest point, which bounds: for a query ball (centre q, radius
+r) and a data ball (c, s) no pair scores more than  q.c + |q| s + |c| r + r s, so a pair of
+nodes is pruned when that is below the worst k-th score of the queries in the ball.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-LEAF, NET = 256, 8
+LEAF, NET, BASE = 256, 48, 1.3
 _SLACK = 1 + 1e-9
 
 
 class Node:
-    __slots__ = ("centre", "norm", "radius", "rows", "children")
+    __slots__ = ("centre", "norm", "radius", "cover", "rows", "children")
 
-    def __init__(self, points: np.ndarray, rows: np.ndarray):
+    def __init__(self, points: np.ndarray, rows: np.ndarray, at: int, cover: float | None = None):
         self.rows = rows
-        self.centre = points[rows].mean(axis=0)
+        self.centre = points[at]
         self.norm = float(np.sqrt(self.centre @ self.centre))
         gaps = points[rows] - self.centre
         self.radius = float(np.sqrt((gaps * gaps).sum(axis=1).max())) * _SLACK
+        self.cover = self.radius if cover is None else cover
         self.children: list[Node] = []
 
 
 def build(points: np.ndarray, leaf: int = LEAF) -> Node:
     """Tree over float copies of the points; iterative, so depth is no limit."""
-    root = Node(points, np.arange(len(points)))
+    middle = points.mean(axis=0)
+    root = Node(points, np.arange(len(points)), int(((points - middle) ** 2).sum(axis=1).argmin()))
     todo = [root]
     while todo:
         node = todo.pop()
         if len(node.rows) <= leaf or node.radius == 0:
             continue
+        # Levels at which the node's own point covers all it holds have one child: skip them.
+        cover = node.cover / BASE
+        while cover >= node.radius:
+            cover /= BASE
         own = points[node.rows]
         gap = ((own - node.centre) ** 2).sum(axis=1)
-        nearest, owner = np.full(len(own), np.inf), np.zeros(len(own), np.int64)
-        for n in range(NET):
-            pivot = own[int(gap.argmax())]
-            gap = ((own - pivot) ** 2).sum(axis=1)
-            owner[gap < nearest] = n
-            nearest = np.minimum(nearest, gap)
-            gap = nearest
-        groups = [g for g in (node.rows[owner == n] for n in range(NET)) if len(g)]
-        if len(groups) < 2 or max(map(len, groups)) > 0.9 * len(node.rows):
+        owner, centres = np.zeros(len(own), np.int64), [None]
+        while len(centres) <= NET and gap.max() > cover * cover:
+            far = int(gap.argmax())
+            new = ((own - own[far]) ** 2).sum(axis=1)
+            owner[new < gap] = len(centres)
+            gap = np.minimum(gap, new)
+            centres.append(int(node.rows[far]))
+        if len(centres) > NET:
             continue
-        node.children = [Node(points, g) for g in groups]
+        for n, at in enumerate(centres):
+            rows = node.rows[owner == n]
+            if len(rows):
+                child = Node(points, rows, int(rows[0]) if at is None else at, cover)
+                if at is None:
+                    child.centre, child.norm = node.centre, node.norm
+                    child.radius = float(np.sqrt(((points[rows] - node.centre) ** 2).sum(axis=1).max())) * _SLACK
+                node.children.append(child)
         todo += node.children
     return root
 
 
 class Search:
-    """Best ``k`` data rows of every query row; keeps (score, -place) per query."""
+    """Best ``k`` data rows of every query row but the one with its own uid; keeps
+    (-score, id, uid) per query."""
 
-    def __init__(self, queries, query_ids, data, data_ids, k: int, floor: np.ndarray):
-        self.q, self.qi, self.d, self.di, self.k = queries, query_ids, data, data_ids, k
+    def __init__(self, queries, query_uids, data, data_ids, data_uids, k: int, floor: np.ndarray):
+        self.qu, self.di, self.du, self.k = query_uids, data_ids, data_uids, k
         self.qf, self.df = queries.astype(np.float64), data.astype(np.float64)
-        self.best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
+        self.best: list[list[tuple[int, int, int]]] = [[] for _ in query_uids]
         self.worst = floor.astype(np.float64).copy()
 
     def base(self, rows: np.ndarray, node: Node) -> None:
         """All products of some queries with a node's points."""
         scores = self.qf[rows] @ self.df[node.rows].T
-        ids = self.di[node.rows]
-        good = (scores >= self.worst[rows][:, None]) & (ids != self.qi[rows][:, None])
+        ids, uids = self.di[node.rows], self.du[node.rows]
+        good = (scores >= self.worst[rows][:, None]) & (uids != self.qu[rows][:, None])
         for at in np.flatnonzero(good.any(axis=1)).tolist():
             i, some = int(rows[at]), np.flatnonzero(good[at])
             row = scores[at, some]
             if len(some) > self.k:
                 cut = np.partition(row, len(row) - self.k)[len(row) - self.k]
                 some, row = some[row >= cut], row[row >= cut]
-            held = sorted(self.best[i] + list(zip((-row).tolist(), ids[some].tolist())))[: self.k]
+            held = sorted(self.best[i] + list(zip((-row).tolist(), ids[some].tolist(), uids[some].tolist())))[: self.k]
             self.best[i] = held
             if len(held) == self.k:
                 self.worst[i] = max(self.worst[i], -held[-1][0])

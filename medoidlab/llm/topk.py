@@ -12,7 +12,8 @@ products of integers below 2**53, so the arithmetic is exact.
 
 Cases: vectors that are null or hold null or non-finite components take no part, nor do
 rows without id; vectors of different lengths are never compared; rows that share an id
-are one vector (the smallest in array order); equal scores go by smaller id; equal
+are rows of their own, each with its own best and a candidate of the others; equal scores
+go by smaller id, then in any fixed order; equal
 vectors (radius 0) are one leaf; fewer candidates than k give fewer rows; an empty table
 gives none; other columns are ignored.
 """
@@ -33,7 +34,7 @@ SCALE, TOP, EVERY = 1024, 10, 100
 PIVOTS = 16
 BLOCK_ROWS, GROUP_QUERIES = 4096, 512
 
-VISIT = "vec_id long, score long, query_id long"
+VISIT = "vec_id long, uid long, score long, query_id long, query_uid long"
 
 
 def integers(vector: Column) -> Column:
@@ -64,7 +65,7 @@ def _cells(pivots: dict[int, np.ndarray]):
 
 def _pick_pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
     """Pivots per vector length: of 64 n rows by hash, farthest first."""
-    rows = vectors.orderBy(F.xxhash64("vec_id")).limit(64 * n).select("v").collect()
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "uid").limit(64 * n).select("v").collect()
     lengths = [r.size for r in vectors.select(F.size("v").alias("size")).distinct().collect()]
     found = {}
     for size in lengths:
@@ -85,28 +86,30 @@ def _visit(top: int):
 
     def run(queries: pd.DataFrame, data: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(data):
-            return pd.DataFrame({"vec_id": [], "score": [], "query_id": []}).astype("int64")
+            return pd.DataFrame({c.split()[0]: [] for c in VISIT.split(", ")}).astype("int64")
         q, d = np.stack(queries["v"].to_list()), np.stack(data["v"].to_list())
-        ids = queries["vec_id"].to_numpy()
-        s = Search(q, ids, d, data["vec_id"].to_numpy(), top, queries["floor"].to_numpy())
+        ids, uids = queries["vec_id"].to_numpy(), queries["uid"].to_numpy()
+        s = Search(q, uids, d, data["vec_id"].to_numpy(), data["uid"].to_numpy(), top, queries["floor"].to_numpy())
         s.run(build(s.qf), build(s.df))
-        found = [(v, int(-score), int(i)) for i, best in zip(ids, s.best) for score, v in best]
-        return pd.DataFrame(found, columns=["vec_id", "score", "query_id"]).astype("int64")
+        found = [
+            (v, u, int(-score), int(i), int(own)) for i, own, best in zip(ids, uids, s.best) for score, v, u in best
+        ]
+        return pd.DataFrame(found, columns=[c.split()[0] for c in VISIT.split(", ")]).astype("int64")
 
     return run
 
 
 def visits(queries: DataFrame, data: DataFrame, top: int) -> DataFrame:
-    """``queries`` (grp, block, vec_id, v, floor) against ``data`` (grp, block, vec_id, v)."""
+    """``queries`` (grp, block, vec_id, uid, v, floor) against ``data`` (grp, block, vec_id, uid, v)."""
     # Both sides stem from the same tables; new names keep their columns apart.
-    data = data.toDF("data_grp", "data_block", "vec_id", "v")
+    data = data.toDF("data_grp", "data_block", "vec_id", "uid", "v")
     pairs = queries.groupBy("grp", "block").cogroup(data.groupBy("data_grp", "data_block"))
     return pairs.applyInPandas(_visit(top), VISIT)
 
 
 def best(found: DataFrame, top: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = Window.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def top_products(vectors: DataFrame, is_query: Column, top: int = TOP, pivots: int = PIVOTS) -> DataFrame:
@@ -115,8 +118,7 @@ def top_products(vectors: DataFrame, is_query: Column, top: int = TOP, pivots: i
     rows = (
         vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
         .where(F.col("vec_id").isNotNull() & finite(F.col("embedding")))
-        .groupBy("vec_id")
-        .agg(F.min(integers(F.col("embedding"))).alias("v"))
+        .select("vec_id", integers(F.col("embedding")).alias("v"), F.monotonically_increasing_id().alias("uid"))
     )
     rows = stored(rows, "vectors")
     picked = _pick_pivots(rows, pivots)
@@ -143,35 +145,36 @@ def top_products(vectors: DataFrame, is_query: Column, top: int = TOP, pivots: i
     plan = spark.createDataFrame(plan, "dim int, cell int, base long, splits long, grp0 long, shares long")
     placed = rows.join(F.broadcast(plan), ["dim", "cell"]).select(
         "vec_id",
+        "uid",
         "v",
         "dim",
-        (F.col("base") + F.pmod(F.xxhash64("vec_id"), F.col("splits"))).alias("block"),
-        (F.col("grp0") + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("shares"))).alias("grp"),
+        (F.col("base") + F.pmod(F.xxhash64("uid"), F.col("splits"))).alias("block"),
+        (F.col("grp0") + F.pmod(F.xxhash64("uid", F.lit(1)), F.col("shares"))).alias("grp"),
     )
     placed = stored(placed, "placed")
     queries = placed.where(is_query)
     lowest = F.lit(float("-inf"))
     near = visits(
-        queries.select(F.col("block").alias("grp"), "block", "vec_id", "v", lowest.alias("floor")),
-        placed.select(F.col("block").alias("grp"), "block", "vec_id", "v"),
+        queries.select(F.col("block").alias("grp"), "block", "vec_id", "uid", "v", lowest.alias("floor")),
+        placed.select(F.col("block").alias("grp"), "block", "vec_id", "uid", "v"),
         top,
     )
     near = stored(near, "near")
-    floors = near.groupBy("query_id").agg(
+    floors = near.groupBy("query_uid").agg(
         F.count("*").alias("n"), F.min("score").alias("least")
-    ).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= top, F.col("least")).cast("double").alias("known"))
+    ).select(F.col("query_uid").alias("uid"), F.when(F.col("n") >= top, F.col("least")).cast("double").alias("known"))
     queries = stored(
-        queries.join(floors, "vec_id", "left").select(
-            "grp", "dim", F.col("block").alias("own"), "vec_id", "v", F.coalesce("known", lowest).alias("floor")
+        queries.join(floors, "uid", "left").select(
+            "grp", "dim", F.col("block").alias("own"), "vec_id", "uid", "v", F.coalesce("known", lowest).alias("floor")
         ),
         "queries",
     )
     balls = _balls(placed)
     wanted = _visits_wanted(queries, balls)
     asked = queries.join(wanted, ["grp", "dim"]).where("own <> block")
-    given = wanted.join(placed.select("dim", "block", "vec_id", "v"), ["dim", "block"])
+    given = wanted.join(placed.select("dim", "block", "vec_id", "uid", "v"), ["dim", "block"])
     far = visits(
-        asked.select("grp", "block", "vec_id", "v", "floor"), given.select("grp", "block", "vec_id", "v"), top
+        asked.select("grp", "block", "vec_id", "uid", "v", "floor"), given.select("grp", "block", "vec_id", "uid", "v"), top
     )
     found = best(near.unionByName(far), top)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -230,15 +233,15 @@ def op5_cover_tree_topk(spark, sf_dir):
 
 OP5_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x AS double)) AS bigint)) AS v
+  SELECT vec_id, row_number() OVER () AS uid, list_transform(embedding, lambda x: cast(floor(1024 * cast(x AS double)) AS bigint)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, d.vec_id,
+  SELECT q.vec_id AS query_id, q.uid AS query_uid, d.vec_id, d.uid,
          cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i])) AS bigint) AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.v) = len(d.v) WHERE q.vec_id % 100 = 0)
+  FROM v q JOIN v d ON q.uid <> d.uid AND len(q.v) = len(d.v) WHERE q.vec_id % 100 = 0)
 SELECT query_id, cast(rank AS integer) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+FROM (SELECT *, row_number() OVER (PARTITION BY query_uid ORDER BY score DESC, vec_id, uid) AS rank FROM s)
 WHERE rank <= 10
 """
