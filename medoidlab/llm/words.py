@@ -2,8 +2,9 @@
 
 Words are runs of bytes outside space and 0x09-0x0D, with A-Z lowered. All texts of a
 slice are hashed at once from the column's byte buffer: a word's hash is the sum of
-random byte values times powers of an odd base (mod 2**64), then mixed. Memory is bounded
-by the slice.
+random byte values times the weights of their places (mod 2**64), then mixed. The first 64
+weights are powers of an odd base; the others are random, since long words that follow the
+Thue-Morse pattern collide under the powers of any odd base. Memory is bounded by the slice.
 """
 
 from __future__ import annotations
@@ -29,10 +30,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _BASE, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+def _weights(n: int) -> np.ndarray:
+    """An odd weight for each of ``n`` places."""
+    out = mix(np.arange(1, max(n, 1) + 1, dtype=np.uint64) * _BASE) | np.uint64(1)
+    powers = np.full(min(len(out), 64), _BASE, np.uint64)
+    powers[0] = 1
+    out[: len(powers)] = np.cumprod(powers, dtype=np.uint64)
+    return out
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +70,7 @@ def word_hashes(texts: pa.Array, prefixes: tuple[int, ...] = ()) -> tuple[np.nda
         raw, space, starts = raw[starts[0] :], space[starts[0] :], starts - starts[0]
         at = np.arange(len(raw)) - np.repeat(starts, np.diff(np.r_[starts, len(raw)]))
     longest = int(at.max()) + 1
-    value = _VALUE[raw] * _powers(longest)[at]
+    value = _VALUE[raw] * _weights(longest)[at]
     out = [mix(np.add.reduceat(value, starts))]
     for n in prefixes:
         out.append(mix(np.add.reduceat(np.where(at < n, value, np.uint64(0)), starts) + np.uint64(n)))
@@ -84,7 +88,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
     size = np.minimum(np.repeat(lengths, count), width)
     total = size.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)
     padded = np.r_[words, np.zeros(width, np.uint64)]
-    factor = _powers(width + 1)
+    factor = _weights(width + 1)
     for i in range(width):
         total += np.where(i < size, padded[first + i] * factor[i + 1], np.uint64(0))
     return mix(total), own
