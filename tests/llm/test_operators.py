@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from medoidlab.llm import decontamination, html_text, minhash, packing, preferences, sharding, token_counts, topk
+from medoidlab.llm import cover_tree, decontamination, html_text, minhash, packing, preferences, sharding, token_counts, topk
 from medoidlab.llm import toxicity, warc
 from medoidlab.llm.components import components
 from medoidlab.llm.curve import hilbert_index
@@ -95,6 +95,18 @@ def test_near_duplicates_match_brute_force(spark, width, percent):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in range(len(texts)) if find(i) == i)
 
 
+def test_long_words_after_a_pattern_differ(spark):
+    """Words after the Thue-Morse pattern and its complement, and texts without a common shingle."""
+    even = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    odd = even.translate(str.maketrans("ab", "ba"))
+    for size in (64, 1024, 4096):
+        words, _ = word_hashes(pa.array([even[:size], odd[:size]]))
+        assert words[0] != words[1]
+    texts = [f"{even[:1024]} x {odd[:1024]} y z", f"{odd[:1024]} x {even[:1024]} y z"]
+    rows = minhash.near_duplicates(documents(spark, texts), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == [(0, 3, 0), (1, 3, 1)]
+
+
 def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     rows = [(None, "x y z q"), (None, "x y z q"), (3, "x y z q"), (3, "x y z q"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -219,6 +231,42 @@ def test_simhash_index_covers_the_radius():
         assert any((flips >> (8 * b)) & 255 in masks for b in range(8))
 
 
+def test_top_products_keep_rows_that_share_an_id(spark):
+    rows = [(100, [1.0, 0.0]), (5, [0.5, 0.0]), (5, [0.9, 0.0]), (6, [0.7, 0.0]), (6, [0.7, 0.0]), (200, [0.1, 0.0])]
+    rows += [(200, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_products(df, F.col("vec_id") % 100 == 0, pivots=2).collect()
+    v = [np.floor(1024 * np.array(x)).astype(int) for _, x in rows]
+    want = []
+    for q in (0, 5, 6):
+        order = sorted((-int(v[q] @ v[i]), rows[i][0]) for i in range(7) if i != q)
+        want += [(rows[q][0], n, i, -s) for n, (s, i) in enumerate(order, 1)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_cover_tree_covers_separates_and_nests():
+    rng = np.random.default_rng(6)
+    points = np.concatenate([rng.normal(c, s, (700, 2)) for c, s in ((0, 1), (30, 3), (90, 0.1))])
+    root = cover_tree.build(points, leaf=20)
+    todo, seen, inner = [root], 0, 0
+    while todo:
+        node = todo.pop()
+        gaps = np.sqrt(((points[node.rows] - node.centre) ** 2).sum(axis=1))
+        assert gaps.max() <= node.radius <= node.cover * (1 + 1e-6)
+        if not node.children:
+            seen += len(node.rows)
+            continue
+        inner += 1
+        centres = np.array([c.centre for c in node.children])
+        cover = node.children[0].cover
+        assert cover <= node.cover / cover_tree.BASE * (1 + 1e-9) and (centres[0] == node.centre).all()
+        apart = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2)) + np.eye(len(centres)) * 1e9
+        assert apart.min() > cover
+        assert sorted(np.concatenate([c.rows for c in node.children])) == sorted(node.rows)
+        todo += node.children
+    assert seen == len(points) and inner > 10
+
+
 def test_encoder_gives_the_library_ids():
     from tokenizers import Tokenizer
 
@@ -226,6 +274,7 @@ def test_encoder_gives_the_library_ids():
     rng = random.Random(3)
     alphabet = "abcXYZ  \t\n'stvemld0129.,!?-<|>éÀßñ²½ªµ ́中😀ΣıİǅǄ "
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    texts += ["'start it's'll ..'s 's ''s a'\n's 1'm ½'re² x\x85y x\xa0y \x01 a'", "'re", "'", "ç'd'd"]
     texts += ["", "it's we'll <|endoftext|> x", "<|startoftext|>", "I'VE 123", "a" * 5000, "café café"]
     for text, packed in zip(texts, own.batch(texts)):
         assert np.frombuffer(packed, own.width).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
@@ -339,7 +388,12 @@ def test_top_products_match_brute_force(spark):
         want |= {(q, n, i, -s) for n, (s, i) in enumerate(order, 1)}
     s = 1024 * 1024 * (1 * 3 + 2 * 1)
     want |= {(400, 1, 500, s), (500, 1, 400, s)}
-    assert {tuple(r) for r in got} == want
+    # Row 7 is there twice: both are candidates, each a row of its own.
+    copied = set()
+    for q in range(0, 300, 50):
+        order = sorted((-int(v[q] @ v[i]), i) for i in [*range(300), 7] if i != q)[:10]
+        copied |= {(q, n, i, -s) for n, (s, i) in enumerate(order, 1)}
+    assert {tuple(r) for r in got} == copied | {r for r in want if r[0] >= 400}
     assert topk.top_products(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
