@@ -60,9 +60,9 @@ def curve_keys(docs: list[np.ndarray], directions: np.ndarray) -> np.ndarray:
     return hilbert_index(cells, BITS)
 
 
-def _tokenise(path: str, end_id: int):
+def _tokenise(path: str | None, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, directions = encoder(path), projection()
+        e, directions = encoder(path or vocabulary_path()), projection()
         end = e.pack([end_id])
         for batch in batches:
             texts = batch.column("text")
@@ -82,19 +82,17 @@ def _tokenise(path: str, end_id: int):
     return run
 
 
-def _cut(size: int, wide: int):
-    kind = f"<u{wide}"
-
+def _cut(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             cols = (batch.column(c).to_pylist() for c in ("doc_id", "n_ids", "begin", "ids"))
             for doc_id, n, begin, ids in zip(*cols):
-                at = 0
+                at, wide = 0, len(ids) // n
                 while at < n:
                     sequence, offset = divmod(begin + at, size)
                     length = min(size - offset, n - at)
-                    piece = np.frombuffer(ids[at * wide : (at + length) * wide], kind).astype("<u4").tobytes()
+                    piece = np.frombuffer(ids[at * wide : (at + length) * wide], f"<u{wide}").astype("<u4").tobytes()
                     out.append((doc_id, at, length, zlib.crc32(piece), n, sequence, offset, piece))
                     at += length
             for i in range(0, len(out), 2000):
@@ -107,8 +105,9 @@ def _cut(size: int, wide: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Pieces of ``docs`` (doc_id, text) with their ids as little-endian 32-bit integers.
+    ``path`` is the vocabulary file on the executors (by default each looks up its own).
 
     Texts are encoded once; the ids are written once and shuffled once (the join that
     brings each document its place). The sort along the curve and the running sums move
@@ -133,10 +132,9 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_ID)
         .join(before, "block")
         .select("uid", (F.col("block_begin") + F.col("inside")).alias("begin"))
     )
-    wide = 2 if encoder(path).width == "<u2" else 4
     placed = tokenised.select("uid", "doc_id", "n_ids", "ids").join(begins, "uid").drop("uid")
-    return placed.mapInArrow(_cut(size, wide), PIECES)
+    return placed.mapInArrow(_cut(size), PIECES)
 
 
 def op9_packing(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents"), vocabulary_path()).drop("ids")
+    return pack(table(spark, sf_dir, "documents")).drop("ids")
