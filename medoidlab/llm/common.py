@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,8 +31,8 @@ def ranked(df: DataFrame, keys: list, name: str, rank: str, partitions: int | No
 
     The rows are range-partitioned and sorted by the keys and written once; a row's
     position is its index inside its file plus the rows of the files before it, so
-    there is no global window and a key that many rows hold is spread by the keys
-    after it. Only one count per file reaches the driver. Rows that tie on every key
+    there is no window over rows (one over the files' counts only) and a key that many
+    rows hold is spread by the keys after it. Rows that tie on every key
     are ordered arbitrarily but once and for all (the written files decide).
     """
     spark = df.sparkSession
@@ -42,17 +42,15 @@ def ranked(df: DataFrame, keys: list, name: str, rank: str, partitions: int | No
     number = r"^part-(\d+)-.*-c(\d+)"
     file = F.col("_metadata.file_name")
     rows = spark.read.schema(df.schema).parquet(path).select(
-        *[F.col(f"`{c}`") for c in df.columns],
+        *columns(df),
         F.regexp_extract(file, number, 1).cast("long").alias("__part"),
         F.regexp_extract(file, number, 2).cast("long").alias("__chunk"),
         F.col("_metadata.row_index").alias("__at"),
     )
-    counts = sorted(tuple(r) for r in rows.groupBy("__part", "__chunk").count().collect())
-    before, at = [], 0
-    for part, chunk, n in counts:
-        before.append((part, chunk, at))
-        at += n
-    offsets = spark.createDataFrame(before, "__part long, __chunk long, __before long")
+    # One row a file.
+    counts = rows.groupBy("__part", "__chunk").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part", "__chunk")) - F.col("__n")
+    offsets = counts.select("__part", "__chunk", before.alias("__before"))
     return (
         rows.join(F.broadcast(offsets), ["__part", "__chunk"])
         .withColumn(rank, F.col("__before") + F.col("__at"))
@@ -60,7 +58,12 @@ def ranked(df: DataFrame, keys: list, name: str, rank: str, partitions: int | No
     )
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns that would clash with names an operator adds."""
     taken = {n.lower() for n in names}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+    return df.select(*[col for c, col in zip(df.columns, columns(df)) if c.lower() not in taken])

@@ -25,7 +25,6 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         )
         low = sides.groupBy("n").agg(F.min("m").alias("m1")).select("n", F.least("n", "m1").alias("low"))
         large = sides.where("m > n").join(low, "n").select(F.col("m").alias("u"), F.col("low").alias("v")).distinct()
-        large = stored(large, name)
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(low, "u")
         e = stored(

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medoidlab.llm.common import stored, table
+from medoidlab.llm.common import columns, stored, table
 from medoidlab.llm.components import components
 from medoidlab.llm.tokens import slices
 from medoidlab.llm.words import shingle_hashes, word_hashes
@@ -294,8 +294,8 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     digest = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
     rows = docs.withColumns({"__own": digest, "__doc": F.col("doc_id").cast("long")})
     joined = rows.join(stay, F.col("__own").eqNullSafe(F.col("__digest")) & F.col("__doc").eqNullSafe(F.col("__id")))
-    wordless = joined.where("__times > 1").select(*docs.columns)
-    single = joined.where("__times = 1").dropDuplicates(["__own", "__doc"]).select(*docs.columns)
+    wordless = joined.where("__times > 1").select(*columns(docs))
+    single = joined.where("__times = 1").dropDuplicates(["__own", "__doc"]).select(*columns(docs))
     return single.unionByName(wordless)
 
 

@@ -157,22 +157,34 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
                 ["doc_id", "toxic", "terms"],
             )
 
-    found = rows.mapInArrow(extract, "doc_id long, toxic int, terms binary")
-    got = sorted((r.doc_id, r.toxic, bytes(r.terms)) for r in found.groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms")).collect())
-    return fit([np.frombuffer(t, np.int32) for _, _, t in got], np.array([float(y) for _, y, _ in got]))
-
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        m = fit([np.frombuffer(t, np.int32) for _, _, t in got], np.array([float(y) for _, y, _ in got]))
+        w, v = (x.astype(np.float32).tobytes() for x in (m.w, m.v))
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), pa.array([w]), pa.array([v])], ["bias", "w", "v"])
 
-def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on)."""
-    base = without(docs, "score", "predicted")
-    w, v, bias = machine.w.astype(np.float32), machine.v.astype(np.float32), machine.bias
-    model = base.sparkSession.sparkContext.broadcast((bias, w, v))
+    found = rows.mapInArrow(extract, "doc_id long, toxic int, terms binary")
+    once = found.groupBy("doc_id", "toxic").agg(F.min("terms").alias("terms"))
+    # At most max_rows rows: one task fits the model, and only the model reaches the driver.
+    model = once.coalesce(1).mapInArrow(learn, "bias double, w binary, v binary").first()
+    if model is None:
+        return fit([], np.zeros(0))
+    w, v = (np.frombuffer(bytes(x), np.float32) for x in (model.w, model.v))
+    return Machine(model.bias, w, v.reshape(-1, FACTORS))
+
+
+def score(docs: DataFrame, machine: Machine, name: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``docs`` with the columns ``name`` (0 to 1) and ``predicted`` (1 from 0.5 on), which
+    take the place of columns of those names."""
+    base = without(docs, name, predicted)
+    # The closure carries the model: it lives as long as the plan that uses it.
+    bias, w, v = machine.bias, machine.w.astype(np.float32), machine.v.astype(np.float32)
 
     @F.pandas_udf("double")
     def scored(texts):
         import pandas as pd
 
-        m = Machine(*model.value)
+        m = Machine(bias, w, v)
         column = pa.array(texts, pa.string(), from_pandas=True)
         out = [np.zeros(0)]
         for part in pieces(column):
@@ -180,8 +192,8 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
         return pd.Series(np.concatenate(out))
 
     # Not deterministic to Catalyst: a filter on the score must not run the model twice.
-    rows = base.withColumn("score", scored.asNondeterministic()(F.coalesce(F.col("text"), F.lit(""))))
-    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = base.withColumn(name, scored.asNondeterministic()(F.coalesce(F.col("text"), F.lit(""))))
+    return rows.withColumn(predicted, (F.col(name) >= 0.5).cast("int"))
 
 
 def op1_fm_toxicity(spark, sf_dir):
