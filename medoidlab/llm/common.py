@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,13 @@ def ranked(df: DataFrame, keys: list, name: str, rank: str, partitions: int | No
     )
 
 
+def settle(spark: SparkSession) -> None:
+    """Let the driver drop the plans, generated classes and broadcasts of work that is over,
+    which a long chain of stages otherwise keeps until its memory is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def columns(df: DataFrame) -> list[Column]:
     """All columns of ``df``, whatever signs their names hold."""
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
