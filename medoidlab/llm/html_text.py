@@ -6,7 +6,9 @@ element that it cannot hold, a paragraph at the next block, an item at the next
 text elements run to their own end tag. The renderer emits all visible text: blocks start
 new lines, paragraphs and headings keep a blank line, ``br`` breaks, ``pre`` keeps its
 white space, list items carry their bullet or number and indent, and the cells of a table
-are aligned in columns.
+are aligned in columns (a cell that spans columns leaves the next ones empty, one that spans
+rows stands in its first) up to ``TABLE_WIDTH`` signs; rows wider than that have their cells
+one after another. Lists count from ``start`` and by ``value``; buttons show their caption.
 
 A select shows its selected or else its first option (as a list, all), svg and math their text.
 
@@ -15,6 +17,10 @@ inputs, what media elements hold for browsers without them (object, audio, video
 iframe), titles, descriptions and definitions of svg, annotations of math, and elements with ``hidden``, ``aria-hidden=true``, ``display:none`` or
 ``visibility:hidden``.
 
+Not read are style sheets (a class that a page's own ``<style>`` hides is shown), the state of
+``details`` (its body is shown) and ``visibility:visible`` inside hidden elements. Widths are
+counted in code points.
+
 Cases: null or empty html gives empty text; text without tags is one block; unclosed and
 misnested tags close where the tree rules say, stray end tags are dropped, stray quotes in a
 tag are ordinary signs and a tag that the page's end cuts off is text; an unclosed
@@ -76,10 +82,12 @@ SCOPE = frozenset("html body table td th caption li dd dt button object template
 _VALUE = r"""\s*+=\s*+("[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)"""
 _NAME = r"[^\s/>][^\s/>=]*+"
 _TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_VALUE})?+)*+)(>?)|<[!?/][^>]*>?", re.S
+    rf"<!--(?:-?>|.*?--!?>|.*\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:{_VALUE})?+)*+)(>?)|<[!?/][^>]*>?", re.S
 )
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:{_VALUE})?+")
 _WHITE = re.compile(r"[ \t\r\n\f]+")
+# Signs up to which table columns are padded, and the most columns a cell takes.
+TABLE_WIDTH, WIDEST_SPAN = 400, 50
 _NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
 
@@ -132,34 +140,47 @@ class Lines:
             self.mark = " " * len(self.mark)
 
 
+def number(text: str | None, default: int) -> int:
+    """An attribute's integer (of at most nine digits), or the default."""
+    found = re.fullmatch(r"\s*([+-]?\d{1,9})(?!\d).*", text or "", re.S)
+    return int(found[1]) if found else default
+
+
 class Open:
     """An open element."""
 
-    __slots__ = ("name", "unseen", "out", "rows", "count", "ordered", "pre", "foreign", "label", "all", "shown", "flat")
+    __slots__ = ("name", "unseen", "out", "rows", "count", "ordered", "pre", "foreign", "label", "all", "shown", "flat", "span")
 
     def __init__(self, name: str, unseen: bool, out: Lines, pre: bool):
         self.name, self.unseen, self.out, self.pre = name, unseen, out, pre
         self.rows: list[list[list[str]]] | None = None
-        self.count, self.ordered, self.foreign, self.flat = 0, False, False, False
+        self.count, self.ordered, self.foreign, self.flat, self.span = 0, False, False, False, 1
         self.label, self.all = "", False  # of an option: its label, and whether it is selected; of a select: whether it lists all
         self.shown: list[str] = []  # what a select shows
 
 
 def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Cells as columns, padded to each column's widest line, parted by two spaces."""
+    """Cells as columns, padded to each column's widest line, parted by two spaces. Cells
+    wider than ``TABLE_WIDTH`` widen no column, and a row whose columns would start beyond
+    it has its cells one after another, so the text stays linear in the page."""
     rows = [r for r in rows if any(r)]
     widths: list[int] = []
     for row in rows:
         for i, cell in enumerate(row):
-            width = max(map(len, cell), default=0)
+            width = max((n for n in map(len, cell) if n <= TABLE_WIDTH), default=0)
             if i == len(widths):
                 widths.append(width)
             else:
                 widths[i] = max(widths[i], width)
     out = []
     for row in rows:
-        for at in range(max(map(len, row), default=0)):
-            cells = [(c[at] if at < len(c) else "").ljust(w) for c, w in zip(row, widths)]
+        filled = max(i for i, cell in enumerate(row) if cell) + 1
+        fits = sum(widths[: filled - 1]) + 2 * filled <= TABLE_WIDTH
+        if not fits or any(len(line) > TABLE_WIDTH for cell in row[: filled - 1] for line in cell):
+            out += [line for cell in row for line in cell]
+            continue
+        for at in range(max(map(len, row))):
+            cells = [(c[at] if at < len(c) else "").ljust(w) for c, w in zip(row[:filled], widths)]
             out.append("  ".join(cells).rstrip())
     return out
 
@@ -211,6 +232,7 @@ class Renderer:
                     if not table.rows:
                         table.rows.append([])
                     table.rows[-1].append(e.out.done)
+                    table.rows[-1] += [[] for _ in range(e.span - 1)]
                 else:
                     self.stack[-1].out.add(e.out.done)
             elif e.name == "table":
@@ -297,6 +319,10 @@ class Renderer:
         if name in VOID:
             if name == "img" and not top.unseen:
                 top.out.words(unescape(self.values(attributes).get("alt", "")))
+            if name == "input" and not top.unseen and attributes and not self.hidden(name, attributes):
+                found = self.values(attributes)
+                if found.get("type", "").strip().lower() in ("submit", "button", "reset"):
+                    top.out.words(f" {unescape(found.get('value', ''))} ")
             return
         hidden = top.unseen or name in UNSEEN or (bool(attributes) and self.hidden(name, attributes))
         hidden = hidden or (top.foreign and name in FOREIGN_UNSEEN)
@@ -315,6 +341,8 @@ class Renderer:
                 e.flat = True
             elif name in ("td", "th"):
                 e.out = Lines()
+                if attributes:
+                    e.span = min(max(number(self.values(attributes).get("colspan"), 1), 1), WIDEST_SPAN)
             elif name == "table":
                 e.out, e.rows = Lines(), []
             elif name == "tr":
@@ -326,6 +354,8 @@ class Renderer:
                 e.out = Lines()
                 owner = stack[self.last(LISTS)]
                 owner.count += 1
+                if owner.ordered and attributes:
+                    owner.count = number(self.values(attributes).get("value"), owner.count)
                 e.out.mark = f"{owner.count}. " if owner.ordered else "- "
             elif name == "blockquote":
                 top.out.space()
@@ -335,6 +365,8 @@ class Renderer:
                 nested = name in LISTS and bool(self.at.get("li"))
                 top.out.end() if nested else top.out.space()
                 e.ordered = name == "ol"
+                if e.ordered and attributes:
+                    e.count = number(self.values(attributes).get("start"), 1) - 1
             elif name in BLOCK:
                 top.out.end()
             elif name == "q":

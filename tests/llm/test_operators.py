@@ -444,6 +444,23 @@ def test_rendering():
     assert r("<td " * 20000).startswith("<td")
 
 
+def test_rendering_of_comments_lists_spans_and_captions():
+    text = html_text.render
+    assert text("a<!-->b<!-- x -->c<!--->d<!-- y --!>e<!-- z") == "abcde"
+    assert text("<ol start=5><li>a<li value=9>b<li>c</ol>") == "5. a\n9. b\n10. c"
+    assert text("<input type=submit value='Send &amp; go'>x<input type=hidden value=no><input value=typed>") == "Send & go x"
+    assert text("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>") == "ab     c\n1   2  3"
+
+
+def test_tables_stay_linear_in_the_page():
+    for wide, tall in ((30_000, 10_000), (390, 5000)):
+        page = f"<table><tr><td>{'x' * wide}<td>{'y<br>' * tall}<tr><td>a<td>b</table>"
+        out = html_text.render(page)
+        assert out.count("y") == tall and "x" * wide in out and len(out) <= 402 * (tall + 3) + wide
+    many = "<table><tr>" + "<td>cell" * 3000 + "<td>" + "z<br>" * 3000 + "</table>"
+    assert len(html_text.render(many)) < 2 * len(many)
+
+
 def test_rendering_ends_an_open_head():
     r = html_text.render
     assert r("<html><head><title>t</title><p>Hello <b>you</b>") == "Hello you"
