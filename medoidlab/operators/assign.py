@@ -26,6 +26,8 @@ MAX_LITERAL_CENTERS = 1 << 16
 # Up to this many centres the distances are unrolled into columns; above, one literal
 # array is folded, which grows the work with k but not the plan.
 UNROLLED_CENTERS = 8
+# Tables of more centres than this are indexed (``center_index``).
+INDEXED_CENTERS = 512
 # Centre sets scored per pass over the data in ``objective_many``.
 SETS_PER_PASS = 8192
 
@@ -129,8 +131,24 @@ def with_nearest(df: DataFrame, centers, lon: str = "lon", lat: str = "lat",
     return out.withColumn(cluster, pick.cast("int")).drop(*names)
 
 
+def _many(centers) -> bool:
+    """Whether a centres table is better met through an index than as literals: the answer
+    is the same, but the literals' work per row grows with their number."""
+    return (
+        isinstance(centers, DataFrame)
+        and "center_id" in centers.columns
+        and centers.limit(INDEXED_CENTERS + 1).count() > INDEXED_CENTERS
+    )
+
+
 def assign_nearest(df: DataFrame, centers, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Every row plus ``cluster`` (nearest centre id) and ``dist`` (metres)."""
+    """Every row plus ``cluster`` (nearest centre id) and ``dist`` (metres). Centres are a
+    list or a table ``(center_id, lon, lat)`` of any size."""
+    if _many(centers):
+        from medoidlab.operators.center_index import assign_indexed
+
+        out = assign_indexed(df.withColumns({"lon": F.col(lon), "lat": F.col(lat)}), centers)
+        return out.select(*df.columns, "cluster", "dist")
     return with_nearest(df, centers, lon, lat)
 
 
@@ -152,6 +170,8 @@ def distances_to_centers(df: DataFrame, centers, lon: str = "lon", lat: str = "l
 
 def objective(df: DataFrame, centers) -> DataFrame:
     """A1: one-row DataFrame ``phi`` = sum of distances to the nearest centre."""
+    if _many(centers):
+        return assign_nearest(df.select("lon", "lat"), centers).agg(F.sum("dist").alias("phi"))
     return df.agg(F.sum(nearest_dist(centers)).alias("phi"))
 
 

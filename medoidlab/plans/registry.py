@@ -877,6 +877,45 @@ def q_clarans_reduced(spark, sf_dir):
     return _scored(p, KM.clarans(p, K_DEMO, buckets=L_DEMO, nlocal=3, seed=SEED))
 
 
+# ---------------------------------------------------------------- J1, A1 with many centres
+_HALF = f"{Q.hash_unit('id', salt(SEED, 'half'))} < 0.5"
+_HALF_CTE = f"many AS (SELECT CAST(id AS INTEGER) AS center_id, lon, lat FROM positions WHERE {_HALF})"
+_HAV_PC = Q.haversine("p.lon", "p.lat", "c.lon", "c.lat")
+
+
+def _many_centers(p: DataFrame) -> DataFrame:
+    """About half of all positions as centres, numbered by their id."""
+    half = S.hash_unit("id", salt(SEED, "half")) < F.lit(0.5)
+    return p.where(half).select(F.col("id").cast("int").alias("center_id"), "lon", "lat")
+
+
+@register(
+    "assign_many_centers",
+    Q.with_positions(
+        f"""SELECT p.id, arg_min(c.center_id, ({_HAV_PC}, c.center_id)) AS cluster, round(min({_HAV_PC}), 3) AS dist
+FROM positions p CROSS JOIN many c GROUP BY p.id""",
+        _HALF_CTE,
+    ),
+    "J1 with half of the positions as centres, through the centre index",
+)
+def q_assign_many_centers(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return assign_nearest(p, _many_centers(p)).select("id", "cluster", F.round("dist", 3).alias("dist"))
+
+
+@register(
+    "objective_many_centers",
+    Q.with_positions(
+        f"SELECT round(sum(d), 1) AS phi FROM (SELECT p.id, min({_HAV_PC}) AS d FROM positions p CROSS JOIN many c GROUP BY p.id)",
+        _HALF_CTE,
+    ),
+    "A1 with half of the positions as centres, through the centre index",
+)
+def q_objective_many_centers(spark, sf_dir):
+    p = stored_positions(spark, sf_dir)
+    return objective(p, _many_centers(p)).select(F.round("phi", 1).alias("phi"))
+
+
 # ---------------------------------------------------------------- S1, S4
 from medoidlab.sources.trips import load_positions, read_trips  # noqa: E402
 

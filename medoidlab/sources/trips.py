@@ -62,6 +62,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
+def has_files(spark: SparkSession, path: str) -> bool:
+    """Whether a path is a file or a folder that holds anything."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(hpath)) and len(fs.listStatus(hpath)) > 0
+
+
 def load_positions(
     spark: SparkSession,
     raw_path: str,
@@ -85,6 +92,9 @@ def load_positions(
     cleaned = clean_trips(read_trips(spark, raw_path))
     if not cache_path:
         return cleaned
+    # Only the rest of an unfinished write is replaced, never files of somebody else.
+    if has_files(spark, cache_path) and not path_exists(spark, f"{cache_path}/_temporary"):
+        raise FileExistsError(f"{cache_path} holds files but no finished copy")
     write_positions(cleaned, cache_path, fmt, mode="overwrite")
     return read_positions(spark, cache_path, fmt)
 
