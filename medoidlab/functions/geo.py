@@ -122,19 +122,3 @@ def cluster_color(cluster, k: int) -> tuple[Column, Column, Column]:
     g = F.floor(((pos / s) % s) / s * F.lit(255.0)).cast("int")
     b = F.floor(((pos / s / s) % s) / s * F.lit(255.0)).cast("int")
     return r, g, b
-
-
-def blend_channel(channel, n, alpha: float) -> Column:
-    """Channel value after ``n`` draws of colour ``channel`` over black, truncating each step.
-
-    Each step is ``floor(v * (1 - alpha) + channel * alpha)``. The sequence is monotone
-    and reaches its fixed point in at most 256 steps, so ``min(n, 256)`` steps are exact.
-    """
-    steps = F.least(_c(n), F.lit(256)).cast("int")
-    keep = F.lit(1.0 - alpha)
-    ch = _c(channel).cast("double")
-    return F.aggregate(
-        F.sequence(F.lit(1), steps),
-        F.lit(0).cast("int"),
-        lambda acc, _i: F.floor(acc.cast("double") * keep + ch * F.lit(alpha)).cast("int"),
-    )

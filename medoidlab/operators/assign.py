@@ -302,10 +302,3 @@ def cluster_summary(df: DataFrame, centers) -> DataFrame:
         F.sum("dist").alias("sum_dist"),
         F.max("dist").alias("max_dist"),
     )
-
-
-def centers_df(spark, centers) -> DataFrame:
-    """Centres as a DataFrame (center_id, lon, lat)."""
-    from medoidlab.schema import CENTER_SCHEMA
-
-    return spark.createDataFrame([tuple(c) for c in as_center_list(centers)], CENTER_SCHEMA)

@@ -228,9 +228,3 @@ def radius_stats(df: DataFrame, centers, metric: str = "haversine") -> DataFrame
         F.stddev_samp("radius").alias("std_radius"),
         F.count(F.lit(1)).alias("clusters"),
     )
-
-
-def cluster_radii(df: DataFrame, centers) -> DataFrame:
-    """Largest distance to the centre per cluster."""
-    return assign_nearest(df, centers).groupBy("cluster").agg(F.max("dist").alias("radius"))
-

@@ -87,10 +87,10 @@ def raster_dropped(df: DataFrame, box: Box = IMAGE_BOX, width: int = IMAGE_SIZE,
     px = with_pixels(df, box, width, height)
     reasons = F.concat_ws(
         " ",
-        F.when(F.col("lon") < box.min_lon, F.lit("longitude too low")),
-        F.when(F.col("lon") > box.max_lon, F.lit("longitude too high")),
-        F.when(F.col("lat") > box.max_lat, F.lit("latitude too high")),
-        F.when(F.col("lat") < box.min_lat, F.lit("latitude too low")),
+        F.when(F.col("lon") < box.min_lon, F.lit("west")),
+        F.when(F.col("lon") > box.max_lon, F.lit("east")),
+        F.when(F.col("lat") > box.max_lat, F.lit("north")),
+        F.when(F.col("lat") < box.min_lat, F.lit("south")),
     )
     tagged = px.select((~inside(width, height)).alias("out"), reasons.alias("reason"))
     counts = tagged.groupBy("out", "reason").agg(F.count(F.lit(1)).alias("n"))

@@ -587,10 +587,10 @@ def q_cluster_color(spark, sf_dir):
     "raster_dropped",
     Q.with_positions(
         f"""SELECT reason, n, n / (SELECT count(*) FROM positions) AS share FROM (
-  SELECT concat_ws(' ', CASE WHEN lon < -8.7 THEN 'longitude too low' END,
-                        CASE WHEN lon > -8.4 THEN 'longitude too high' END,
-                        CASE WHEN lat > 41.35 THEN 'latitude too high' END,
-                        CASE WHEN lat < 41.05 THEN 'latitude too low' END) AS reason,
+  SELECT concat_ws(' ', CASE WHEN lon < -8.7 THEN 'west' END,
+                        CASE WHEN lon > -8.4 THEN 'east' END,
+                        CASE WHEN lat > 41.35 THEN 'north' END,
+                        CASE WHEN lat < 41.05 THEN 'south' END) AS reason,
          CAST(count(*) AS BIGINT) AS n
   FROM (SELECT lon, lat, {_PX} FROM positions) WHERE NOT ({_INSIDE}) GROUP BY reason)"""
     ),

@@ -97,23 +97,6 @@ POSITION_JSON_SCHEMA = T.StructType(
     ]
 )
 
-CENTER_SCHEMA = T.StructType(
-    [
-        T.StructField("center_id", T.IntegerType(), False),
-        T.StructField("lon", T.DoubleType(), False),
-        T.StructField("lat", T.DoubleType(), False),
-    ]
-)
-
-CENTER_SET_SCHEMA = T.StructType(
-    [
-        T.StructField("set_id", T.IntegerType(), False),
-        T.StructField("center_id", T.IntegerType(), False),
-        T.StructField("lon", T.DoubleType(), False),
-        T.StructField("lat", T.DoubleType(), False),
-    ]
-)
-
 RESULT_SCHEMA = T.StructType(
     [
         T.StructField("k", T.IntegerType(), False),
@@ -134,12 +117,3 @@ RESULT_SCHEMA = T.StructType(
         ),
     ]
 )
-
-RASTER_SCHEMA = T.StructType(
-    [
-        T.StructField("x", T.IntegerType(), False),
-        T.StructField("y", T.IntegerType(), False),
-        T.StructField("cluster", T.IntegerType(), False),
-        T.StructField("n", T.LongType(), False),
-    ]
-)

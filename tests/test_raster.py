@@ -26,9 +26,9 @@ def test_raster_counts_and_dropped(pts):
     ras = {(r.x, r.y, r.cluster): r.n for r in RA.raster(pts(rows), box=BOX, width=10, height=10).collect()}
     assert ras == {(1, 1, 0): 2, (5, 5, 0): 1}
     drop = {r.reason: (r.n, r.share) for r in RA.raster_dropped(pts(rows), BOX, 10, 10).collect()}
-    assert drop["longitude too low"] == (1, 1 / 6)
-    assert drop["latitude too high"] == (1, 1 / 6)
-    assert drop["longitude too high latitude too low"] == (1, 1 / 6)
+    assert drop["west"] == (1, 1 / 6)
+    assert drop["north"] == (1, 1 / 6)
+    assert drop["east south"] == (1, 1 / 6)
 
 
 def _java_colors(k):
