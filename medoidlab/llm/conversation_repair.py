@@ -1,7 +1,7 @@
 """Conversation structure repair: cheapest edits that give the roles a proper order.
 
-Turns of a conversation are taken by turn (nulls first); ties go by role, then text, then
-place in the input. A turn's first fault counts: blank (only white space), duplicate (role
+Turns of a conversation are taken by turn (nulls first); ties go by role, then text (by the
+first ``HEAD`` characters of each, then by their digest), then place in the input. A turn's first fault counts: blank (only white space), duplicate (role
 and text seen earlier in the conversation) or truncated (its last visible character is not
 ``.``, ``!`` or ``?``). Blank and duplicate turns must be deleted. The edits (Delete 3,
 Insert an empty turn 2, Keep 0, Rerole to user or assistant 2; a truncated turn that stays
@@ -42,6 +42,10 @@ BLOCK = 4096
 #: Sign strings of whole conversations that a task remembers.
 KNOWN = 50_000
 
+#: Characters of a role or text that take part in the order: what is sampled for a range
+#: sort must be bounded, however long the texts.
+HEAD = 64
+
 WHITE = " \t\n\x0b\f\r"
 
 
@@ -51,7 +55,7 @@ def _key(conv_id: Column) -> Column:
 
 
 def in_order(turns: DataFrame) -> DataFrame:
-    """``key, conv_id, turn, role, text, rank``: the turns in order, ranks without gaps."""
+    """``key, conv_id, turn, role, text, digest, rank``: the turns in order, ranks without gaps."""
     spaced = turns.select(
         _key(F.col("conv_id")).alias("key"),
         "conv_id",
@@ -60,8 +64,12 @@ def in_order(turns: DataFrame) -> DataFrame:
         F.coalesce(F.col("text"), F.lit(" ")).alias("text"),
         F.monotonically_increasing_id().alias("place"),
     )
-    keys = ["key", F.col("turn").asc_nulls_first(), "role", "text", "place"]
-    return ranked(spaced, keys, "turns-in-order", "rank").drop("place")
+    both = F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text")
+    spaced = spaced.withColumns(
+        {"digest": F.sha2(both, 256), "role_head": F.left("role", F.lit(HEAD)), "text_head": F.left("text", F.lit(HEAD))}
+    )
+    keys = ["key", F.col("turn").asc_nulls_first(), "role_head", "text_head", "digest", "place"]
+    return ranked(spaced, keys, "turns-in-order", "rank").drop("place", "role_head", "text_head")
 
 
 def _sign(first: Column) -> Column:
@@ -78,7 +86,7 @@ def blocks(rows: DataFrame) -> DataFrame:
     """``key, block, first, signs``: the signs of the turns of ``in_order``, block by block;
     ``first`` is the rank of a block's first turn."""
     firsts = (
-        rows.groupBy("key", "role", F.sha2("text", 256).alias("digest"))
+        rows.groupBy("key", "digest")
         .agg(F.min("rank").alias("rank"))
         .select("rank", F.lit(True).alias("first_seen"))
     )

@@ -52,7 +52,8 @@ harmed AS (
          unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
   FROM raw JOIN kinds USING (k) WHERE kind <> 0),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM harmed),
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, left(role, 64), left(text, 64),
+                               sha256(length(role)::varchar || ':' || role || text), copy) AS i FROM harmed),
 judged AS (
   SELECT *, left(role, 1) AS initial, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS seen,
          row_number() OVER (PARTITION BY key, role, text ORDER BY i) AS nth,
