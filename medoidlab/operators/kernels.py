@@ -13,13 +13,19 @@ import numpy as np
 
 from medoidlab.schema import EARTH_RADIUS_M
 
-# Candidate columns evaluated at once (memory: BLOCK x places doubles).
-BLOCK = 512
+# Distances held at once while swaps are costed (1 MB: they stay in a core's cache).
+BLOCK_CELLS = 1 << 17
+# Candidates of one group of carried bounds.
+CANDIDATE_GROUP = 48
+# Candidates costed before the first bound is known; every further lot is twice as large.
+FIRST_CANDIDATES = 64
+# Metres taken from lower bounds a round, above what rounding can add to them.
+BOUND_SLACK = 1e-3
+# Up to these values of ``a`` (distances of 127 and 46 km) so many terms of arcsin's series
+# are exact in double precision.
+SERIES = [(1e-4, (15 / 336, 3 / 40, 1 / 6, 1.0)), (1.3e-5, (3 / 40, 1 / 6, 1.0))]
 # A swap must lower phi by more than this many metres to count as an improvement.
 IMPROVE_TOL = 1e-6
-# Buckets up to this many places keep their full distance matrix for the whole search
-# (8 * places^2 bytes: 4096 places = 128 MiB); larger ones recompute blocks per round.
-DENSE_MAX = 4096
 
 
 def haversine_np(lon1, lat1, lon2, lat2, radius: float = EARTH_RADIUS_M):
@@ -41,19 +47,38 @@ def unit_vectors(lon, lat):
     return np.stack([c * np.cos(lam), c * np.sin(lam), np.sin(phi)], axis=1)
 
 
-def chord_distance(u, v, radius: float = EARTH_RADIUS_M):
-    """Pairwise great-circle metres between unit vectors u (n, 3) and v (m, 3).
+def chord_distance(u, v, radius: float = EARTH_RADIUS_M, out=None, diff=None):
+    """Pairwise great-circle metres between unit vectors u (n, 3) and v (m, 3), in ``out``
+    and with the scratch ``diff``, both (n, m), if given.
 
     ``a = |u - v|^2 / 4`` is the haversine ``a`` (same value, about 1e-12 relative), so
     the distance needs one sqrt and one arcsin per pair instead of the full formula.
     """
-    a = np.zeros((u.shape[0], v.shape[0]))
-    for j in range(3):
-        diff = u[:, j : j + 1] - v[None, :, j]
-        a += diff * diff
-    a *= 0.25
-    np.clip(a, 0.0, 1.0, out=a)
-    return (2.0 * radius) * np.arcsin(np.sqrt(a))
+    u, v = 0.5 * u, 0.5 * v.T
+    a = np.subtract(u[:, 0:1], v[0], out=out)
+    a *= a
+    diff = np.empty_like(a) if diff is None else diff
+    for j in (1, 2):
+        np.subtract(u[:, j : j + 1], v[j], out=diff)
+        diff *= diff
+        a += diff
+    top = a.max(initial=0.0)
+    if top > SERIES[0][0]:
+        np.minimum(a, 1.0, out=a)
+        np.sqrt(a, out=a)
+        np.arcsin(a, out=a)
+        a *= 2.0 * radius
+        return a
+    # arcsin(x) = x (1 + x^2 / 6 + 3 x^4 / 40 + 15 x^6 / 336 + ...), far cheaper.
+    terms = next(t for most, t in reversed(SERIES) if top <= most)
+    factor = np.multiply(a, 2.0 * radius * terms[0], out=diff)
+    for c in terms[1:-1]:
+        factor += 2.0 * radius * c
+        factor *= a
+    factor += 2.0 * radius * terms[-1]
+    np.sqrt(a, out=a)
+    a *= factor
+    return a
 
 
 def dist_cols(lon, lat, idx):
@@ -72,58 +97,158 @@ def nearest_two(dm):
     return d1, d2, order[:, 0]
 
 
-def swap_costs(lon, lat, w, medoids, cand=None, dense=None):
-    """phi after putting each candidate in each slot: array (len(cand), k).
+class Swaps:
+    """Costs of single swaps from ``medoids``: phi after putting a candidate in a slot.
 
     With the candidate added and no slot removed, place p costs ``min(d(p, c), d1)``;
     removing its own nearest slot makes that ``min(d(p, c), d2)``. So one pass over the
     distances gives the shared sum, and per slot the loss of the places nearest to it: the
-    work does not grow with k. ``dense`` is an optional precomputed (u, u) matrix.
+    work does not grow with k. Distances are made for a few candidates at a time and never
+    kept: memory grows with the places, not with their square.
     """
-    u = lon.shape[0]
-    medoids = np.asarray(medoids, dtype=np.int64)
-    if cand is None:
-        cand = np.arange(u)
-    cols = (lambda idx: dense[:, idx]) if dense is not None else (lambda idx: dist_cols(lon, lat, idx))
-    d1, d2, near = nearest_two(cols(medoids))
-    out = np.empty((len(cand), medoids.shape[0]))
-    for b0 in range(0, len(cand), BLOCK):
-        cb = cand[b0 : b0 + BLOCK]
-        out[b0 : b0 + len(cb)] = swap_sums(cols(cb), d1, d2, near, w, medoids.shape[0])
-    return out, float((w * d1).sum())
-
-
-def swap_sums(dc, d1, d2, near, w, k):
-    """Sums over places of a (places, candidates) block of distances: per candidate and
-    slot the cost after the swap. Sums of several blocks of places add up."""
-    order = np.argsort(near, kind="stable")
-    slots, first = np.unique(near[order], return_index=True)
-    dc, wo = dc[order], w[order][:, None]
-    kept = wo * np.minimum(dc, d1[order][:, None])
-    lost = wo * np.minimum(dc, d2[order][:, None]) - kept
-    out = np.repeat(kept.sum(axis=0)[:, None], k, axis=1)
-    out[:, slots] += np.add.reduceat(lost, first, axis=0).T
-    return out
-
-
-def dense_matrix(lon, lat):
-    """Full (u, u) haversine matrix, or None above ``DENSE_MAX`` places."""
-    if lon.shape[0] > DENSE_MAX:
-        return None
-    return dist_cols(lon, lat, np.arange(lon.shape[0]))
 
+    def __init__(self, vectors, w, medoids):
+        self.vectors, self.k = vectors, len(medoids)
+        d1, d2, near = nearest_two(chord_distance(self.vectors, self.vectors[medoids]))
+        self.phi = float((w * d1).sum())
+        self.order = order = np.argsort(near, kind="stable")
+        self.slots, self.first = np.unique(near[order], return_index=True)
+        self.places, self.w = self.vectors[order], w[order]
+        self.weighted = bool((w != 1.0).any())
+        self.d1, self.d2 = (w * d1)[order], (w * d2)[order]
+
+    def costs(self, cand):
+        """Array (len(cand), k)."""
+        out = np.empty((len(cand), self.k))
+        rows = max(1, BLOCK_CELLS // max(1, len(self.w)))
+        held = np.empty((2, min(rows, len(cand)), len(self.w)))
+        for i in range(0, len(cand), rows):
+            d, kept = held[:, : len(cand) - i]
+            chord_distance(self.vectors[cand[i : i + rows]], self.places, out=d, diff=kept)
+            if self.weighted:
+                d *= self.w
+            np.minimum(d, self.d1, out=kept)
+            np.minimum(d, self.d2, out=d)
+            d -= kept
+            out[i : i + rows] = kept.sum(axis=1)[:, None]
+            out[i : i + rows, self.slots] += np.add.reduceat(d, self.first, axis=1)
+        return out
+
+    def limits(self):
+        """Array (k, places): what a place costs at most once a slot is free, ``d1``, in its
+        own nearest slot ``d2``."""
+        out = np.empty((self.k, len(self.w)))
+        out[:, self.order] = self.d1
+        ends = np.append(self.first[1:], len(self.w))
+        for slot, a, b in zip(self.slots, self.first, ends):
+            out[slot, self.order[a:b]] = self.d2[a:b]
+        return out
+
+
+def swap_costs(lon, lat, w, medoids, cand=None):
+    """phi after putting each candidate in each slot, array (len(cand), k), and phi now."""
+    swaps = Swaps(unit_vectors(lon, lat), w, np.asarray(medoids, dtype=np.int64))
+    return swaps.costs(np.arange(lon.shape[0]) if cand is None else cand), swaps.phi
+
+
+class BestSwap:
+    """Best single swaps of one bucket, for changing medoids.
+
+    A candidate's cost in a slot is a sum of ``min(d, limit)`` over the places, and a change
+    of the medoids changes the limits only. What that does to the cost at least follows
+    from the distances to a middle candidate, for all candidates around it. So costs of
+    earlier rounds and those changes are lower bounds, and a candidate whose bounds are all
+    above the least cost known is not costed again. No candidate of least cost is left out,
+    and bounds are never taken for costs.
+    """
 
-def best_swap(lon, lat, w, ids, medoids, dense=None):
+    def __init__(self, lon, lat, w, ids):
+        self.vectors, self.w, self.ids = unit_vectors(lon, lat), w, ids
+        self.bounds = self.limits = self.near = None
+
+    def _near_and_far(self):
+        """The candidates in compact groups, and per group and place the least and the
+        largest weighted distance."""
+        self.group = _groups(self.vectors, CANDIDATE_GROUP)
+        n = int(self.group.max()) + 1
+        order = np.argsort(self.group, kind="stable")
+        first = np.searchsorted(self.group[order], np.arange(n))
+        mean = np.add.reduceat(self.vectors[order], first, axis=0) / np.bincount(self.group)[:, None]
+        length = np.linalg.norm(mean, axis=1)[:, None]
+        middle = np.where(length > 0.5, mean / np.maximum(length, 0.5), self.vectors[order[first]])
+        gap = self.vectors - middle[self.group]
+        chord = np.sqrt(np.maximum.reduceat((gap * gap).sum(axis=1)[order], first))
+        radius = 2.0 * EARTH_RADIUS_M * np.arcsin(np.minimum(chord / 2, 1.0)) + BOUND_SLACK
+        d = chord_distance(middle, self.vectors)
+        return np.maximum(d - radius[:, None], 0.0) * self.w, (d + radius[:, None]) * self.w
+
+    def _carry(self, limits):
+        """Bounds of the last round taken to new limits."""
+        if self.near is None:
+            self.near, self.far = self._near_and_far()
+        for slot, (old, new) in enumerate(zip(self.limits, limits)):
+            up, down = np.flatnonzero(new > old), np.flatnonzero(new < old)
+            change = -np.full(len(self.near), BOUND_SLACK)
+            for at, d in ((up, self.near[:, up]), (down, self.far[:, down])):
+                change += (np.minimum(d, new[at]) - np.minimum(d, old[at])).sum(axis=1)
+            self.bounds[:, slot] += change[self.group]
+
+    def find(self, medoids):
+        """(phi_now, phi_new, cand index, slot), ties by (phi, id, slot)."""
+        medoids = np.asarray(medoids, dtype=np.int64)
+        swaps = Swaps(self.vectors, self.w, medoids)
+        limits = swaps.limits()
+        if self.bounds is None:
+            self.bounds = np.full((len(self.w), swaps.k), -np.inf)
+        else:
+            self._carry(limits)
+        self.limits = limits
+        least = self.bounds.min(axis=1)
+        least[medoids] = np.inf  # last in the order, and no candidates
+        known, best_at = np.inf, np.zeros(0, np.int64)
+        costs = np.zeros((0, swaps.k))
+        order = np.argsort(least, kind="stable")[: len(least) - len(medoids)]
+        at, step = 0, FIRST_CANDIDATES
+        while at < len(order):
+            cand = order[at : at + step]
+            cand = cand[least[cand] <= known]
+            if not len(cand):
+                break
+            new = swaps.costs(cand)
+            self.bounds[cand] = new
+            known = min(known, float(new.min()))
+            best_at, costs = np.concatenate([best_at, cand]), np.concatenate([costs, new])
+            at, step = at + step, 2 * step
+        self.bounds[medoids] = -np.inf
+        best = costs.min(initial=np.inf)
+        if not np.isfinite(best):
+            return swaps.phi, best, -1, -1
+        rows, slots = np.nonzero(costs == best)
+        cands = best_at[rows]
+        j = np.lexsort((slots, self.ids[cands]))[0]
+        return swaps.phi, float(best), int(cands[j]), int(slots[j])
+
+
+def _groups(vectors, size):
+    """Group numbers of compact groups of about ``size`` vectors: halves along the longest
+    side, again and again."""
+    group = np.zeros(len(vectors), np.int64)
+    parts, n = [np.arange(len(vectors))], 1
+    while len(vectors) > size * n:
+        halves = []
+        for part in parts:
+            side = int(np.argmax(np.ptp(vectors[part], axis=0)))
+            by = part[np.argsort(vectors[part, side], kind="stable")]
+            halves += [by[: len(by) // 2], by[len(by) // 2 :]]
+        parts, n = halves, 2 * n
+    for number, part in enumerate(parts):
+        group[part] = number
+    return group
+
+
+def best_swap(lon, lat, w, ids, medoids):
     """Best single swap: (phi_now, phi_new, cand index, slot), ties by (phi, id, slot)."""
-    medoids = np.asarray(medoids, dtype=np.int64)
-    costs, phi = swap_costs(lon, lat, w, medoids, dense=dense)
-    costs[medoids, :] = np.inf
-    best = costs.min()
-    if not np.isfinite(best):
-        return phi, phi, -1, -1
-    cands, slots = np.nonzero(costs == best)
-    j = np.lexsort((slots, ids[cands]))[0]
-    return phi, float(best), int(cands[j]), int(slots[j])
+    return BestSwap(lon, lat, w, ids).find(medoids)
 
 
 def first_distinct(ids, k):
@@ -141,11 +266,11 @@ def pam_search(lon, lat, w, ids, k):
     if med is None:
         return None
     med = med.copy()
-    dense = dense_matrix(lon, lat)
+    swaps = BestSwap(lon, lat, w, ids)
     rounds = 0
     phi = None
     while True:  # phi falls by IMPROVE_TOL at least each round, so this ends
-        phi, new_phi, c, s = best_swap(lon, lat, w, ids, med, dense)
+        phi, new_phi, c, s = swaps.find(med)
         if c < 0 or not (new_phi < phi - IMPROVE_TOL):
             break
         med[s] = c
@@ -202,7 +327,7 @@ def clarans_search(lon, lat, w, ids, h, k, nlocal, nneighbor, seed, bucket):
     if k < 2:
         raise ValueError("CLARANS needs k >= 2")
     nneighbor = max(1, min(nneighbor, u - k))
-    dense = dense_matrix(lon, lat)
+    vectors = unit_vectors(lon, lat)
     h = h.astype(np.int64) % DRAW_PRIME
     best = None
     for start in range(nlocal):
@@ -219,8 +344,7 @@ def clarans_search(lon, lat, w, ids, h, k, nlocal, nneighbor, seed, bucket):
             order = np.lexsort((ids, (a * h + b) % DRAW_PRIME))
             cand = order[pool[order]][:nneighbor]
             slots = np.array(_closest_pair(lon, lat, med))[((a2 * h[cand] + b2) % DRAW_PRIME) % 2]
-            costs, _ = swap_costs(lon, lat, w, med, cand, dense)
-            phi_n = costs[np.arange(len(cand)), slots]
+            phi_n = Swaps(vectors, w, med).costs(cand)[np.arange(len(cand)), slots]
             j = int(np.argmin(phi_n))
             if not phi_n[j] < phi - IMPROVE_TOL:
                 break

@@ -80,6 +80,12 @@ def _solver_partitions(df: DataFrame, n_buckets: int) -> int:
     return max(1, min(n_buckets, max(cap, 1)))
 
 
+def _dealt(pl: DataFrame) -> DataFrame:
+    """Rows by bucket in as many partitions as the session has: a count that is named is not
+    coalesced by the rows' few bytes, which tell nothing of a bucket's work."""
+    return pl.repartition(int(pl.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), "bucket")
+
+
 def bucket_sizes(pl: DataFrame, bucket: str = "bucket") -> tuple[int, int]:
     """(bucket count, total places) in one job."""
     row = pl.groupBy(bucket).count().agg(F.count(F.lit(1)).alias("b"), F.sum("count").alias("t")).collect()[0]
@@ -176,7 +182,7 @@ def _first_step(k: int):
 def pam_swap_step(df: DataFrame, k: int) -> DataFrame:
     """C1 (one step): from the ``pam_init`` medoids, the best single swap per bucket."""
     pl = places(df)
-    return pl.repartition("bucket").groupBy("bucket").applyInPandas(_first_step(k), STEP_SCHEMA)
+    return _dealt(pl).groupBy("bucket").applyInPandas(_first_step(k), STEP_SCHEMA)
 
 
 def _costs(k: int):
@@ -205,7 +211,7 @@ def _costs(k: int):
 def swap_cost(df: DataFrame, k: int) -> DataFrame:
     """Phi after each (candidate place, slot) swap from the ``pam_init`` medoids."""
     pl = places(df)
-    return pl.repartition("bucket").groupBy("bucket").applyInPandas(_costs(k), COST_SCHEMA)
+    return _dealt(pl).groupBy("bucket").applyInPandas(_costs(k), COST_SCHEMA)
 
 
 def pam_init(df: DataFrame, k: int) -> DataFrame:

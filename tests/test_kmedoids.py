@@ -52,6 +52,43 @@ def test_pam_is_a_swap_local_optimum():
     assert abs(phi - _phi(rows, [(lon[m], lat[m]) for m in med])) < 1e-6
 
 
+def _uneven(n, seed):
+    rnd = np.random.default_rng(seed)
+    lon, lat = -8.6 + rnd.normal(0, 0.05, n), 41.2 + rnd.normal(0, 0.05, n)
+    return lon, lat, rnd.integers(1, 4, n).astype(float), np.arange(n) * 3
+
+
+def test_swap_bounds_lose_no_best_swap():
+    lon, lat, w, ids = _uneven(400, 5)
+    found, med = K.BestSwap(lon, lat, w, ids), np.arange(5)
+    for _ in range(6):
+        costs, _ = K.swap_costs(lon, lat, w, med)
+        costs[med] = np.inf
+        _, new_phi, c, s = found.find(med)
+        assert (c, s) == np.unravel_index(costs.argmin(), costs.shape) and new_phi == costs.min()
+        med = med.copy()
+        med[s] = c
+
+
+def test_searches_hold_no_matrix_of_the_places():
+    import tracemalloc
+
+    lon, lat, w, ids = _uneven(2500, 6)
+    tracemalloc.start()
+    K.pam_search(lon, lat, w, ids, 4)
+    K.clarans_search(lon, lat, w, ids, ids * 7919 % 2**32, 4, 2, 40, 1, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * 2500**2 / 4
+
+
+def test_swap_tasks_are_not_coalesced(pts, spark):
+    df = pts(_blobs(30)).withColumn("bucket", F.pmod("id", F.lit(40)).cast("int"))
+    for out in (KM.swap_cost(df, 2), KM.pam_swap_step(df, 2)):
+        out.collect()
+        assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact_k_bucket_and_too_small_bucket(pts):
     rows = [(0, -8.6, 41.1), (1, -8.5, 41.2), (2, -8.4, 41.3)]  # bucket 0: exactly k = 3
     rows += [(3, -8.6, 41.1), (4, -8.6, 41.1), (5, -8.5, 41.2)]  # bucket 1: 2 distinct places
