@@ -27,8 +27,6 @@ LEAF_CENTERS = 24
 # Cells are cut at most this often (the box's side / 2^26); a cell of that level keeps all
 # its possible centres.
 MAX_LEVEL = 26
-# The first level: every centre is held against its 4^FIRST_LEVEL cells.
-FIRST_LEVEL = 2
 # Levels per round: a cell's side is cut in CUT.
 STEP, CUT = 2, 4
 # Up to this level a table of all cells (at most 4^6 rows) is broadcast.
@@ -83,17 +81,38 @@ def _in_cells(pairs: DataFrame, box, level: int) -> DataFrame:
     return pairs.withColumns(dict(zip(M, middle)) | {"rho": rho})
 
 
-def _possible(pairs: DataFrame, level: int) -> DataFrame:
-    """The pairs whose centre can be nearest, with ``kept``, their number per cell."""
+def _split(pairs: DataFrame, box, level: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of the cells of ``level`` inside those of ``pairs`` whose centre can be
+    nearest, and ``(cx, cy, kept)``, their number per cell.
+
+    A pair meets its cell's parts as one array and is opened inside the stage, once for the
+    parts' best centres (a hash aggregate) and once for the test, so that only the pairs
+    that stay are written; the parts' middles and radii are found once a cell."""
     small = F.broadcast if level <= SMALL_LEVEL else (lambda x: x)
+    parent = ["pcx", "pcy"]
+    rows = pairs.withColumnsRenamed({"cx": "pcx", "cy": "pcy"})
+    part = F.explode(F.sequence(F.lit(0), F.lit(CUT * CUT - 1)))
+    kids = rows.select(*parent).distinct().withColumn("part", part).select(
+        *parent,
+        (F.col("pcx") * CUT + F.col("part") % CUT).alias("cx"),
+        (F.col("pcy") * CUT + F.floor(F.col("part") / CUT)).alias("cy"),
+    )
+    shape = ["cx", "cy", *M, "rho"]
+
+    def opened(cells: DataFrame, columns: list[str]) -> DataFrame:
+        sets = cells.groupBy(*parent).agg(F.collect_list(F.struct(*columns)).alias("kids"))
+        return rows.join(small(sets), parent).select(*parent, "center_id", "clon", "clat", *U, F.inline("kids"))
+
     u, m, b = ([F.col(c) for c in names] for names in (U, M, B))
-    best = pairs.groupBy("cx", "cy").agg(F.max(F.struct(_dot(u, m).alias("dot"), *u)).alias("b"))
-    best = best.select("cx", "cy", *[F.col(f"b.{x}").alias(y) for x, y in zip(U, B)])
+    best = opened(_in_cells(kids, box, level), shape).groupBy(*parent, "cx", "cy").agg(
+        *[F.max_by(x, _dot(u, m)).alias(y) for x, y in zip(U, B)],
+        *[F.any_value(c).alias(c) for c in (*M, "rho")],
+    )
     gap = [x - y for x, y in zip(b, u)]
     out = _dot(gap, m) > F.sqrt(_dot(gap, gap)) * F.col("rho") + F.lit(SLACK)
-    near = pairs.join(small(best), ["cx", "cy"]).where(~out).select("cx", "cy", "center_id", "clon", "clat", *U)
-    counts = near.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("kept"))
-    return cut_lineage(near.join(small(counts), ["cx", "cy"]))
+    near = opened(best, [*shape, *B]).where(~out).select("cx", "cy", "center_id", "clon", "clat", *U)
+    near = cut_lineage(near)
+    return near, cut_lineage(near.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("kept")))
 
 
 def build_center_index(centers: DataFrame, box, leaf: int = LEAF_CENTERS) -> tuple[DataFrame, list[int]]:
@@ -105,28 +124,26 @@ def build_center_index(centers: DataFrame, box, leaf: int = LEAF_CENTERS) -> tup
         raise ValueError("leaf must be at least 8")
     known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
     places = centers.where(known).groupBy("lon", "lat").agg(F.min("center_id").alias("center_id"))
-    grid = F.sequence(F.lit(0).cast("bigint"), F.lit(2**FIRST_LEVEL - 1).cast("bigint"))
     unit = [c.alias(n) for c, n in zip(_vector(F.col("lon"), F.col("lat")), U)]
-    pairs = places.select("center_id", F.col("lon").alias("clon"), F.col("lat").alias("clat"), *unit, F.explode(grid).alias("cx"))
-    pairs = pairs.withColumn("cy", F.explode(grid))
-    settled, levels, level = [], [], FIRST_LEVEL
+    zero = F.lit(0).cast("bigint")
+    pairs = cut_lineage(places.select(
+        zero.alias("cx"), zero.alias("cy"), "center_id", F.col("lon").alias("clon"), F.col("lat").alias("clat"), *unit
+    ))
+    settled, levels, level = [], [], STEP
     while True:
-        near = _possible(_in_cells(pairs, box, level), level)
-        done = near if level == MAX_LEVEL else near.where(F.col("kept") <= leaf)
+        near, counts = _split(pairs, box, level)
+        small = F.broadcast if level <= SMALL_LEVEL else (lambda x: x)
+        done = F.lit(True) if level == MAX_LEVEL else F.col("kept") <= leaf
         one = F.struct("center_id", F.col("clon").alias("lon"), F.col("clat").alias("lat"))
-        leaves = done.groupBy("cx", "cy").agg(F.sort_array(F.collect_list(one)).alias("near"))
-        fewest, most = near.agg(F.min("kept"), F.max("kept")).first()
+        leaves = near.join(small(counts.where(done)), ["cx", "cy"]).groupBy("cx", "cy")
+        leaves = leaves.agg(F.sort_array(F.collect_list(one)).alias("near"))
+        fewest, most = counts.agg(F.min("kept"), F.max("kept")).first()
         if fewest is not None and (fewest <= leaf or level == MAX_LEVEL):
             settled.append(leaves.select(F.lit(level).alias("level"), "cx", "cy", "near"))
             levels.append(level)
         if level == MAX_LEVEL or most is None or most <= leaf:
             break
-        rest = near.where(F.col("kept") > leaf)
-        pairs = rest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(CUT * CUT - 1)))).select(
-            (F.col("cx") * CUT + F.col("part") % CUT).alias("cx"),
-            (F.col("cy") * CUT + F.floor(F.col("part") / CUT)).alias("cy"),
-            "center_id", "clon", "clat", *U,
-        )
+        pairs = near.join(small(counts.where(~done)), ["cx", "cy"]).drop("kept")
         level += STEP
     if not levels:
         raise ValueError("no centres")
