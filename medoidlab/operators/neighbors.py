@@ -68,6 +68,12 @@ def _cell_cols(lon: Column, lat: Column, origin, level_scale: Column) -> tuple[C
     return F.floor(u * level_scale).cast("bigint"), F.floor(v * level_scale).cast("bigint")
 
 
+def _cell_key(cx: Column, cy: Column) -> Column:
+    """A cell of one level as one number. Small levels are broadcast: by one long key their
+    table takes a few bytes a row, by two columns 32 MB at least."""
+    return F.shiftleft(cx.cast("bigint"), 32) + cy.cast("bigint")
+
+
 CELL_VALUES = ["minlon", "maxlon", "minlat", "maxlat", "lat_w", "lat_e", "lon_s", "lon_n"]
 
 
@@ -155,18 +161,17 @@ def nearest_places(places: DataFrame, index) -> DataFrame:
         if level == depth:
             break
         child = cells.where(F.col("level") == level + 1).select(
-            F.floor(F.col("cx") / FANOUT).cast("bigint").alias("pcx"),
-            F.floor(F.col("cy") / FANOUT).cast("bigint").alias("pcy"),
+            _cell_key(F.floor(F.col("cx") / FANOUT), F.floor(F.col("cy") / FANOUT)).alias("parent"),
             "cx",
             "cy",
             *CELL_VALUES,
         )
-        parent = cand.select(
-            "plon", "plat", F.col("cx").alias("pcx"), F.col("cy").alias("pcy"), F.col("ub").alias("ub_prev")
-        )
-        cand = parent.join(child, ["pcx", "pcy"]).drop("pcx", "pcy")
-    tgt = targets.withColumnRenamed("lon", "tlon").withColumnRenamed("lat", "tlat")
-    leaf = cand.select("plon", "plat", "cx", "cy").join(tgt, ["cx", "cy"])
+        key = _cell_key(F.col("cx"), F.col("cy"))
+        parent = cand.select("plon", "plat", key.alias("parent"), F.col("ub").alias("ub_prev"))
+        cand = parent.join(child, "parent").drop("parent")
+    key = _cell_key(F.col("cx"), F.col("cy")).alias("cell")
+    tgt = targets.select(key, F.col("lon").alias("tlon"), F.col("lat").alias("tlat"))
+    leaf = cand.select("plon", "plat", key).join(tgt, "cell")
     d = haversine("plon", "plat", "tlon", "tlat")
     best = leaf.select("plon", "plat", d.alias("d")).where(F.col("d") > 0)
     best = best.groupBy("plon", "plat").agg(F.min("d").alias("nn_dist"))
