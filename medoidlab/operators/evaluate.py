@@ -24,8 +24,9 @@ from medoidlab.session import cut_lineage
 # spreads small inputs, blocks grow to the second, so that copies of a place stay few.
 SILHOUETTE_BLOCK = 4096
 SILHOUETTE_BLOCK_MAX = 65_536
-# Distances held at a time inside one block pair.
-_CHUNK_CELLS = 4_000_000
+# Rows and columns of the distances held at a time inside one block pair (1 MB: they stay
+# in a core's cache).
+_CHUNK_ROWS, _CHUNK_COLUMNS = 64, 2048
 
 
 def data_box(df: DataFrame) -> Box:
@@ -98,14 +99,23 @@ def _pair_sums():
         lv = unit_vectors(left["lon"].to_numpy(np.float64), left["lat"].to_numpy(np.float64))
         rv = unit_vectors(right["lon"].to_numpy(np.float64), right["lat"].to_numpy(np.float64))
         l_hot, r_hot = hot(left, clusters), hot(right, clusters)
-        l_sums = np.empty((len(left), len(clusters)))
-        r_sums = np.zeros((len(right), len(clusters)))
-        chunk = max(1, _CHUNK_CELLS // max(1, len(right)))
-        for i in range(0, len(left), chunk):
-            d = chord_distance(lv[i : i + chunk], rv)  # (chunk, |right|)
-            l_sums[i : i + chunk] = d @ r_hot
-            if a != b:
-                r_sums += d.T @ l_hot[i : i + chunk]
+        l_sums, r_sums = np.zeros(l_hot.shape), np.zeros(r_hot.shape)
+        held = np.empty((2, _CHUNK_ROWS * _CHUNK_COLUMNS))
+        for i in range(0, len(left), _CHUNK_ROWS):
+            rows = slice(i, min(i + _CHUNK_ROWS, len(left)))
+            # Inside one block the matrix is its own mirror: half of it is enough.
+            for j in range(i if a == b else 0, len(right), _CHUNK_COLUMNS):
+                cols = slice(j, min(j + _CHUNK_COLUMNS, len(right)))
+                shape = (rows.stop - i, cols.stop - j)
+                d, diff = held[:, : shape[0] * shape[1]].reshape(2, *shape)
+                chord_distance(lv[rows], rv[cols], out=d, diff=diff)
+                l_sums[rows] += d @ r_hot[cols]
+                if a != b:
+                    r_sums[cols] += d.T @ l_hot[rows]
+                elif cols.stop > rows.stop:
+                    # The square on the diagonal holds both ways already.
+                    past = max(rows.stop, j)
+                    l_sums[past : cols.stop] += d[:, past - j :].T @ l_hot[rows]
         out = [emit(left, clusters, l_sums)]
         if a != b:
             out.append(emit(right, clusters, r_sums))

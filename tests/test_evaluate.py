@@ -158,3 +158,22 @@ def test_empty_tables(pts, spark):
     assert nearest_neighbor(none, none).count() == 0
     assert EV.hopkins(none).collect()[0].hopkins is None
     assert EV.silhouette(none, CENTERS).collect()[0].silhouette is None
+
+
+def test_small_levels_are_broadcast_by_one_key(pts):
+    rows = _rows(600, 12)
+    near = nearest_neighbor(pts(rows), pts(rows))
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    hashed = [line for line in plan.splitlines() if "HashedRelationBroadcastMode" in line]
+    # Two-column keys: input[0, bigint, false], input[1, bigint, false].
+    assert hashed and not any("input[1, bigint" in line for line in hashed if "bigint" in line)
+
+
+@pytest.mark.parametrize("n,block", [(300, None), (300, 70)])
+def test_chunks_of_a_block_hold_every_pair_once(pts, monkeypatch, n, block):
+    monkeypatch.setattr(EV, "_CHUNK_ROWS", 16)
+    monkeypatch.setattr(EV, "_CHUNK_COLUMNS", 40)
+    rows = _rows(n, 13)
+    got = EV.silhouette(pts(rows), CENTERS, block=block).collect()[0].silhouette
+    assert abs(got - _silhouette_brute(rows, CENTERS, "standard")) < 1e-9
