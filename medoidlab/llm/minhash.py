@@ -10,7 +10,10 @@ retained values (but for one pair in 10**8).
    share ``need`` values share one of the rarest ``size - need + 1`` of either, so each
    node enters only the lists of those and values that many documents hold drop out.
 3. Each list is a star to its first node; components of the stars are clusters that no
-   link leaves. Rows stay linear in the list lengths.
+   link leaves. Rows stay linear in the list lengths. Clusters larger than a block, which
+   single shared values may chain together, are split: their nodes enter ``STRICT - 1``
+   further lists each, linked nodes then share ``STRICT`` lists, and only pairs that do are
+   edges. Lists longer than ``SHORT_LIST`` stay stars, so rows stay linear.
 4. Inside a cluster (in blocks, if large; a task holds one pair of blocks) the lists give
    the overlaps of the sketches, the union sketch estimates the similarity, and exact
    Jaccard on full sets verifies. A task returns a spanning forest of its links, never
@@ -39,6 +42,8 @@ from medoidlab.llm.tokens import slices
 from medoidlab.llm.words import shingle_hashes, word_hashes
 
 SKETCH = 48
+#: Lists that linked nodes of a large cluster share, and the longest list that is met in pairs.
+STRICT, SHORT_LIST = 4, 64
 #: Documents and shingles of one block of a cluster; a task holds two blocks.
 BLOCK_DOCUMENTS, BLOCK_SHINGLES = 2_000, 1_000_000
 #: Rows of a block whose candidate pairs are held at a time.
@@ -61,8 +66,9 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def sketch_of(shingles: np.ndarray, k: int) -> np.ndarray:
-    """The ``k`` smallest hashes, by their upper 32 bits."""
-    return np.unique(shingles[:k] >> np.uint64(32)).astype(np.int64)
+    """The ``k`` smallest hashes, by their upper 62 bits (with 32, values of unrelated texts
+    are equal by chance once there are millions of texts)."""
+    return np.unique(shingles[:k] >> np.uint64(2)).astype(np.int64)
 
 
 def _sketch(width: int, k: int):
@@ -122,7 +128,7 @@ def links(sketches: list[np.ndarray], sets: list[np.ndarray], k: int, percent: i
     shared = _overlaps(sketches, split)
     exact = None
     least = np.array([need_of(s, percent) for s in range(k + 1)])
-    pads = (1 << 40) + np.arange(n)[:, None] * (k + 1) + np.arange(k)
+    pads = (1 << 62) + np.arange(n)[:, None] * (k + 1) + np.arange(k)
     padded = pads.copy()
     for r, s in enumerate(sketches):
         padded[r, : len(s)] = s
@@ -197,6 +203,39 @@ def _verify(width: int, k: int, percent: int):
     return run
 
 
+def _stars(lists: DataFrame, *key: str) -> DataFrame:
+    """An edge from every node of a list (the rows of equal ``key``) to the list's first."""
+    pivots = lists.groupBy(*key).agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return lists.join(pivots, list(key)).where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+
+
+def _strict_edges(lists: DataFrame) -> DataFrame:
+    """Edges ``a, b`` inside clusters from ``cluster, value, node, strict``: pairs of nodes that
+    share so many lists as the less strict of them asks for, and the stars of long lists."""
+    key = ["cluster", "value"]
+    counted = stored(lists.join(lists.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), key), "counted")
+    short = counted.where(F.col("n") <= SHORT_LIST).drop("n")
+    other = short.select(*key, F.col("node").alias("b"), F.col("strict").alias("other"))
+    pairs = (
+        short.withColumnRenamed("node", "a")
+        .join(other, key)
+        .where("a < b")
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("n"), F.min(F.least("strict", "other")).alias("strict"))
+        .where("n >= strict")
+        .select("a", "b")
+    )
+    return pairs.unionByName(_stars(counted.where(F.col("n") > SHORT_LIST), *key))
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    return members.groupBy("cluster").agg(
+        F.greatest(
+            F.ceil(F.count("*") / BLOCK_DOCUMENTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
+        ).alias("blocks")
+    )
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """``doc_id, digest, n_shingles, component_id, kept, keeper`` of every row of ``docs``
     (doc_id, text). ``component_id`` is the group's smallest doc_id, ``kept`` tells that
@@ -229,18 +268,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         .join(nodes.select("node", F.size("sketch").alias("size")), "node")
         .withColumn("prefix", F.size("shared") - need + 1)
         .where("prefix > 0")
-        .select("node", F.explode(F.expr("slice(shared, 1, prefix).value")).alias("value"))
+        .withColumn("strict", F.least(need, F.lit(STRICT)))
+        .select("node", "prefix", "strict", F.posexplode(F.expr("slice(shared, 1, prefix + strict - 1).value")).alias("at", "value"))
+        .select("node", "value", "strict", (F.col("at") >= F.col("prefix")).alias("further"))
     )
     lists = stored(prefixes, "lists")
-    pivots = lists.groupBy("value").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = lists.join(pivots, "value").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    stars = _stars(lists.where("not further"), "value")
     clusters = components(stars, "clusters").withColumnRenamed("root", "cluster")
     members = stored(clusters.join(nodes.select("node", "digest", "n_shingles", "first"), "node"), "members")
-    blocks = members.groupBy("cluster").agg(
-        F.greatest(
-            F.ceil(F.count("*") / BLOCK_DOCUMENTS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)
-        ).alias("blocks")
-    )
+    blocks = _blocks(members)
+    large = stored(members.join(blocks.where("blocks > 1"), "cluster", "left_semi"), "large")
+    if not large.isEmpty():
+        edges = _strict_edges(lists.join(large.select("node", "cluster"), "node"))
+        parts = components(edges, "parts").withColumnRenamed("root", "cluster")
+        small = members.join(blocks.where("blocks > 1"), "cluster", "left_anti")
+        members = stored(small.unionByName(large.drop("cluster").join(parts, "node").select(*small.columns)), "members")
+        blocks = _blocks(members)
     dealt = (
         members.join(blocks, "cluster")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))

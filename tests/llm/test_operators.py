@@ -154,6 +154,44 @@ def test_large_cluster_in_blocks_finds_every_link():
     assert closure(parts) == closure(want)
 
 
+def test_sketch_values_are_wide():
+    """Hashes that agree in their upper 32 bits only are different values."""
+    near = np.array([1 << 40, (1 << 40) + 8, (1 << 40) + 16], np.uint64)
+    assert len(minhash.sketch_of(near, 48)) == 3
+    rows = [np.unique(np.r_[near[i], np.arange(1, 41, dtype=np.uint64) << np.uint64(58 - i)]) for i in range(3)]
+    assert list(minhash.links([minhash.sketch_of(r, 48) for r in rows], rows, 48, 85)) == []
+
+
+def test_large_clusters_are_split_where_too_few_lists_are_shared(spark):
+    chain = [(1, v, n, 4) for v in range(30) for n in (v, v + 1)]  # neighbours share one list
+    pair = [(1, 100 + v, n, 4) for v in range(4) for n in (50, 51)]
+    third = [(1, 100 + v, 52, 4) for v in range(3)]  # one list too few
+    lenient = [(1, 200, 60, 1), (1, 200, 61, 4)]  # a short text needs one
+    hot = [(1, 300, n, 4) for n in range(1000, 1000 + minhash.SHORT_LIST + 1)]
+    other = [(2, 300, 2000, 4), (2, 301, 2001, 4)]
+    rows = spark.createDataFrame(
+        chain + pair + third + lenient + hot + other, "cluster int, value long, node long, strict int"
+    )
+    edges = {(r.a, r.b) for r in minhash._strict_edges(rows).collect()}
+    assert {tuple(sorted(e)) for e in edges} == {(50, 51), (60, 61)} | {(1000, n) for _, _, n, _ in hot[1:]}
+
+
+def test_near_duplicates_with_split_clusters_match_brute_force(spark, monkeypatch):
+    texts = corpus()[:70]
+    shingles, root = [sets(t, 3) for t in texts], list(range(70))
+    for i, a in enumerate(shingles):
+        for j in range(i):
+            if 100 * len(a & shingles[j]) >= 85 * len(a | shingles[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    calls, strict = [], minhash._strict_edges
+    monkeypatch.setattr(minhash, "_strict_edges", lambda lists: calls.append(1) or strict(lists))
+    monkeypatch.setattr(minhash, "BLOCK_DOCUMENTS", 2)
+    rows = minhash.near_duplicates(documents(spark, texts), 3, 85).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(root))
+    assert calls and len(set(root)) < 70
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     rows = components(spark.createDataFrame(edges, "a long, b long"), "t").collect()
