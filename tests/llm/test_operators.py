@@ -178,7 +178,7 @@ def test_large_clusters_are_split_where_too_few_lists_are_shared(spark):
 
 def test_near_duplicates_with_split_clusters_match_brute_force(spark, monkeypatch):
     texts = corpus()[:70]
-    shingles, root = [sets(t, 3) for t in texts], list(range(70))
+    shingles, root = [set(sets(t, 3)) for t in texts], list(range(70))
     for i, a in enumerate(shingles):
         for j in range(i):
             if 100 * len(a & shingles[j]) >= 85 * len(a | shingles[j]):
