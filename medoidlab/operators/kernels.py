@@ -15,8 +15,10 @@ from medoidlab.schema import EARTH_RADIUS_M
 
 # Distances held at once while swaps are costed (1 MB: they stay in a core's cache).
 BLOCK_CELLS = 1 << 17
-# Candidates of one group of carried bounds.
+# Candidates of one group of carried bounds: so many, or more where groups times places
+# would exceed the second value (looser bounds, the same swaps).
 CANDIDATE_GROUP = 48
+BOUND_CELLS = 1 << 23
 # Candidates costed before the first bound is known; every further lot is twice as large.
 FIRST_CANDIDATES = 64
 # Metres taken from lower bounds a round, above what rounding can add to them.
@@ -169,7 +171,8 @@ class BestSwap:
     def _near_and_far(self):
         """The candidates in compact groups, and per group and place the least and the
         largest weighted distance."""
-        self.group = _groups(self.vectors, CANDIDATE_GROUP)
+        size = max(CANDIDATE_GROUP, -(-2 * len(self.w) ** 2 // BOUND_CELLS))
+        self.group = _groups(self.vectors, size)
         n = int(self.group.max()) + 1
         order = np.argsort(self.group, kind="stable")
         first = np.searchsorted(self.group[order], np.arange(n))

@@ -31,8 +31,8 @@ from medoidlab.operators.assign import clara_select
 from medoidlab.operators.sampling import bucketed_sample, exact_sample, exact_sample_replace, with_bucket
 from medoidlab.session import cut_lineage
 
-# Rows that a bucket (or a group of the merge) is planned to hold. Not a cap: a bucket
-# that turns out larger is solved all the same, in blocks of bounded memory.
+# Rows that a sampled bucket (or a group of the merge) is planned to hold. Not a cap: a
+# bucket that turns out larger is solved all the same, in blocks of bounded memory.
 BUCKET_ROWS = 20_000
 
 MEDOID_SCHEMA = T.StructType(
@@ -92,9 +92,10 @@ def bucket_sizes(pl: DataFrame, bucket: str = "bucket") -> tuple[int, int]:
     return int(row["b"] or 0), int(row["t"] or 0)
 
 
-def full_buckets(n: int, k: int, limit: int = BUCKET_ROWS) -> int:
-    """Buckets of a full search: ``floor(sqrt(n/k))``, more if they would exceed ``limit``."""
-    return max(1, math.isqrt(n // k), -(-n // limit))
+def full_buckets(n: int, k: int) -> int:
+    """Buckets of a full search: ``floor(sqrt(n/k))`` whatever the size, as the buckets decide
+    the result; one of any size is solved in memory that grows with its places."""
+    return max(1, math.isqrt(n // k))
 
 
 def split_buckets(keyed: DataFrame, expected: int, seed: int, limit: int) -> DataFrame:
@@ -271,7 +272,7 @@ def pam(df: DataFrame, k: int, buckets: int | None = None, seed: int = 0, n: int
     """
     n, lmax = _n_and_lmax(df, n)
     if buckets is None:
-        keyed = with_bucket(df, full_buckets(n, k, limit), seed)
+        keyed = with_bucket(df, full_buckets(n, k), seed)
     else:
         keyed = split_buckets(bucketed_sample(df, buckets, seed, n), lmax, seed, limit)
     med = pam_buckets(keyed, k)
@@ -306,7 +307,7 @@ def clara(df: DataFrame, k: int, buckets: int | None = None, sample_size: int |
         keyed = exact_sample_replace(df, sample_size * n_samples, seed, buckets=n_samples, n=n)
         keyed = keyed.select("bucket", "id", "lon", "lat")
     elif buckets is None:
-        keyed = with_bucket(df, full_buckets(n, k, limit), seed)
+        keyed = with_bucket(df, full_buckets(n, k), seed)
     else:
         keyed = split_buckets(bucketed_sample(df, buckets, seed, n), lmax, seed, limit)
     return clara_from_buckets(df, keyed, k)
@@ -368,7 +369,7 @@ def clarans(df: DataFrame, k: int, buckets: int | None = None, nlocal: int = 3,
         raise ValueError(f"nlocal must be in [2, 5], got {nlocal}")
     n, lmax = _n_and_lmax(df, n)
     if buckets is None:
-        l = full_buckets(n, k, limit)
+        l = full_buckets(n, k)
         keyed = with_bucket(df, l, seed)
     else:
         l = buckets * max(1, -(-lmax // limit))

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import numpy as np
@@ -173,6 +174,28 @@ def test_small_limit_splits_buckets_and_merges(pts, buckets):
     assert KM.clara(df, 4, buckets=buckets, seed=3, limit=30).count() == 4
 
 
+def test_full_buckets_follow_the_square_root_at_any_size():
+    for n in (3, 40_000, 10**8, 4 * 10**8, 10**10):
+        assert KM.full_buckets(n, 4) == max(1, math.isqrt(n // 4))
+
+
+def test_full_clara_does_not_depend_on_the_planned_bucket_size(pts):
+    df = pts([(i, -8.69 + (i * 37 % 101) * 0.002, 41.05 + (i * 53 % 97) * 0.003) for i in range(600)])
+    runs = [sorted(map(tuple, KM.clara(df, 4, seed=3, limit=limit).collect())) for limit in (KM.BUCKET_ROWS, 20)]
+    assert runs[0] == runs[1] and len(runs[0]) == 4
+
+
+def test_wider_groups_of_bounds_find_the_same_swaps(monkeypatch):
+    lon, lat, w, ids = _uneven(400, 7)
+    want = K.pam_search(lon, lat, w, ids, 5)
+    monkeypatch.setattr(K, "BOUND_CELLS", 2000)
+    found = K.BestSwap(lon, lat, w, ids)
+    near, far = found._near_and_far()
+    assert near.size <= 2000 and far.size <= 2000
+    got = K.pam_search(lon, lat, w, ids, 5)
+    assert got[0].tolist() == want[0].tolist() and got[1:] == want[1:]
+
+
 def test_fixed_samples_return_trip_ids(pts):
     df = pts([(1_000_000 + i, -8.6 + i * 1e-4, 41.1 + (i % 7) * 1e-3) for i in range(300)])
     assert all(r.id >= 1_000_000 for r in KM.clara(df, 3, sample_size=40, n_samples=3, seed=1).collect())
