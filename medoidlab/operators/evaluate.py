@@ -6,26 +6,34 @@ number of jobs whatever the input size.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from medoidlab.functions.geo import hash32, haversine, salt
 from medoidlab.operators.assign import as_center_list, assign_nearest, with_nearest
-from medoidlab.operators.kernels import chord_distance, unit_vectors
+from medoidlab.operators.distance_tree import APART, LEAF, MAP_BITS, Map, Sums, Tree, apart
 from medoidlab.operators.neighbors import build_index, nearest_places
 from medoidlab.operators.sampling import bernoulli_sample, uniform_points
 from medoidlab.schema import CLEAN_BOX, Box
 from medoidlab.session import cut_lineage
 
-# Places per block of the silhouette's blocked all-pairs pass: from the first value, which
-# spreads small inputs, blocks grow to the second, so that copies of a place stay few.
+# Places per block of the silhouette's sums: from the first value, which spreads small
+# inputs, blocks grow to the second, and beyond it where there would be more blocks than
+# the third. Cells are planned for about as many in a block as the fourth.
 SILHOUETTE_BLOCK = 4096
 SILHOUETTE_BLOCK_MAX = 65_536
-# Rows and columns of the distances held at a time inside one block pair (1 MB: they stay
-# in a core's cache).
+SILHOUETTE_BLOCKS = 4096
+CELLS_PER_BLOCK = 16
+# Levels of squares counted by the first pass over the places, and by any further one.
+_FIRST_LEVELS, _MORE_LEVELS = 8, 3
+# Rows and columns of the distances held at a time (1 MB: they stay in a core's cache).
 _CHUNK_ROWS, _CHUNK_COLUMNS = 64, 2048
 
 
@@ -81,93 +89,214 @@ _SUMS_SCHEMA = T.StructType(
 )
 
 
-def _pair_sums():
-    def emit(side, clusters, sums):
-        out = side[["lon", "lat", "own", "w"]].loc[side.index.repeat(len(clusters))]
-        return out.assign(cluster=np.tile(clusters.astype(np.int32), len(side)), s=sums.reshape(-1))
+_CELL_SCHEMA = "cell int, box binary, sources binary"
+
+
+def _cells(counted: Callable, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The squares of a quadtree that hold at most ``size`` places each, in the order of
+    their numbers: (first number of each, its places). ``counted(level, heavy)`` counts the
+    places by square of a level (bits a side), within squares ``heavy`` = (level, numbers)."""
+    first, places, heavy, level = [], [], None, 0
+    while heavy is None or (len(heavy[1]) and level < MAP_BITS):
+        below, level = level, min(MAP_BITS, level + (_FIRST_LEVELS if heavy is None else _MORE_LEVELS))
+        squares, counts = counted(level, heavy)
+        order = np.argsort(squares)
+        squares, counts = squares[order], counts[order]
+        open_ = np.ones(len(squares), bool)
+        for at in range(below, level + 1):
+            # Squares of this level, and those of them that need no further cut.
+            up = squares[open_] >> 2 * (level - at)
+            number, start = np.unique(up, return_index=True)
+            total = np.add.reduceat(counts[open_], start) if len(start) else counts[:0]
+            done = (total <= size) | (at == MAP_BITS)
+            first.append(number[done] << 2 * (MAP_BITS - at))
+            places.append(total[done])
+            open_[open_] = ~np.isin(up, number[done])
+        heavy = level, squares[open_]
+    first, places = np.concatenate(first), np.concatenate(places)
+    order = np.argsort(first)
+    return first[order], places[order]
+
+
+def _over(tree: Tree, first: np.ndarray) -> int:
+    """Joins the cells of a quadtree (the tree's, in order) up to one; returns it."""
+    nodes = [(int(code), i) for i, code in enumerate(first)]
+    for at in range(2, 2 * MAP_BITS + 2, 2):
+        grouped: dict[int, list] = {}
+        for code, i in nodes:
+            grouped.setdefault(code >> at, []).append((code, i))
+        nodes = [(g[0][0], tree.join([i for _, i in g]) if len(g) > 1 else g[0][1]) for g in grouped.values()]
+        if len(nodes) == 1:
+            break
+    return nodes[0][1]
+
+
+def _sorted(pdf: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    # In one order wherever a cell is grown: its parts come out the same.
+    return pdf.sort_values(by + ["lon", "lat"], kind="stable").reset_index(drop=True)
+
+
+def _held(tree: Tree, pdf: pd.DataFrame) -> list[tuple[int, np.ndarray]]:
+    """Gives a tree the places of ``pdf``, sorted by cell; returns the rows of each cell."""
+    tree.hold(*(pdf[c].to_numpy(t) for c, t in zip(("lon", "lat", "own", "w"), (float, float, np.int64, float))))
+    cell = pdf["cell"].to_numpy()
+    starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+    return [(int(cell[i]), rows) for i, rows in zip(starts, np.split(np.arange(len(cell)), starts[1:]))]
+
+
+def _grown(clusters: np.ndarray):
+    """Box and sources of each cell of a group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = Tree(clusters)
+        cells = _held(tree, _sorted(pdf, ["cell"]))
+        top = [tree.grow(rows) for _, rows in cells]
+        return pd.DataFrame(
+            {
+                "cell": np.array([c for c, _ in cells], np.int32),
+                "box": [pickle.dumps(tree.boxes[i]) for i in top],
+                "sources": [pickle.dumps(tree.sources[i]) for i in top],
+            }
+        )
 
-    def hot(side, clusters):
-        """One column per cluster, holding the place's weight in its own."""
-        member = side["own"].to_numpy(np.int64)[:, None] == clusters[None, :]
-        return member * side["w"].to_numpy(np.float64)[:, None]
+    return run
+
+
+def _block_sums(shared):
+    """Sums of the places of one block, whose near cells are here with their places;
+    ``shared`` holds the tree of all cells, its top and each cell's block."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        left = pdf[pdf["blk"] == a].reset_index(drop=True)
-        right = left if a == b else pdf[pdf["blk"] == b].reset_index(drop=True)
-        clusters = np.unique(pdf["own"].to_numpy(np.int64))
-        lv = unit_vectors(left["lon"].to_numpy(np.float64), left["lat"].to_numpy(np.float64))
-        rv = unit_vectors(right["lon"].to_numpy(np.float64), right["lat"].to_numpy(np.float64))
-        l_hot, r_hot = hot(left, clusters), hot(right, clusters)
-        l_sums, r_sums = np.zeros(l_hot.shape), np.zeros(r_hot.shape)
-        held = np.empty((2, _CHUNK_ROWS * _CHUNK_COLUMNS))
-        for i in range(0, len(left), _CHUNK_ROWS):
-            rows = slice(i, min(i + _CHUNK_ROWS, len(left)))
-            # Inside one block the matrix is its own mirror: half of it is enough.
-            for j in range(i if a == b else 0, len(right), _CHUNK_COLUMNS):
-                cols = slice(j, min(j + _CHUNK_COLUMNS, len(right)))
-                shape = (rows.stop - i, cols.stop - j)
-                d, diff = held[:, : shape[0] * shape[1]].reshape(2, *shape)
-                chord_distance(lv[rows], rv[cols], out=d, diff=diff)
-                l_sums[rows] += d @ r_hot[cols]
-                if a != b:
-                    r_sums[cols] += d.T @ l_hot[rows]
-                elif cols.stop > rows.stop:
-                    # The square on the diagonal holds both ways already.
-                    past = max(rows.stop, j)
-                    l_sums[past : cols.stop] += d[:, past - j :].T @ l_hot[rows]
-        out = [emit(left, clusters, l_sums)]
-        if a != b:
-            out.append(emit(right, clusters, r_sums))
-        return pd.concat(out, ignore_index=True)
+        cells, top, block = shared.value
+        target = int(pdf["target"].iloc[0])
+        tree = cells.copy()
+        pdf = _sorted(pdf, ["cell"])
+        for cell, rows in _held(tree, pdf):
+            tree.fill(cell, rows)
+        mine = np.flatnonzero(block == target)
+        start = tree.add(tree.box_over(mine), mine, None)
+        sums = Sums(tree, (_CHUNK_ROWS, _CHUNK_COLUMNS))
+        sums.run(start, [top])
+        own = np.flatnonzero(block[pdf["cell"].to_numpy()] == target)
+        k = len(tree.clusters)
+        out = pdf.loc[own.repeat(k), ["lon", "lat", "own", "w"]]
+        return out.assign(cluster=np.tile(tree.clusters.astype(np.int32), len(own)), s=sums.out[own].reshape(-1))
 
     return run
 
 
-def _block_count(n: int, tasks: int, block: int | None) -> int:
-    """Blocks whose pairs fill ``tasks``, within the bounds of a block's places."""
+def _block_size(n: int, tasks: int, block: int | None) -> int:
+    """Places per block, so that blocks fill ``tasks`` within the bounds."""
     if block is not None:
-        return max(1, -(-n // block))
-    wanted = int((2 * tasks) ** 0.5) + 1
-    return max(1, -(-n // SILHOUETTE_BLOCK_MAX), min(-(-n // SILHOUETTE_BLOCK), wanted))
+        return block
+    return max(SILHOUETTE_BLOCK, min(SILHOUETTE_BLOCK_MAX, -(-n // tasks)), -(-n // SILHOUETTE_BLOCKS))
+
+
+def _near_blocks(tree: Tree, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and blocks where a cell does not lie well apart from every cell of the block: the
+    block's sums need its places. The gap asked for is a little larger than the tree's."""
+    n, by = len(block), 1.001 * APART
+    centers, radii = np.array([b.center for b in tree.boxes[:n]]), np.array([b.radius for b in tree.boxes[:n]])
+    cells, targets = [], []
+    for target in range(int(block[-1]) + 1):
+        mine = np.flatnonzero(block == target)
+        middle, widest = centers[mine].mean(axis=0), radii[mine].max()
+        reach = np.sqrt(((centers[mine] - middle) ** 2).sum(axis=1).max())
+        # Gaps to the block's cells are those to their middle less its reach at least.
+        some = np.arange(n)
+        if np.isfinite(widest):
+            some = np.flatnonzero(~apart(middle, widest + reach / by, centers, radii, by))
+        near = ~apart(centers[mine][:, None], radii[mine][:, None], centers[some], radii[some], by)
+        cells.append(some[near.any(axis=0)])
+        targets.append(np.full(len(cells[-1]), target))
+    return np.concatenate(cells), np.concatenate(targets)
+
+
+def _weighted_places(assigned: DataFrame) -> DataFrame:
+    """``(lon, lat, own, w)``: the distinct places of rows with coordinates, the cluster they
+    are assigned to and how many rows they hold (stored)."""
+    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    places = assigned.where(known).groupBy("lon", "lat").agg(
+        F.min("cluster").alias("own"), F.count(F.lit(1)).alias("w")
+    )
+    return cut_lineage(places)
 
 
-def distance_sums(assigned: DataFrame, block: int | None = None, seed: int = 0) -> DataFrame:
+def distance_sums(assigned: DataFrame, block: int | None = None, places: DataFrame | None = None) -> DataFrame:
     """``(lon, lat, own, w, cluster, s)``: for each distinct place (``w`` rows, assigned to
-    ``own``) the sum of distances to every row of each cluster.
+    ``own``) the sum of distances to every row of each cluster. ``places`` are the rows'
+    weighted places, if they are at hand.
 
     Rows are collapsed to weighted places, so repeated ids and hot places are right and
-    cheap. Blocked all-pairs using symmetry: places fall into ``B`` hash blocks; every
-    block pair ``a <= b`` is one group holding the two blocks, computing one distance
-    matrix in numpy chunks and emitting sums both ways, so no pair is ever a row, no task
-    holds more than two blocks, and each distance is computed once. Each place is copied
-    to the ``B`` groups of its block; the groups are dealt to the session's shuffle
-    partitions, whatever their number.
+    cheap. The places fall into the squares of a quadtree that follows their density; what
+    stands for each square from afar (``distance_tree``) goes to all tasks. Squares are
+    dealt in order to blocks of about equal places, a group each, which also gets the
+    places of the squares near it. So every place is summed in one task over all others,
+    the work grows with the places and not with their square, and no task holds more than
+    a block and its surroundings.
     """
-    spark = assigned.sparkSession
-    known = F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    places = assigned.where(known).groupBy("lon", "lat").agg(
-        F.min("cluster").alias("own"), F.count(F.lit(1)).alias("w")
-    )
-    places = cut_lineage(places)
+    if places is None:
+        places = _weighted_places(assigned)
+    spark = places.sparkSession
+    ends = (f(c) for c in ("lon", "lat") for f in (F.min, F.max))
+    n, clusters, *ends = places.agg(F.count(F.lit(1)), F.collect_set("own"), *ends).collect()[0]
+    if not n:
+        return spark.createDataFrame([], _SUMS_SCHEMA)
+    if not np.isfinite(ends).all():
+        raise ValueError("coordinates must be numbers")
+    clusters, where = np.array(sorted(clusters), np.int64), Map(ends[:2], ends[2:])
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    nb = _block_count(places.count(), tasks, block)
-    text = F.concat_ws(",", F.col("lon").cast("string"), F.col("lat").cast("string"))
-    key = F.pmod(hash32(text, salt(seed, "block")), F.lit(nb)).cast("int")
-    j = F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j")
-    rows = places.select("*", key.alias("blk")).select("*", j)
-    rows = rows.select(F.least("blk", "j").alias("a"), F.greatest("blk", "j").alias("b"), *places.columns, "blk")
-    parts = min(nb * (nb + 1) // 2, tasks)
-    sums = rows.repartition(parts, "a", "b").groupBy("a", "b").applyInPandas(_pair_sums(), _SUMS_SCHEMA)
-    return sums.groupBy("lon", "lat", "own", "w", "cluster").agg(F.sum("s").alias("s"))
+    size = _block_size(n, tasks, block)
+
+    @F.pandas_udf("long")
+    def code(lon: pd.Series, lat: pd.Series) -> pd.Series:
+        return pd.Series(where.codes(lon.to_numpy(), lat.to_numpy()))
+
+    coded = places.select(code("lon", "lat").alias("code"))
+
+    def counted(level: int, heavy):
+        rows = coded
+        if heavy is not None:
+            cut = spark.createDataFrame(pa.table({"__heavy": heavy[1]}))
+            up = F.shiftright("code", 2 * (MAP_BITS - heavy[0]))
+            rows = rows.join(F.broadcast(cut), up == F.col("__heavy"), "left_semi")
+        table = rows.groupBy(F.shiftright("code", 2 * (MAP_BITS - level)).alias("c")).count().toArrow()
+        return table["c"].to_numpy(), table["count"].to_numpy()
+
+    first, counts = _cells(counted, max(size // CELLS_PER_BLOCK, min(size, LEAF)))
+    block_of = np.unique((np.cumsum(counts) - counts) // size, return_inverse=True)[1]
+
+    @F.pandas_udf("int")
+    def cell(lon: pd.Series, lat: pd.Series) -> pd.Series:
+        at = np.searchsorted(first, where.codes(lon.to_numpy(), lat.to_numpy()), side="right") - 1
+        return pd.Series(at.astype(np.int32))
+
+    keyed = places.withColumn("cell", cell("lon", "lat"))
+    nb = int(block_of[-1]) + 1
+    parts = min(nb, tasks)
+
+    def dealt(cells, targets):
+        """The places of cells, copied to the groups that ``targets`` names for each."""
+        table = pa.table({"cell": pa.array(cells, pa.int32()), "target": pa.array(targets, pa.int32())})
+        rows = keyed.join(F.broadcast(spark.createDataFrame(table)), "cell")
+        return rows.repartition(parts, "target").groupBy("target")
+
+    tree = Tree(clusters)
+    boxes = dealt(np.arange(len(first)), block_of).applyInPandas(_grown(clusters), _CELL_SCHEMA).toArrow()
+    for row in boxes.sort_by("cell").to_pylist():
+        tree.add(pickle.loads(row["box"]), [], pickle.loads(row["sources"]))
+    top = _over(tree, first)
+    shared = spark.sparkContext.broadcast((tree, top, block_of))
+    return dealt(*_near_blocks(tree, block_of)).applyInPandas(_block_sums(shared), _SUMS_SCHEMA)
 
 
 def _place_silhouettes(assigned: DataFrame, mode: str, block: int | None) -> DataFrame:
     """``(lon, lat, own, w, a, b, silhouette)`` per distinct place."""
     if mode not in ("standard", "own_size"):
         raise ValueError("mode must be 'standard' or 'own_size'")
-    sums = distance_sums(assigned, block)
-    sizes = assigned.where(F.col("cluster").isNotNull()).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    places = _weighted_places(assigned)
+    sums = distance_sums(assigned, block, places)
+    sizes = places.groupBy(F.col("own").alias("cluster")).agg(F.sum("w").alias("size"))
     # One row per cluster.
     j = sums.join(F.broadcast(sizes), "cluster")
     own_size = F.max(F.when(F.col("cluster") == F.col("own"), F.col("size")))

@@ -56,24 +56,35 @@ def chord_distance(u, v, radius: float = EARTH_RADIUS_M, out=None, diff=None):
     ``a = |u - v|^2 / 4`` is the haversine ``a`` (same value, about 1e-12 relative), so
     the distance needs one sqrt and one arcsin per pair instead of the full formula.
     """
+    a = np.empty((len(u), len(v))) if out is None else out
+    diff = np.empty_like(a) if diff is None else diff
+    return arc_length(haversine_a(u, v, a, diff), diff, SERIES, radius)
+
+
+def haversine_a(u, v, out, scratch):
+    """``|u - v|^2 / 4`` of each pair, in ``out``."""
     u, v = 0.5 * u, 0.5 * v.T
     a = np.subtract(u[:, 0:1], v[0], out=out)
     a *= a
-    diff = np.empty_like(a) if diff is None else diff
     for j in (1, 2):
-        np.subtract(u[:, j : j + 1], v[j], out=diff)
-        diff *= diff
-        a += diff
+        np.subtract(u[:, j : j + 1], v[j], out=scratch)
+        scratch *= scratch
+        a += scratch
+    return a
+
+
+def arc_length(a, scratch, series, radius: float = EARTH_RADIUS_M):
+    """Metres on the sphere of haversine ``a``, in place; ``series`` is like ``SERIES``."""
     top = a.max(initial=0.0)
-    if top > SERIES[0][0]:
+    if top > series[0][0]:
         np.minimum(a, 1.0, out=a)
         np.sqrt(a, out=a)
         np.arcsin(a, out=a)
         a *= 2.0 * radius
         return a
     # arcsin(x) = x (1 + x^2 / 6 + 3 x^4 / 40 + 15 x^6 / 336 + ...), far cheaper.
-    terms = next(t for most, t in reversed(SERIES) if top <= most)
-    factor = np.multiply(a, 2.0 * radius * terms[0], out=diff)
+    terms = next(t for most, t in reversed(series) if top <= most)
+    factor = np.multiply(a, 2.0 * radius * terms[0], out=scratch)
     for c in terms[1:-1]:
         factor += 2.0 * radius * c
         factor *= a
