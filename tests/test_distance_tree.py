@@ -61,7 +61,8 @@ def test_distances_grow_with_the_places_not_their_square(monkeypatch):
         tree, top = _tree(lon, lat, np.zeros(n, int), np.ones(n), np.array([0]))
         DT.Sums(tree, (64, 2048)).run(top, [top])
         work.append(sum(made))
-    assert work[1] < 6 * work[0] and work[1] < 32768**2 / 4
+    # All pairs would be 16 times as many.
+    assert work[1] < 8 * work[0] and work[1] < 32768**2 / 3
 
 
 def test_cells_follow_the_density():
@@ -113,3 +114,33 @@ def test_places_go_to_the_blocks_around_them_only():
     cells, targets = EV._near_blocks(tree, np.unique(block, return_inverse=True)[1])
     assert set(zip(range(len(names)), np.unique(block, return_inverse=True)[1])) <= set(zip(cells.tolist(), targets.tolist()))
     assert len(cells) < len(names) * len(np.unique(block)) / 5
+
+
+@pytest.mark.parametrize("mode", ["own_size", "standard"])
+def test_silhouette_of_many_blocks_meets_few_places(pts, spark, monkeypatch, mode):
+    r, n, block = np.random.default_rng(8), 4000, 100
+    lon, lat = -8.7 + 0.3 * r.random(n), 41 + 0.35 * r.random(n)
+    met, groups, sums = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), EV._block_sums
+
+    def counting(shared):
+        run = sums(shared)
+
+        def counted(pdf):
+            met.add(len(pdf))
+            groups.add(1)
+            return run(pdf)
+
+        return counted
+
+    monkeypatch.setattr(EV, "_block_sums", counting)
+    centers = [(-8.62, 41.14), (-8.55, 41.22), (-8.66, 41.26)]
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(lon, lat))]
+    got = EV.silhouette(pts(rows), centers, mode=mode, block=block).collect()[0].silhouette
+    assert groups.value >= 25 and met.value < n * groups.value / 2
+    own = chord_distance(unit_vectors(lon, lat), unit_vectors(*np.array(centers).T)).argmin(axis=1)
+    s, size = _all_pairs(lon, lat, own, np.ones(n), np.arange(3)), np.bincount(own)
+    mine = own[:, None] == np.arange(3)
+    by = size[None, :] if mode == "standard" else size[own][:, None]
+    a = s[mine] / (size[own] - (mode == "standard"))
+    b = np.where(mine, np.inf, s / by).min(axis=1)
+    assert abs(got - ((b - a) / np.maximum(a, b)).mean()) < 1e-10
