@@ -205,28 +205,46 @@ class Sums:
 
     def __init__(self, tree, chunk):
         """``chunk``: rows and columns of the distances held at a time."""
-        self.tree, self.chunk, self.held = tree, chunk, np.empty((2, chunk[0] * chunk[1]))
+        self.tree, self.chunk = tree, chunk
+        self.held = np.empty((2, chunk[0] * max(chunk[1], NODES**2)))
         self.centers = np.array([b.center for b in tree.boxes])
         self.radii = np.array([b.radius for b in tree.boxes])
         self.split = np.array([len(p) > 0 for p in tree.parts])
         self.out = np.zeros((len(tree.vectors), len(tree.clusters)))
 
-    def _add(self, to, at, vectors, weights, center=None):
-        """Add the weighted distances from vectors ``at`` to ``vectors`` to ``to``. With a
-        ``center`` near ``at`` they come from products, right for vectors that lie apart."""
-        rows, columns = self.chunk
+    def _far(self, cells):
+        """Vectors and weights that stand for cells, about a chunk's columns at a time."""
+        step = max(1, self.chunk[1] // NODES**2)
+        for i in range(0, len(cells), step):
+            yield tuple(np.concatenate(x) for x in zip(*(self.tree.dense(c) for c in cells[i : i + step])))
+
+    def _near(self, cells):
+        """Vectors and weights of the places of cells, a chunk's columns at a time."""
+        # A cell kept until here without its places would be an error, not a smaller sum.
+        rows = np.concatenate([self.tree.rows[c] for c in cells])
+        for i in range(0, len(rows), self.chunk[1]):
+            some = rows[i : i + self.chunk[1]]
+            weights = np.zeros((len(some), len(self.tree.clusters)))
+            weights[np.arange(len(some)), self.tree.own[some]] = self.tree.w[some]
+            yield self.tree.vectors[some], weights
+
+    def _add(self, to, at, parts, center=None):
+        """Add the weighted distances from vectors ``at`` to ``parts`` (vectors, weights) to
+        ``to``. With a ``center`` near ``at`` they come from products, right for vectors
+        that lie apart."""
         if center is not None:
             # |x - y|^2 = |x|^2 + |y|^2 - 2 x y
-            x, y = 0.5 * (at - center), 0.5 * (vectors - center)
-            at = np.column_stack([x, (x * x).sum(axis=1), np.ones(len(x))])
-            vectors = np.column_stack([-2.0 * y, np.ones(len(y)), (y * y).sum(axis=1)])
-        for j in range(0, len(vectors), columns):
-            v, w = vectors[j : j + columns], weights[j : j + columns]
-            for i in range(0, len(at), rows):
-                some = at[i : i + rows]
+            at = 0.5 * (at - center)
+            at = np.column_stack([at, (at * at).sum(axis=1), np.ones(len(at))])
+        for v, w in parts:
+            if center is not None:
+                v = 0.5 * (v - center)
+                v = np.column_stack([-2.0 * v, np.ones(len(v)), (v * v).sum(axis=1)])
+            for i in range(0, len(at), self.chunk[0]):
+                some = at[i : i + self.chunk[0]]
                 a, scratch = self.held[:, : len(some) * len(v)].reshape(2, len(some), len(v))
                 a = haversine_a(some, v, a, scratch) if center is None else np.matmul(some, v.T, out=a)
-                to[i : i + rows] += arc_length(a, scratch, _SERIES) @ w
+                to[i : i + len(some)] += arc_length(a, scratch, _SERIES) @ w
 
     def run(self, cell, near, values=None):
         """Sums of the places of ``cell``: ``near`` are the cells not met so far, ``values``
@@ -243,8 +261,7 @@ class Sums:
         far, kept = np.concatenate(far), np.concatenate(kept)
         if len(far):
             values = np.zeros((NODES**2, len(tree.clusters))) if values is None else values
-            vectors, weights = (np.concatenate(x) for x in zip(*(tree.dense(i) for i in far)))
-            self._add(values, box.nodes, vectors, weights, box.center)
+            self._add(values, box.nodes, self._far(far), box.center)
         if not final:
             for part in tree.parts[cell]:
                 # Only narrow cells have values, and their parts are narrow.
@@ -252,9 +269,5 @@ class Sums:
             return
         rows = tree.rows[cell]
         to = np.zeros((len(rows), len(tree.clusters))) if values is None else box.spread(values, tree.vectors[rows])
-        # A cell kept here without its places would be an error, not a smaller sum.
-        others = np.concatenate([tree.rows[i] for i in kept])
-        weights = np.zeros((len(others), len(tree.clusters)))
-        weights[np.arange(len(others)), tree.own[others]] = tree.w[others]
-        self._add(to, tree.vectors[rows], tree.vectors[others], weights)
+        self._add(to, tree.vectors[rows], self._near(kept))
         self.out[rows] = to
